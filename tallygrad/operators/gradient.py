@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..network import NetworkConfig, Weights, check_weights, flatten, unflatten, zero_weights
 from . import kernel
@@ -101,6 +102,29 @@ def gradient_table(df: DataFrame, weights: Weights, config: NetworkConfig) -> Da
     return totals.select(layer, r, c, "g_sum", F.col("n").cast("long").alias("n"), F.try_divide("g_sum", "n").alias("g"))
 
 
+def row_gradients(df: DataFrame, weights: Weights, config: NetworkConfig, keys: list[str]) -> DataFrame:
+    """Derivatives of every row's loss as rows (keys, layer, r, c, g): the outer
+    products of each layer's deltas with the outputs before it."""
+    weights = check_weights(weights, config)
+    samples = df.select(*keys, "label", "features")
+
+    def batches(parts):
+        for batch in parts:
+            y = kernel.numbers(batch.column("label"), "label")
+            x = kernel.matrix(batch.column("features"), config.size[0], "features")
+            grads = kernel.row_gradients(kernel.forward(x, weights, config), y, weights, config)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in keys), kernel.vectors(grads)], names=[*keys, "grads"]
+            )
+
+    schema = StructType(
+        [f for f in samples.schema.fields if f.name in keys] + [StructField("grads", ArrayType(DoubleType()))]
+    )
+    exploded = samples.mapInArrow(batches, schema).select(*keys, F.posexplode("grads").alias("pos", "g"))
+    layer, r, c = _place(F.col("pos"), config)
+    return exploded.select(*keys, layer, r, c, "g")
+
+
 @dataclass
 class PassResult:
     """What one job over the table tells about one set of weights."""

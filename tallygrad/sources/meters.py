@@ -40,14 +40,15 @@ def read_meter_csv(
     paths: Sequence[str],
     months: Sequence[int] | None = None,
     month_pattern: str = MONTH_IN_PATH,
+    header: Sequence[str] | None = None,
 ) -> DataFrame:
     """Readings of CSV files with header lines: the six fields and ``month``.
 
     Months come from the files, not from the date column: by position where
-    ``months`` lists one per path, else from the path. Only header lines are
-    looked at beforehand, no types are inferred; all paths with the same header
-    are one scan, which reads the needed columns and refuses a file inside a
-    path whose header differs.
+    ``months`` lists one per path, else from the path. No types are inferred;
+    beforehand only the header line of each path is looked at, and none where
+    ``header`` gives the column names. Paths with the same header are one scan
+    that reads the needed columns and refuses a file with another header.
     """
     if isinstance(paths, str):
         paths = [paths]
@@ -55,11 +56,11 @@ def read_meter_csv(
         raise ValueError("months must list one month per path")
     scans: dict[tuple, list[str]] = {}
     for at, path in enumerate(paths):
-        header = tuple(spark.read.option("header", True).csv(path).columns)
-        scans.setdefault((header, months[at] if months is not None else None), []).append(path)
+        names = tuple(header or spark.read.option("header", True).csv(path).columns)
+        scans.setdefault((names, months[at] if months is not None else None), []).append(path)
     parts = []
-    for (header, month), group in scans.items():
-        schema = StructType([StructField(name, StringType()) for name in header])
+    for (names, month), group in scans.items():
+        schema = StructType([StructField(name, StringType()) for name in names])
         lines = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(group)
         when = F.lit(month).cast("int") if month is not None else month_of_file(month_pattern)
         parts.append(typed_records(lines.withColumn("month", when), keep=["month"]))

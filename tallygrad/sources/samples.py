@@ -123,8 +123,9 @@ class SampleStore:
     def missing(self, ids: DataFrame) -> DataFrame:
         """Those of the wanted ids for which no sample is stored."""
         wanted = ids.select("id").distinct().withColumn(self.bucket_column, self._bucket())
-        held = self._table().select("id", self.bucket_column)
-        return wanted.join(held, [self.bucket_column, "id"], "left_anti").select("id")
+        place = [self.bucket_column, "id"]
+        held = self._table().join(wanted, place, "left_semi").select(*place).distinct()
+        return wanted.join(held, place, "left_anti").select("id")
 
     def get_or_build(
         self, ids: DataFrame, build: Callable[[DataFrame], DataFrame], max_label: float | None = None
