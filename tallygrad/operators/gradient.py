@@ -141,7 +141,7 @@ def run_pass(df: DataFrame, weights: Weights, config: NetworkConfig, gradient: b
     values = np.zeros(config.parameters + len(TOTALS))
     for row in summed(partial_sums(df, weights, config, gradient)).collect():
         values[row.pos] = row.total
-    n_train, sse_train, n_valid, sse_valid = values[config.parameters :]
+    n_train, sse_train, n_valid, sse_valid = values[config.parameters :].tolist()
     grads = values[: config.parameters] / n_train if n_train else values[: config.parameters]
     return PassResult(
         unflatten(grads, config),

@@ -67,11 +67,13 @@ def scale(df: DataFrame, stats: DataFrame | Row) -> DataFrame:
     :func:`sample_stats` (read lazily) or that row itself, which also works on
     streams.
     """
-    s = _stats_column(stats)
+    # The statistics become a column first, as lambda functions take no subqueries.
+    s = F.col("_stats")
     centred = F.zip_with("features", s["means"], lambda x, m: x - m)
     scaled = F.zip_with(centred, s["spreads"], lambda d, v: F.try_divide(d, v))
-    low, high = s["label_min"], s["label_max"]
-    return df.withColumns({"features": scaled, "label": F.try_divide(F.col("label") - low, high - low)})
+    label = F.try_divide(F.col("label") - s["label_min"], s["label_max"] - s["label_min"])
+    with_stats = df.withColumn("_stats", _stats_column(stats))
+    return with_stats.withColumns({"features": scaled, "label": label}).drop("_stats")
 
 
 def scale_columns(df: DataFrame, stats: DataFrame | Row, features: Sequence[str], label: str = "label") -> DataFrame:

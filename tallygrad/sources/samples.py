@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -15,7 +16,9 @@ from ..operators.samples import split_vector
 SAMPLES_SCHEMA = "id string, month int, j int, label double, features array<double>"
 
 
-def parse_sample_text(df: DataFrame, max_label: float | None = 1.0, strict: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+def parse_sample_text(
+    df: DataFrame, max_label: float | None = 1.0, strict: bool = True, keep: Sequence[str] = ()
+) -> DataFrame:
     """(label, features) from lines of comma-separated numbers in column ``value``.
 
     Keeps lines with exactly seven numbers, empty fields at the end not counted,
@@ -47,10 +50,10 @@ def read_sample_text(spark: SparkSession, path: str, max_label: float | None = 1
     return parse_sample_text(named, max_label, strict, keep=["id"])
 
 
-def sample_text(df: DataFrame) -> DataFrame:
+def sample_text(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Samples as lines ``label,feature,...,`` in column ``value``."""
     values = F.transform(F.concat(F.array("label"), F.col("features")), lambda v: v.cast("string"))
-    return df.select(F.concat(F.concat_ws(",", values), F.lit(",")).alias("value"))
+    return df.select(*keep, F.concat(F.concat_ws(",", values), F.lit(",")).alias("value"))
 
 
 class SampleStore:
@@ -110,15 +113,19 @@ class SampleStore:
         Folders of other meters stay untouched; rows of other meters in the
         same folders are carried over.
         """
-        ids = samples.select("id").distinct().withColumn(self.bucket_column, self._bucket())
-        folders = ids.select(self.bucket_column).distinct()
-        others = (
-            self._table()
-            .join(folders, self.bucket_column, "left_semi")
-            .join(ids, [self.bucket_column, "id"], "left_anti")
-            .drop(self.bucket_column)
-        )
-        self._write(others.unionByName(samples.select(*others.columns)), "overwrite")
+        samples = samples.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            ids = samples.select("id").distinct().withColumn(self.bucket_column, self._bucket())
+            folders = ids.select(self.bucket_column).distinct()
+            others = (
+                self._table()
+                .join(folders, self.bucket_column, "left_semi")
+                .join(ids, [self.bucket_column, "id"], "left_anti")
+                .drop(self.bucket_column)
+            )
+            self._write(others.unionByName(samples.select(*others.columns)), "overwrite")
+        finally:
+            samples.unpersist()
 
     def missing(self, ids: DataFrame) -> DataFrame:
         """Those of the wanted ids for which no sample is stored."""

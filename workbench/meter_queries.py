@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallygrad.functions.calendar import days_before_month, days_in_month, yyyymm
@@ -41,11 +43,11 @@ def flat(samples: DataFrame) -> DataFrame:
 
 
 def write_monthly_csv(spark: SparkSession, sf_dir: str) -> str:
-    """The readings as CSV files, one folder per month."""
+    """The readings as CSV files, one folder per year and month."""
     path = shared_path(spark, "meter-csv")
     named = readings(spark, sf_dir).withColumnRenamed("bar_code", "barCode").withColumnRenamed("month", "period")
-    rows = named.select(*FILE_HEADER, "period").hint("rebalance", "period")
-    rows.write.partitionBy("period").option("header", True).csv(path)
+    rows = named.select(*FILE_HEADER, F.substring("date", 1, 4).alias("year"), "period").hint("rebalance", "period")
+    rows.write.partitionBy("year", "period").option("header", True).csv(path)
     return path
 
 
@@ -95,7 +97,7 @@ def typed(spark, sf_dir):
 def text_samples(spark, sf_dir):
     path = shared_path(spark, "sample-text")
     samples = build_samples(readings(spark, sf_dir))
-    samples.select("id", sample_text(samples)["value"]).write.partitionBy("id").text(path)
+    sample_text(samples, ["id"]).write.partitionBy("id").text(path)
     lines = spark.read.schema("value string, id string").text(path)
     return sample_lines(parse_sample_text(lines, max_label=1e6, keep=["id"]), 6, ["id"])
 
@@ -240,11 +242,15 @@ def month_order(spark, sf_dir):
     SAMPLES + f"SELECT {SAMPLE_COLUMNS} FROM samples",
 )
 def concatenated(spark, sf_dir):
-    source = readings(spark, sf_dir)
     path = write_monthly_csv(spark, sf_dir)
-    months = sorted(r.month for r in source.select("month").distinct().collect())  # calendar months, bounded
-    paths = [f"{path}/period={m}" for m in months]
-    return flat(build_samples(read_meter_csv(spark, paths, months=months, header=FILE_HEADER)))
+    years = sorted(r.year for r in readings(spark, sf_dir).select(F.year(F.to_date("date")).alias("year")).distinct().collect())
+    parts = [
+        build_samples(
+            read_meter_csv(spark, [f"{path}/year={y}"], month_pattern=r"period=(\d{6})", header=FILE_HEADER)
+        )
+        for y in years
+    ]
+    return flat(reduce(DataFrame.unionByName, parts))
 
 
 @register(
