@@ -171,7 +171,7 @@ EMBEDDED = (
 )
 EMBEDDED_LONG = """
 long AS (
-  SELECT vec_id, label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS value FROM embeddings)"""
+  SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, unnest(embedding)::DOUBLE AS value FROM embeddings)"""
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:

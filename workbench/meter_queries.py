@@ -255,8 +255,8 @@ def concatenated(spark, sf_dir):
 
 @register(
     "sc18_calendar",
-    "SELECT o_orderkey, day(last_day(o_orderdate)) AS month_days, "
-    "dayofyear(date_trunc('month', o_orderdate)) - 1 AS days_before FROM orders",
+    "SELECT o_orderkey, CAST(day(last_day(o_orderdate)) AS INTEGER) AS month_days, "
+    "CAST(dayofyear(date_trunc('month', o_orderdate)) - 1 AS INTEGER) AS days_before FROM orders",
 )
 def calendar(spark, sf_dir):
     month = yyyymm(F.col("o_orderdate"))

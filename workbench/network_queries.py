@@ -201,7 +201,7 @@ def biased(spark, sf_dir):
 @register(
     "sc7_matrix_times_vector",
     long_with(
-        "SELECT vec_id, r AS unit, round(sum(cos(r + 2 * pos) * value), 6) + 0 AS value FROM long, range(5) t(r) "
+        "SELECT vec_id, CAST(r AS INTEGER) AS unit, round(sum(cos(r + 2 * pos) * value), 6) + 0 AS value FROM long, range(5) t(r) "
         "GROUP BY vec_id, r"
     ),
 )
@@ -666,7 +666,7 @@ def restarts(spark, sf_dir):
     return log_rows(run, spark)
 
 
-EARLY = 0.0507
+EARLY = 0.040755
 
 
 @register(
@@ -696,13 +696,13 @@ def best(spark, sf_dir):
     return best_iteration(log).select("iteration", rounded("valid_loss", 9).alias("valid_loss"))
 
 
-FLAT = 0.0005
+FLAT = 0.000005
 
 
 @register(
     "win4_plateau_runs",
     lines_with(
-        "SELECT iteration, row_number() OVER (PARTITION BY island ORDER BY iteration) - 1 AS flat_epochs FROM ("
+        "SELECT iteration, CAST(row_number() OVER (PARTITION BY island ORDER BY iteration) - 1 AS INTEGER) AS flat_epochs FROM ("
         "SELECT *, sum(moved) OVER (ORDER BY iteration) AS island FROM ("
         f"SELECT *, CASE WHEN abs(lag(valid_loss) OVER (ORDER BY iteration) - valid_loss) <= {FLAT} THEN 0 ELSE 1 END "
         "AS moved FROM log))",
