@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -95,8 +96,6 @@ def activations(df: DataFrame, weights: Weights, config: NetworkConfig) -> DataF
     widths = [n + 1 for n in config.size[:-1]] + [config.size[-1]]
 
     def batches(parts):
-        import numpy as np
-
         for batch in parts:
             x = kernel.matrix(batch.column("features"), config.size[0], "features")
             acts = kernel.forward(x, weights, config)
@@ -130,11 +129,33 @@ def hidden_means(df: DataFrame, weights: Weights, config: NetworkConfig, previou
     """Mean output of every hidden unit (layer, unit, mean), units counted from 1.
 
     With the table of an earlier call, 0.01 of the new mean plus 0.99 of the old
-    one; without, the old means are 0.
+    one; without, the old means are 0. Tasks add up their rows, so one vector
+    per partition is shuffled.
     """
-    outputs = layer_outputs(df, weights, config, keys=[])
-    hidden = outputs.filter((F.col("layer") > 0) & (F.col("layer") < config.layer - 1) & (F.col("unit") > 0))
-    means = hidden.groupBy("layer", "unit").agg(F.avg("value").alias("now"))
+    weights = check_weights(weights, config)
+
+    def batches(parts):
+        sums = np.zeros(config.hidden_units + 1)
+        for batch in parts:
+            x = kernel.matrix(batch.column("features"), config.size[0], "features")
+            hidden = kernel.forward(x, weights, config)[1:-1]
+            sums += [*np.hstack(hidden).sum(axis=0), len(x)]
+        yield pa.RecordBatch.from_arrays([kernel.vectors(sums[None, :])], names=["sums"])
+
+    partials = df.select("features").mapInArrow(batches, "sums array<double>")
+    rows = F.element_at("sums", -1).alias("rows")
+    totals = (
+        partials.select(rows, F.posexplode("sums").alias("pos", "v"))
+        .filter(F.col("pos") < config.hidden_units)
+        .groupBy("pos")
+        .agg(F.try_divide(F.sum("v"), F.sum("rows")).alias("now"))
+    )
+    layer, before = F.lit(config.layer - 2), F.lit(config.hidden_units - config.size[-2])
+    for step in range(config.layer - 3, 0, -1):
+        start = sum(config.size[1:step])
+        inside = F.col("pos") < start + config.size[step]
+        layer, before = F.when(inside, F.lit(step)).otherwise(layer), F.when(inside, F.lit(start)).otherwise(before)
+    means = totals.select(layer.alias("layer"), (F.col("pos") - before + 1).alias("unit"), "now")
     if previous is None:
         return means.select("layer", "unit", (F.lit(0.01) * F.col("now")).alias("mean"))
     old = previous.select("layer", "unit", F.col("mean").alias("old"))

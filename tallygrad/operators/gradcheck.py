@@ -9,9 +9,11 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..network import NetworkConfig, Weights, check_weights, flatten, unflatten
 from . import kernel
-from .gradient import _place
+from .gradient import place_columns
 
 STEP = 1e-4
+# Rows are worked on in slices, so that a task holds at most this many derivatives.
+SLICE_VALUES = 2_000_000
 
 
 def _differences(x: np.ndarray, y: np.ndarray, weights: Weights, config: NetworkConfig, step: float) -> np.ndarray:
@@ -28,6 +30,35 @@ def _differences(x: np.ndarray, y: np.ndarray, weights: Weights, config: Network
     return out
 
 
+def _slices(batch: pa.RecordBatch, config: NetworkConfig):
+    rows = max(1, SLICE_VALUES // config.parameters)
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def row_gradients(df: DataFrame, weights: Weights, config: NetworkConfig, keys: list[str]) -> DataFrame:
+    """Derivatives of every row's loss as rows (keys, layer, r, c, g): the outer
+    products of each layer's deltas with the outputs before it."""
+    weights = check_weights(weights, config)
+    samples = df.select(*keys, "label", "features")
+
+    def batches(parts):
+        for batch in (part for whole in parts for part in _slices(whole, config)):
+            y = kernel.numbers(batch.column("label"), "label")
+            x = kernel.matrix(batch.column("features"), config.size[0], "features")
+            grads = kernel.row_gradients(kernel.forward(x, weights, config), y, weights, config)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in keys), kernel.vectors(grads)], names=[*keys, "grads"]
+            )
+
+    schema = StructType(
+        [f for f in samples.schema.fields if f.name in keys] + [StructField("grads", ArrayType(DoubleType()))]
+    )
+    exploded = samples.mapInArrow(batches, schema).select(*keys, F.posexplode("grads").alias("pos", "g"))
+    layer, r, c = place_columns(F.col("pos"), config)
+    return exploded.select(*keys, layer, r, c, "g")
+
+
 def gradient_check(
     df: DataFrame, weights: Weights, config: NetworkConfig, keys: list[str], step: float = STEP
 ) -> DataFrame:
@@ -40,7 +71,7 @@ def gradient_check(
     samples = df.select(*keys, "label", "features")
 
     def batches(parts):
-        for batch in parts:
+        for batch in (part for whole in parts for part in _slices(whole, config)):
             y = kernel.numbers(batch.column("label"), "label")
             x = kernel.matrix(batch.column("features"), config.size[0], "features")
             estimate = _differences(x, y, weights, config, step)
@@ -58,7 +89,7 @@ def gradient_check(
     both = samples.mapInArrow(batches, schema).select(
         *keys, F.posexplode(F.arrays_zip("estimates", "actuals")).alias("pos", "pair")
     )
-    layer, r, c = _place(F.col("pos"), config)
+    layer, r, c = place_columns(F.col("pos"), config)
     return both.select(
         *keys, layer, r, c, F.col("pair.estimates").alias("estimate"), F.col("pair.actuals").alias("actual")
     ).withColumn("ratio", F.try_divide("estimate", "actual"))
@@ -76,11 +107,9 @@ def gradient_check_summary(df: DataFrame, weights: Weights, config: NetworkConfi
         n = 0
         sums = np.zeros((2, config.parameters))
         worst = np.zeros(config.parameters)
-        for batch in parts:
+        for batch in (part for whole in parts for part in _slices(whole, config)):
             y = kernel.numbers(batch.column("label"), "label")
             x = kernel.matrix(batch.column("features"), config.size[0], "features")
-            if not len(y):
-                continue
             estimate = _differences(x, y, weights, config, step)
             actual = kernel.row_gradients(kernel.forward(x, weights, config), y, weights, config)
             n += len(y)
@@ -98,7 +127,7 @@ def gradient_check_summary(df: DataFrame, weights: Weights, config: NetworkConfi
     totals = partials.groupBy("pos").agg(
         F.sum("n").alias("n"), F.sum("estimate").alias("e"), F.sum("actual").alias("a"), F.max("worst").alias("worst")
     )
-    layer, r, c = _place(F.col("pos"), config)
+    layer, r, c = place_columns(F.col("pos"), config)
     return totals.select(
         layer,
         r,

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..network import NetworkConfig, Weights, check_weights, flatten, unflatten, zero_weights
 from . import kernel
@@ -33,7 +32,7 @@ def partial_sums(df: DataFrame, weights: Weights, config: NetworkConfig, gradien
     weights = check_weights(weights, config)
     has = {c: c in df.columns for c in ("is_valid", "noisy", "keep")}
     wanted = [c for c in ("label", "features", "is_valid", "noisy", "keep") if c in df.columns]
-    # Large networks travel as a broadcast: Spark ships closures above 1 MB that way.
+    # The weights ride in the closure, which Spark sends as a broadcast once it passes 1 MB.
 
     def batches(parts):
         grad = np.zeros(config.parameters)
@@ -64,12 +63,34 @@ def partial_sums(df: DataFrame, weights: Weights, config: NetworkConfig, gradien
     return df.select(*wanted).mapInArrow(batches, "sums array<double>")
 
 
-def summed(partials: DataFrame) -> DataFrame:
+def combined(partials: DataFrame, tasks: int) -> DataFrame:
+    """Partial vectors added up in ``tasks`` tasks, one vector each.
+
+    Worth a stage for wide networks over many partitions: vectors travel whole,
+    and only ``tasks`` of them are exploded afterwards.
+    """
+
+    def batches(parts):
+        total = None
+        for batch in parts:
+            lengths = np.diff(batch.column(0).offsets.to_numpy())
+            block = kernel.matrix(batch.column(0), int(lengths[0]), "sums").sum(axis=0) if len(lengths) else None
+            if block is not None:
+                total = block if total is None else total + block
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([kernel.vectors(total[None, :])], names=["sums"])
+
+    return partials.repartition(tasks).mapInArrow(batches, "sums array<double>")
+
+
+def summed(partials: DataFrame, combine_tasks: int | None = None) -> DataFrame:
     """Element-wise sum of the partial vectors as rows (pos, total)."""
+    if combine_tasks:
+        partials = combined(partials, combine_tasks)
     return partials.select(F.posexplode("sums").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("total"))
 
 
-def _place(pos: Column, config: NetworkConfig) -> tuple[Column, Column, Column]:
+def place_columns(pos: Column, config: NetworkConfig) -> tuple[Column, Column, Column]:
     """Columns (layer, r, c) of a flat weight position."""
     starts = np.cumsum([0] + [rows * cols for rows, cols in config.shapes])
     layer = r = c = None
@@ -98,33 +119,10 @@ def gradient_table(df: DataFrame, weights: Weights, config: NetworkConfig) -> Da
         .groupBy("pos")
         .agg(F.sum("v").alias("g_sum"), F.sum("rows").alias("n"))
     )
-    layer, r, c = _place(F.col("pos"), config)
+    layer, r, c = place_columns(F.col("pos"), config)
     return totals.select(layer, r, c, "g_sum", F.col("n").cast("long").alias("n"), F.try_divide("g_sum", "n").alias("g"))
 
 
-def row_gradients(df: DataFrame, weights: Weights, config: NetworkConfig, keys: list[str]) -> DataFrame:
-    """Derivatives of every row's loss as rows (keys, layer, r, c, g): the outer
-    products of each layer's deltas with the outputs before it."""
-    weights = check_weights(weights, config)
-    samples = df.select(*keys, "label", "features")
-
-    def batches(parts):
-        for batch in parts:
-            y = kernel.numbers(batch.column("label"), "label")
-            x = kernel.matrix(batch.column("features"), config.size[0], "features")
-            grads = kernel.row_gradients(kernel.forward(x, weights, config), y, weights, config)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keys), kernel.vectors(grads)], names=[*keys, "grads"]
-            )
-
-    schema = StructType(
-        [f for f in samples.schema.fields if f.name in keys] + [StructField("grads", ArrayType(DoubleType()))]
-    )
-    exploded = samples.mapInArrow(batches, schema).select(*keys, F.posexplode("grads").alias("pos", "g"))
-    layer, r, c = _place(F.col("pos"), config)
-    return exploded.select(*keys, layer, r, c, "g")
-
-
 @dataclass
 class PassResult:
     """What one job over the table tells about one set of weights."""
@@ -136,10 +134,12 @@ class PassResult:
     valid_loss: float | None
 
 
-def run_pass(df: DataFrame, weights: Weights, config: NetworkConfig, gradient: bool = True) -> PassResult:
+def run_pass(
+    df: DataFrame, weights: Weights, config: NetworkConfig, gradient: bool = True, combine_tasks: int | None = None
+) -> PassResult:
     """One job: average gradient and both losses. The driver receives P + 4 numbers."""
     values = np.zeros(config.parameters + len(TOTALS))
-    for row in summed(partial_sums(df, weights, config, gradient)).collect():
+    for row in summed(partial_sums(df, weights, config, gradient), combine_tasks).collect():
         values[row.pos] = row.total
     n_train, sse_train, n_valid, sse_valid = values[config.parameters :].tolist()
     grads = values[: config.parameters] / n_train if n_train else values[: config.parameters]

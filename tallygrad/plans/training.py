@@ -124,6 +124,7 @@ def train(
     plateau_length: int = PLATEAU_LENGTH,
     partitions: int | None = None,
     storage: str = "cache",
+    combine_tasks: int | None = None,
 ) -> TrainingRun:
     """Train on (label, features) samples and keep the weights of the best epoch.
 
@@ -132,24 +133,29 @@ def train(
     run stops early when a new best loss lies below ``target_loss``. When more
     than ``plateau_length`` epochs in a row change the loss by at most
     ``plateau_step``, new random weights are drawn and the learning rate starts
-    anew. Everything random follows from ``seed`` and row keys.
+    anew. Everything random follows from ``seed`` and row keys. For networks
+    with very many weights, ``combine_tasks`` adds up the vectors of the tasks in
+    a stage of their own.
     """
     held_out = validation > 0 or "is_valid" in samples.columns
     noisy = config.input_mask > 0 or config.dropout > 0
     table = prepare(samples, validation, seed, key, noisy, partitions, storage)
     try:
         return _epochs(
-            table, config, epochs, held_out, seed, init_weights, target_loss, plateau_step, plateau_length
+            table, config, epochs, held_out, seed, init_weights, target_loss, plateau_step, plateau_length, combine_tasks
         )
     finally:
         if storage == "cache":
             table.unpersist()
 
 
-def _epochs(table, config, epochs, held_out, seed, init_weights, target_loss, plateau_step, plateau_length):
+def _epochs(
+    table, config, epochs, held_out, seed, init_weights, target_loss, plateau_step, plateau_length, combine_tasks
+):
     def at(weights: Weights, epoch: int, gradient: bool = True):
         noisy = gradient and (config.input_mask > 0 or config.dropout > 0)
-        return run_pass(with_noise(table, config, epoch, seed) if noisy else table, weights, config, gradient)
+        source = with_noise(table, config, epoch, seed) if noisy else table
+        return run_pass(source, weights, config, gradient, combine_tasks)
 
     def judged(result) -> float:
         return result.valid_loss if held_out else result.train_loss

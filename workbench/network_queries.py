@@ -14,8 +14,8 @@ from tallygrad.functions.surfaces import SURFACES, rastrigin, rosenbrock, sphere
 from tallygrad.functions.vectors import masked, matvec, to_long, to_wide, vector, with_bias, without_first
 from tallygrad.network import NetworkConfig, initial_weights, weights_from_table, weights_table
 from tallygrad.operators.forward import hidden_means, layer_outputs, loss, score
-from tallygrad.operators.gradcheck import gradient_check, gradient_check_summary
-from tallygrad.operators.gradient import gradient_table, row_gradients, run_pass, update_table
+from tallygrad.operators.gradcheck import gradient_check, gradient_check_summary, row_gradients
+from tallygrad.operators.gradient import gradient_table, run_pass, update_table
 from tallygrad.operators.logs import best_iteration, plateau_runs, step_times
 from tallygrad.operators.samples import assemble, dropout_mask, mark_validation, mask_features, split_vector
 from tallygrad.operators.scaling import column_stats, label_stats, sample_stats, scale, scale_columns, vector_stats
@@ -360,7 +360,7 @@ def scaled_columns(spark, sf_dir):
 )
 def scaled_vectors(spark, sf_dir):
     samples = embedded(spark, sf_dir)
-    scaled = scale(samples, sample_stats(samples, 64))
+    scaled = scale(samples, sample_stats(samples))
     return to_long(scaled.withColumn("label", rounded("label")), ["vec_id", "label"], "features").withColumn(
         "value", rounded("value")
     )
