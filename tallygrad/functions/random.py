@@ -20,7 +20,12 @@ def uniform(*keys: Column, seed: int = 0) -> Column:
     return bits.cast("double") * F.lit(2.0**-53)
 
 
-def uniform_vector(size: Column | int, *keys: Column, seed: int = 0) -> Column:
-    """ARRAY of independent uniforms, one per position."""
-    slots = F.array_repeat(F.lit(0), size)
-    return F.transform(slots, lambda _, i: uniform(*keys, i, seed=seed))
+# Up to this width a vector of draws is spelled out, so that codegen compiles it.
+UNROLLED = 16
+
+
+def drawn_vector(size: Column | int, *keys: Column, seed: int = 0, then=lambda u: u) -> Column:
+    """ARRAY of independent uniforms, one per position, each passed through ``then``."""
+    if isinstance(size, int) and size <= UNROLLED:
+        return F.array(*[then(uniform(*keys, F.lit(i), seed=seed)) for i in range(size)])
+    return F.transform(F.array_repeat(F.lit(0), size), lambda _, i: then(uniform(*keys, i, seed=seed)))

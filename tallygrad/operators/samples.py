@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.random import row_key, uniform, uniform_vector
+from ..functions.random import drawn_vector, row_key, uniform
 from ..functions.vectors import masked, vector, without_first
 
 
@@ -30,19 +30,23 @@ def mark_validation(df: DataFrame, fraction: float, seed: int = 0, key: Sequence
     return df.withColumn("is_valid", uniform(*keys, seed=seed) < F.lit(float(fraction)))
 
 
-def input_mask(key: Column, features: Column, fraction: float, epoch: int, seed: int = 0) -> Column:
+def _kept(test: Column) -> Column:
+    return F.when(test, F.lit(1.0)).otherwise(F.lit(0.0))
+
+
+def input_mask(key: Column, width: Column | int, fraction: float, epoch: int, seed: int = 0) -> Column:
     """0/1 vector: an element survives when its draw is at least ``fraction``."""
-    draws = uniform_vector(F.size(features), key, F.lit(epoch), seed=seed)
-    return F.transform(draws, lambda u: F.when(u >= F.lit(float(fraction)), F.lit(1.0)).otherwise(F.lit(0.0)))
+    return drawn_vector(width, key, F.lit(epoch), seed=seed, then=lambda u: _kept(u >= F.lit(float(fraction))))
 
 
-def mask_features(df: DataFrame, fraction: float, key: Column, epoch: int = 0, seed: int = 0) -> DataFrame:
+def mask_features(
+    df: DataFrame, fraction: float, key: Column, epoch: int = 0, seed: int = 0, width: int | None = None
+) -> DataFrame:
     """Denoising input: set about ``fraction`` of the feature values to 0; labels stay."""
-    mask = input_mask(key, F.col("features"), fraction, epoch, seed)
+    mask = input_mask(key, F.size("features") if width is None else width, fraction, epoch, seed)
     return df.withColumn("features", masked(F.col("features"), mask))
 
 
 def dropout_mask(key: Column, units: int, fraction: float, epoch: int, seed: int = 0) -> Column:
     """0/1 vector over all hidden units: a unit works when its draw is above ``fraction``."""
-    draws = uniform_vector(units, key, F.lit(epoch), seed=seed + 1)
-    return F.transform(draws, lambda u: F.when(u > F.lit(float(fraction)), F.lit(1.0)).otherwise(F.lit(0.0)))
+    return drawn_vector(units, key, F.lit(epoch), seed=seed + 1, then=lambda u: _kept(u > F.lit(float(fraction))))

@@ -102,7 +102,7 @@ def prepare(
 def with_noise(table: DataFrame, config: NetworkConfig, epoch: int, seed: int) -> DataFrame:
     """Add this epoch's masked features and dropout mask, where the settings ask for them."""
     if config.input_mask > 0:
-        mask = input_mask(F.col("row_key"), F.col("features"), config.input_mask, epoch, seed)
+        mask = input_mask(F.col("row_key"), config.size[0], config.input_mask, epoch, seed)
         table = table.withColumn("noisy", masked(F.col("features"), mask))
     if config.dropout > 0:
         table = table.withColumn(

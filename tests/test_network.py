@@ -432,6 +432,8 @@ def test_mask_features(data):
     kept = sum(v != 0 for f in got.values() for v in f) / 900
     assert abs(kept - 0.7) < 0.05
     assert all(v in (0, x[k][i]) for k, f in got.items() for i, v in enumerate(f))
+    spelled_out = mask_features(df, 0.3, F.col("k"), epoch=1, seed=9, width=3)
+    assert got == {r.k: r.features for r in spelled_out.collect()}
     other = mask_features(df, 0.3, F.col("k"), epoch=2, seed=9)
     assert got != {r.k: r.features for r in other.collect()}
     assert {r.k: r.features for r in mask_features(df, 0.0, F.col("k")).collect()} == {k: list(v) for k, v in enumerate(x)}

@@ -430,6 +430,25 @@ def losses(spark, sf_dir):
     )
 
 
+START = initial_weights(SMALL, 21)
+
+
+@register(
+    "ml2_loss_of_initial_weights",
+    lines_with(
+        "SELECT round(lt, 9) AS train_loss, round(lv, 9) AS valid_loss FROM l0",
+        weight_row("w0", SMALL, START),
+        loss_sql("lines", "w0", SMALL, "l0"),
+    ),
+)
+def initial_losses(spark, sf_dir):
+    """What a run starts from: the losses of small random weights, written into the SQL as numbers."""
+    result = run_pass(lines(spark, sf_dir), START, SMALL, gradient=False)
+    return spark.createDataFrame(
+        [(round(result.train_loss, 9), round(result.valid_loss, 9))], "train_loss double, valid_loss double"
+    )
+
+
 @register(
     "ml12_predict_and_loss",
     embedded_with(
