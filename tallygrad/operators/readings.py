@@ -18,9 +18,9 @@ LONGEST_MONTH = 31
 
 
 def select_meters(df: DataFrame, ids: str | Sequence[str] | DataFrame) -> DataFrame:
-    """Keep one meter, a few listed ones, or those of a table with an ``id`` column."""
+    """Keep one meter, a few listed ones, or those of a table with only an ``id`` column."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select("id").distinct(), "id", "left_semi")
+        return df.join(ids, "id", "left_semi")
     wanted = [ids] if isinstance(ids, str) else list(ids)
     return df.filter(F.col("id").isin(wanted))
 

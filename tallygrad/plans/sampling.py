@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.neighbours import SHORTEST_MONTH, below, neighbour_samples
 from ..operators.readings import LONGEST_MONTH, complete_months, daily_use, reading_order, select_meters
 
 
+# A table of at most this many wanted ids is broadcast.
+BROADCAST_IDS = 100_000
+
+
+def fits_broadcast(ids: DataFrame, most: int = BROADCAST_IDS) -> bool:
+    """Whether a table holds at most ``most`` ids; counts no further than that."""
+    return ids.select("id").limit(most + 1).count() <= most
+
+
 def clean_readings(
     records: DataFrame,
     ids: str | Sequence[str] | DataFrame | None = None,
@@ -17,10 +26,28 @@ def clean_readings(
     null_policy: str = "zero",
     order_by: str = "total",
     longest: int | None = LONGEST_MONTH,
+    broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
-    """Daily use of complete meter-months, for all meters or the wanted ones."""
-    wanted = records if ids is None else select_meters(records, ids)
-    return daily_use(complete_months(wanted, expected_rows, null_policy, order_by, longest), order_by)
+    """Daily use of complete meter-months, for all meters or the wanted ones.
+
+    Listed ids and tables of up to ``broadcast_ids`` of them filter the readings
+    where they are scanned. A longer table is joined after the complete months
+    are found: joining before would move all readings of a broken id, which may
+    hold a third of them, into one task.
+    """
+
+    def clean(df: DataFrame) -> DataFrame:
+        return complete_months(df, expected_rows, null_policy, order_by, longest)
+
+    if isinstance(ids, DataFrame):
+        ids = ids.select("id").distinct()
+        if fits_broadcast(ids, broadcast_ids):
+            whole = clean(select_meters(records, F.broadcast(ids)))
+        else:
+            whole = select_meters(clean(records), ids)
+    else:
+        whole = clean(records if ids is None else select_meters(records, ids))
+    return daily_use(whole, order_by)
 
 
 def build_samples(
@@ -32,9 +59,10 @@ def build_samples(
     order_by: str = "total",
     max_label: float | None = None,
     longest: int | None = LONGEST_MONTH,
+    broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """Neighbour samples of complete meter-months: one exchange for the whole chain."""
     if isinstance(expected_rows, int) and expected_rows < SHORTEST_MONTH:
         raise ValueError(f"neighbour samples need at least {SHORTEST_MONTH} rows in a meter-month")
-    clean = clean_readings(records, ids, expected_rows, null_policy, order_by, longest)
+    clean = clean_readings(records, ids, expected_rows, null_policy, order_by, longest, broadcast_ids)
     return below(neighbour_samples(clean, value, reading_order(order_by)), max_label)
