@@ -21,6 +21,7 @@ from tallygrad.operators.gradcheck import gradient_check, gradient_check_summary
 from tallygrad.operators.gradient import gradient_table, partial_sums, run_pass, summed, update, update_table
 from tallygrad.operators.logs import best_iteration, plateau_runs, step_times
 from tallygrad.operators.samples import dropout_mask, mark_validation, mask_features, split_vector
+from tallygrad.operators.scaling import sample_stats, scale
 from tallygrad.plans.training import LOG_SCHEMA, Model, prepare, train, with_noise
 from tallygrad.streaming.scoring import score_stream
 
@@ -245,6 +246,21 @@ def test_streams_are_scored_without_state(spark, data, tmp_path):
         score_stream(df, model)
 
 
+def test_streams_are_scaled_with_fitted_statistics(spark, data, tmp_path):
+    df, *_ = data
+    model = Model(SHAPES[0], initial_weights(SHAPES[0], 2))
+    stats = sample_stats(df).first()
+    source = str(tmp_path / "in")
+    df.drop("is_valid").write.parquet(source)
+    stream = spark.readStream.schema("k long, label double, features array<double>").parquet(source)
+    query = score_stream(stream, model, stats).writeStream.format("memory").queryName("scaled").start()
+    query.processAllAvailable()
+    query.stop()
+    got = {r.k: r.predict_label for r in spark.table("scaled").collect()}
+    want = {r.k: r.predict_label for r in model.predict(scale(df, stats)).collect()}
+    assert got == pytest.approx(want)
+
+
 # --- gradients ----------------------------------------------------------------------
 
 
