@@ -54,7 +54,7 @@ def main() -> None:
     stats = sample_stats(samples).first()
     timed("scale", lambda: drain(scale(samples, stats)), total)
 
-    table = prepare(samples, partitions=CPUS)
+    table = prepare(samples, small, partitions=CPUS)
     timed("first_pass", lambda: run_pass(table, weights, small))
     timed("second_pass", lambda: run_pass(table, weights, small), total)
     timed("third_pass", lambda: run_pass(table, weights, small), total)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..network import NetworkConfig, Weights, check_weights, flatten, unflatten, zero_weights
 from . import kernel
+from .blocks import is_blocked, unpacked
 
 # Totals that follow the derivatives in a partial vector.
 TOTALS = ("train_rows", "train_sse", "valid_rows", "valid_sse")
@@ -24,39 +25,42 @@ TOTALS = ("train_rows", "train_sse", "valid_rows", "valid_sse")
 def partial_sums(df: DataFrame, weights: Weights, config: NetworkConfig, gradient: bool = True) -> DataFrame:
     """One vector ``sums`` per partition: derivatives over training rows, then TOTALS.
 
-    Reads ``label``, ``features`` and, where present, ``is_valid`` (rows that
-    only count for the validation loss), ``noisy`` (masked features for the
-    training pass) and ``keep`` (dropout mask). Losses always come from a clean
-    forward pass, which also serves the gradient unless noise is asked for.
+    Takes blocks, or rows with ``label``, ``features`` and, where present,
+    ``is_valid`` (rows that only count for the validation loss), ``noisy`` (masked
+    features for the training pass) and ``keep`` (dropout mask). Losses always
+    come from a clean forward pass, which also serves the gradient unless noise
+    is asked for.
     """
     weights = check_weights(weights, config)
-    has = {c: c in df.columns for c in ("is_valid", "noisy", "keep")}
+    blocked, width = is_blocked(df), config.size[0]
     wanted = [c for c in ("label", "features", "is_valid", "noisy", "keep") if c in df.columns]
+    has_noise = "noisy" in wanted or "keep" in wanted
     # The weights ride in the closure, which Spark sends as a broadcast once it passes 1 MB.
 
+    def rows(batch):
+        y = kernel.numbers(batch.column("label"), "label")
+        held = np.zeros(len(y), bool)
+        if "is_valid" in wanted:
+            held = kernel.numbers(batch.column("is_valid"), "is_valid").astype(bool)
+        yield y, kernel.matrix(batch.column("features"), width, "features"), held
+
+    def noisy_pass(batch, x):
+        keep = kernel.matrix(batch.column("keep"), config.hidden_units, "keep") if "keep" in wanted else None
+        source = kernel.matrix(batch.column("noisy"), width, "noisy") if "noisy" in wanted else x
+        return kernel.forward(source, weights, config, keep), keep
+
     def batches(parts):
         grad = np.zeros(config.parameters)
         totals = np.zeros(len(TOTALS))
         for batch in parts:
-            y = kernel.numbers(batch.column("label"), "label")
-            x = kernel.matrix(batch.column("features"), config.size[0], "features")
-            acts = kernel.forward(x, weights, config)
-            squares = (y - acts[-1][:, 0]) ** 2
-            train = np.ones(len(y), bool)
-            if has["is_valid"]:
-                train = ~kernel.numbers(batch.column("is_valid"), "is_valid").astype(bool)
-            totals += [train.sum(), squares[train].sum(), (~train).sum(), squares[~train].sum()]
-            if not gradient or not train.any():
-                continue
-            keep = None
-            if has["noisy"] or has["keep"]:
-                source = kernel.matrix(batch.column("noisy"), config.size[0], "noisy") if has["noisy"] else x
-                if has["keep"]:
-                    keep = kernel.matrix(batch.column("keep"), config.hidden_units, "keep")[train]
-                acts = kernel.forward(source[train], weights, config, keep)
-            elif not train.all():
-                acts = [a[train] for a in acts]
-            grad += flatten(kernel.gradient_sums(acts, y[train], weights, config, keep))
+            for y, x, held in unpacked(batch, width) if blocked else rows(batch):
+                acts, keep, train = kernel.forward(x, weights, config), None, ~held
+                squares = (y - acts[-1][:, 0]) ** 2
+                totals += [train.sum(), squares[train].sum(), held.sum(), squares[held].sum()]
+                if gradient:
+                    if has_noise:
+                        acts, keep = noisy_pass(batch, x)
+                    grad += flatten(kernel.gradient_sums(acts, y, weights, config, keep, train))
         sums = np.concatenate([grad, totals])[None, :]
         yield pa.RecordBatch.from_arrays([kernel.vectors(sums)], names=["sums"])
 

@@ -64,7 +64,7 @@ def forward(
     """
     acts, used = [x], 0
     for step, w in enumerate(weights):
-        z = acts[-1] @ w[:, 1:].T + w[:, 0]
+        z = acts[-1] @ np.ascontiguousarray(w[:, 1:].T) + w[:, 0]
         if step == len(weights) - 1:
             acts.append(_activate(z, config.output))
             break
@@ -79,10 +79,15 @@ def forward(
 
 
 def gradient_sums(
-    acts: list[np.ndarray], y: np.ndarray, weights: Weights, config: NetworkConfig, keep: np.ndarray | None = None
+    acts: list[np.ndarray],
+    y: np.ndarray,
+    weights: Weights,
+    config: NetworkConfig,
+    keep: np.ndarray | None = None,
+    used: np.ndarray | None = None,
 ) -> Weights:
-    """Sum over the batch of the derivatives of half the squared error."""
-    deltas = _deltas(acts, y, weights, config, keep)
+    """Sum over the batch, or its ``used`` rows, of the derivatives of half the squared error."""
+    deltas = _deltas(acts, y, weights, config, keep, used)
     return [np.hstack([d.sum(axis=0)[:, None], d.T @ a]) for d, a in zip(deltas, acts)]
 
 
@@ -90,15 +95,16 @@ def row_gradients(acts: list[np.ndarray], y: np.ndarray, weights: Weights, confi
     """(rows, parameters) derivatives, in the order of ``network.flatten``."""
     rows = len(y)
     parts = []
-    for d, a in zip(_deltas(acts, y, weights, config, None), acts):
+    for d, a in zip(_deltas(acts, y, weights, config), acts):
         inputs = np.hstack([np.ones((rows, 1)), a])
         parts.append((d[:, :, None] * inputs[:, None, :]).reshape(rows, -1))
     return np.hstack(parts)
 
 
-def _deltas(acts, y, weights, config, keep) -> list[np.ndarray]:
+def _deltas(acts, y, weights, config, keep=None, used=None) -> list[np.ndarray]:
     out = acts[-1]
-    deltas = [(out - y[:, None]) * _slope(out, config.output)]
+    last = (out - y[:, None]) * _slope(out, config.output)
+    deltas = [last if used is None else np.where(used[:, None], last, 0.0)]
     end = config.hidden_units
     for step in range(len(weights) - 1, 0, -1):
         a = acts[step]

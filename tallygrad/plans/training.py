@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.random import row_key
 from ..functions.vectors import masked
 from ..network import NetworkConfig, Weights, check_weights, initial_weights, weights_table, zero_weights
+from ..operators.blocks import to_blocks
 from ..operators.forward import loss as scored_loss, score
 from ..operators.gradient import run_pass, update
 from ..operators.samples import dropout_mask, input_mask, mark_validation
@@ -63,33 +64,40 @@ class TrainingRun:
         return spark.createDataFrame(self.log, LOG_SCHEMA)
 
 
+def is_noisy(config: NetworkConfig) -> bool:
+    return config.input_mask > 0 or config.dropout > 0
+
+
 def prepare(
     samples: DataFrame,
+    config: NetworkConfig,
     validation: float = 0.0,
     seed: int = 0,
     key: Sequence[str] = (),
-    keyed: bool = False,
     partitions: int | None = None,
     storage: str = "cache",
 ) -> DataFrame:
-    """The table all epochs read: label, features, ``is_valid`` and, if asked for, ``row_key``.
+    """The table all epochs read: blocks of label, features and ``is_valid``.
 
-    An ``is_valid`` column of the samples is used as it is. ``storage="cache"``
-    persists in memory and on disk; ``"table"`` writes Parquet into the shared
-    folder and reads it back, so that a lost executor costs no recomputation of
-    the steps before.
+    With masked inputs or dropout, whose draws are columns, it holds single rows
+    and their ``row_key`` instead. An ``is_valid`` column of the samples is used as
+    it is. ``storage="cache"`` persists in memory and on disk; ``"table"`` writes
+    Parquet into the shared folder and reads it back, so that a lost executor
+    costs no recomputation of the steps before.
     """
     columns = [F.col("label").cast("double").alias("label"), F.col("features")]
     if "is_valid" not in samples.columns and validation > 0:
         samples = mark_validation(samples, validation, seed, key)
     if "is_valid" in samples.columns:
         columns.append(F.col("is_valid"))
-    if keyed:
+    if is_noisy(config):
         named = [F.col(c) for c in key]
         columns.append((F.xxhash64(*named) if named else row_key(samples)).alias("row_key"))
     table = samples.select(*columns)
     if partitions:
         table = table.repartition(partitions)
+    if not is_noisy(config):
+        table = to_blocks(table, config.size[0])
     if storage == "cache":
         return table.persist(StorageLevel.MEMORY_AND_DISK)
     if storage == "table":
@@ -138,8 +146,7 @@ def train(
     a stage of their own.
     """
     held_out = validation > 0 or "is_valid" in samples.columns
-    noisy = config.input_mask > 0 or config.dropout > 0
-    table = prepare(samples, validation, seed, key, noisy, partitions, storage)
+    table = prepare(samples, config, validation, seed, key, partitions, storage)
     try:
         return _epochs(
             table, config, epochs, held_out, seed, init_weights, target_loss, plateau_step, plateau_length, combine_tasks
@@ -153,8 +160,7 @@ def _epochs(
     table, config, epochs, held_out, seed, init_weights, target_loss, plateau_step, plateau_length, combine_tasks
 ):
     def at(weights: Weights, epoch: int, gradient: bool = True):
-        noisy = gradient and (config.input_mask > 0 or config.dropout > 0)
-        source = with_noise(table, config, epoch, seed) if noisy else table
+        source = with_noise(table, config, epoch, seed) if gradient else table
         return run_pass(source, weights, config, gradient, combine_tasks)
 
     def judged(result) -> float:

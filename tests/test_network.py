@@ -16,6 +16,7 @@ from tallygrad.network import (
     weights_from_table,
     weights_table,
 )
+from tallygrad.operators import blocks
 from tallygrad.operators.forward import activations, hidden_means, layer_outputs, loss, score
 from tallygrad.operators.gradcheck import gradient_check, gradient_check_summary, row_gradients
 from tallygrad.operators.gradient import gradient_table, partial_sums, run_pass, summed, update, update_table
@@ -475,13 +476,32 @@ def test_dropout_mask_share(spark):
     assert abs(keep.agg(F.avg("k")).first()[0] - 0.75) < 0.01
 
 
-def test_prepared_table_holds_only_what_epochs_read(data):
+def test_blocks_hold_all_rows_and_give_the_same_pass(data, monkeypatch):
+    df, x, y, valid = data
+    config = SHAPES[-1]
+    w = initial_weights(config, 2)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 700)
+    packed = blocks.to_blocks(df, 3)
+    assert packed.agg(F.sum("rows")).first()[0] == 300
+    assert packed.agg(F.max("rows")).first()[0] <= blocks.block_rows(3) < 30
+    a, b = run_pass(df, w, config), run_pass(packed, w, config)
+    assert all(np.allclose(u, v, atol=1e-13) for u, v in zip(a.gradient, b.gradient))
+    assert (a.train_rows, a.valid_rows) == (b.train_rows, b.valid_rows)
+    assert (a.train_loss, a.valid_loss) == pytest.approx((b.train_loss, b.valid_loss))
+    plain = run_pass(blocks.to_blocks(df.drop("is_valid"), 3), w, config)
+    assert (plain.train_rows, plain.valid_rows, plain.valid_loss) == (300, 0, None)
+
+
+def test_prepared_table(data):
     df, *_ = data
-    table = prepare(df, keyed=False)
+    packed = prepare(df, SHAPES[0])
+    noisy = prepare(df, NetworkConfig(size=(3, 4, 1), dropout=0.1), key=["k"])
     try:
-        assert table.columns == ["label", "features", "is_valid"]
+        assert packed.columns == ["rows", "label", "features", "is_valid"]
+        assert noisy.columns == ["label", "features", "is_valid", "row_key"]
     finally:
-        table.unpersist()
+        packed.unpersist()
+        noisy.unpersist()
 
 
 def test_split_vector(spark):
