@@ -179,7 +179,9 @@ def update(
     return new_w, new_v
 
 
-def update_table(weights: DataFrame, gradients: DataFrame, velocity: DataFrame | None, config: NetworkConfig, rate: float) -> DataFrame:
+def update_table(
+    weights: DataFrame, gradients: DataFrame, velocity: DataFrame | None, config: NetworkConfig, rate: float
+) -> DataFrame:
     """:func:`update` on tables: (layer, r, c, w, v) from (…, w), (…, g) and (…, v)."""
     place = ["layer", "r", "c"]
     joined = weights.select(*place, "w").join(gradients.select(*place, "g"), place)

@@ -8,7 +8,9 @@ from ..functions.random import uniform
 from ..functions.surfaces import SURFACES
 
 
-def random_samples(df: DataFrame, key: Column, width: int, low: float, high: float, surface: str, seed: int = 0) -> DataFrame:
+def random_samples(
+    df: DataFrame, key: Column, width: int, low: float, high: float, surface: str, seed: int = 0
+) -> DataFrame:
     """One random sample per row of ``df``: adds ``label`` and ``features``.
 
     Features are uniform in [low, high), or random bits for ``xor``; they depend on
@@ -30,7 +32,9 @@ def random_samples(df: DataFrame, key: Column, width: int, low: float, high: flo
     return drawn.select(*kept, SURFACES[surface](xs).alias("label"), F.array(*xs).alias("features"))
 
 
-def synthetic_samples(spark: SparkSession, rows: int, width: int, low: float, high: float, surface: str, seed: int = 0) -> DataFrame:
+def synthetic_samples(
+    spark: SparkSession, rows: int, width: int, low: float, high: float, surface: str, seed: int = 0
+) -> DataFrame:
     """``rows`` random samples (row_id, label, features)."""
     ids = spark.range(rows).withColumnRenamed("id", "row_id")
     return random_samples(ids, F.col("row_id"), width, low, high, surface, seed)

@@ -182,4 +182,7 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def formula_weights(config: NetworkConfig) -> Weights:
     """Weights both engines can build: cos(r + 2c) / 20."""
-    return [np.array([[math.cos(r + 2 * c) / 20 for c in range(cols)] for r in range(rows)]) for rows, cols in config.shapes]
+    return [
+        np.array([[math.cos(r + 2 * c) / 20 for c in range(cols)] for r in range(rows)])
+        for rows, cols in config.shapes
+    ]

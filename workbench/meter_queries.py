@@ -13,7 +13,6 @@ from tallygrad.operators.readings import (
     daily_use,
     has_missing,
     reading_order,
-    select_meters,
     zero_filled,
 )
 from tallygrad.plans.sampling import build_samples, clean_readings

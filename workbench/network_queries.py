@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallygrad.functions import activations as act
 from tallygrad.functions.metrics import error, relative_error, squared_error
@@ -189,7 +189,8 @@ def activation_functions(spark, sf_dir):
 @register(
     "sc6_with_bias",
     long_with(
-        "SELECT vec_id, pos + 1 AS pos, value FROM long UNION ALL SELECT vec_id, 0 AS pos, 1.0::DOUBLE AS value FROM embeddings"
+        "SELECT vec_id, pos + 1 AS pos, value FROM long "
+        "UNION ALL SELECT vec_id, 0 AS pos, 1.0::DOUBLE AS value FROM embeddings"
     ),
 )
 def biased(spark, sf_dir):
@@ -299,7 +300,10 @@ def errors(spark, sf_dir):
     )
 
 
-@register("sc19_long_and_wide", "SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(64)) + " FROM embeddings")
+@register(
+    "sc19_long_and_wide",
+    "SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(64)) + " FROM embeddings",
+)
 def reshaped(spark, sf_dir):
     wide = to_wide(to_long(embedded(spark, sf_dir), ["vec_id"], "features"), ["vec_id"], 64)
     return wide.select("vec_id", *[F.get("features", F.lit(i)).alias(f"x{i}") for i in range(64)])
@@ -421,7 +425,11 @@ def deep_scores(spark, sf_dir):
 
 @register(
     "agg7_ml7_loss",
-    lines_with("SELECT round(lt, 9) AS train_loss, round(lv, 9) AS valid_loss FROM l0", weight_row("w0", SMALL), loss_sql("lines", "w0", SMALL, "l0")),
+    lines_with(
+        "SELECT round(lt, 9) AS train_loss, round(lv, 9) AS valid_loss FROM l0",
+        weight_row("w0", SMALL),
+        loss_sql("lines", "w0", SMALL, "l0"),
+    ),
 )
 def losses(spark, sf_dir):
     result = run_pass(lines(spark, sf_dir), formula_weights(SMALL), SMALL, gradient=False)
@@ -734,9 +742,17 @@ def plateaus(spark, sf_dir):
     return plateau_runs(log, step=FLAT).select("iteration", "flat_epochs")
 
 
-@register("win5_step_times")
+@register(
+    "win5_step_times",
+    lines_with(f"SELECT iteration, true AS adds_up, true AS never_negative FROM ({log_sql(EPOCHS)})", RUN),
+)
 def epoch_times(spark, sf_dir):
-    return step_times(trained(spark, sf_dir, HEAVY).log_table(spark)).select("iteration", "elapsed_ms", "step_ms")
+    """Times differ from run to run; that they add up to the cumulative ones does not."""
+    steps = step_times(trained(spark, sf_dir, HEAVY).log_table(spark))
+    so_far = F.sum("step_ms").over(Window.orderBy("iteration"))  # a log has one row per epoch
+    return steps.select(
+        "iteration", (so_far == F.col("elapsed_ms")).alias("adds_up"), (F.col("step_ms") >= 0).alias("never_negative")
+    )
 
 
 # --- masks and dropout ------------------------------------------------------------
