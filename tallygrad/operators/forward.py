@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.activations import ACTIVATIONS
 from ..functions.metrics import half_mean_square
@@ -14,7 +13,7 @@ from . import kernel
 
 # Measured on 6 million rows: below these sizes generated code scores faster
 # than Arrow batches; above, the generated method outgrows the JIT compiler and
-# is several times slower.
+# is many times slower.
 COLUMN_LAYER_LIMIT = 64
 COLUMN_TOTAL_LIMIT = 128
 
@@ -28,24 +27,18 @@ def _use_columns(config: NetworkConfig, method: str) -> bool:
     return largest <= COLUMN_LAYER_LIMIT and config.parameters <= COLUMN_TOTAL_LIMIT
 
 
-def _with_fields(schema: StructType, *fields: StructField) -> StructType:
-    taken = {f.name for f in fields}
-    return StructType([f for f in schema.fields if f.name not in taken] + list(fields))
-
-
 def score(df: DataFrame, weights: Weights, config: NetworkConfig, method: str = "auto") -> DataFrame:
     """Add ``predict_label`` and, where a ``label`` exists, ``error`` = label - predict_label.
 
     Small networks become plain arithmetic inside whole-stage codegen, larger
-    ones one matrix product per layer and Arrow batch. Neither shuffles, and
-    both run on streams. Select only the columns to keep first: the Arrow way
-    carries every column along.
+    ones one matrix product per layer and Arrow batch; only the features travel
+    to Python then. Neither shuffles, and both run on streams.
     """
     weights = check_weights(weights, config)
     if _use_columns(config, method):
         scored = _score_columns(df, weights, config)
     else:
-        scored = _score_arrow(df, weights, config)
+        scored = df.withColumn("predict_label", _predictor(weights, config)("features"))
     if "label" not in df.columns:
         return scored
     return scored.withColumn("error", F.col("label") - F.col("predict_label"))
@@ -72,17 +65,13 @@ def _score_columns(df: DataFrame, weights: Weights, config: NetworkConfig) -> Da
     return df
 
 
-def _score_arrow(df: DataFrame, weights: Weights, config: NetworkConfig) -> DataFrame:
-    rest = [c for c in df.columns if c not in ("predict_label", "error")]
-    df = df.select(*[F.col(f"`{c}`") for c in rest])
+def _predictor(weights: Weights, config: NetworkConfig):
+    @F.arrow_udf("double")
+    def predict(features: pa.Array) -> pa.Array:
+        x = kernel.matrix(features, config.size[0], "features")
+        return pa.array(kernel.forward(x, weights, config)[-1][:, 0])
 
-    def batches(parts):
-        for batch in parts:
-            x = kernel.matrix(batch.column("features"), config.size[0], "features")
-            predicted = kernel.forward(x, weights, config)[-1][:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted)], names=[*rest, "predict_label"])
-
-    return df.mapInArrow(batches, _with_fields(df.schema, StructField("predict_label", DoubleType())))
+    return predict
 
 
 def activations(df: DataFrame, weights: Weights, config: NetworkConfig) -> DataFrame:
@@ -91,26 +80,19 @@ def activations(df: DataFrame, weights: Weights, config: NetworkConfig) -> DataF
     All layers but the last start with the bias unit 1.
     """
     weights = check_weights(weights, config)
-    rest = [c for c in df.columns if c != "activations"]
-    df = df.select(*[F.col(f"`{c}`") for c in rest])
     widths = [n + 1 for n in config.size[:-1]] + [config.size[-1]]
 
-    def batches(parts):
-        for batch in parts:
-            x = kernel.matrix(batch.column("features"), config.size[0], "features")
-            acts = kernel.forward(x, weights, config)
-            ones = np.ones((len(x), 1))
-            flat = np.hstack([part for a in acts[:-1] for part in (ones, a)] + [acts[-1]])
-            inner = np.tile(np.array(widths), len(x))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(inner)]).astype(np.int32))
-            layers = pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))
-            outer = pa.array(np.arange(0, len(inner) + 1, len(widths), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(outer, layers)], names=[*rest, "activations"]
-            )
-
-    field = StructField("activations", ArrayType(ArrayType(DoubleType())))
-    return df.mapInArrow(batches, _with_fields(df.schema, field))
+    @F.arrow_udf("array<array<double>>")
+    def outputs(features: pa.Array) -> pa.Array:
+        acts = kernel.forward(kernel.matrix(features, config.size[0], "features"), weights, config)
+        ones = np.ones((len(features), 1))
+        flat = np.hstack([part for a in acts[:-1] for part in (ones, a)] + [acts[-1]])
+        ends = np.cumsum(np.tile(widths, len(features)))
+        layers = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.ravel()))
+        rows = pa.array(np.arange(0, len(ends) + 1, len(widths)), pa.int32())
+        return pa.ListArray.from_arrays(rows, layers)
+
+    return df.withColumn("activations", outputs("features"))
 
 
 def layer_outputs(df: DataFrame, weights: Weights, config: NetworkConfig, keys: list[str]) -> DataFrame:
