@@ -1 +1 @@
-"""Operators: DataFrame in, DataFrame out, nothing evaluated."""
+"""Operators: DataFrame in, DataFrame out. Only ``run_pass`` and vector ``scale`` run a job of their own."""

@@ -33,6 +33,7 @@ from .network_sql import (
     gradient_sql,
     log_sql,
     loss_sql,
+    mask_columns,
 
     training_ctes,
     unpivot,
@@ -797,6 +798,42 @@ def dropout_training(spark, sf_dir):
     return log_rows(trained(spark, sf_dir, config, 3), spark)
 
 
+MASKED = NetworkConfig(size=(6, 4, 3, 1), input_mask=0.3, dropout=0.3)
+# Masks both engines can build: a feature survives by the size of the next one, a unit by a feature of its own.
+GIVEN = (
+    "given AS (SELECT y, v, "
+    + ", ".join(f"CASE WHEN x{(i + 1) % 6 + 1} >= 0.3 THEN x{i + 1} ELSE 0 END AS x{i + 1}" for i in range(6))
+    + ", "
+    + ", ".join(f"CASE WHEN x{k % 6 + 1} > 0.25 THEN 1 ELSE 0 END AS {m}" for k, m in enumerate(mask_columns(MASKED)))
+    + " FROM lines)"
+)
+
+
+@register(
+    "ml14_ml15_gradient_under_masks",
+    lines_with(
+        unpivot("g0", MASKED, {"g": "round(g_{p}, 9) + 0", "n": "n"}),
+        GIVEN,
+        weight_row("w0", MASKED),
+        gradient_sql("given", "w0", MASKED, "g0", masks=True),
+    ),
+)
+def gradient_under_masks(spark, sf_dir):
+    """What a noisy epoch computes, with masks from the data instead of draws."""
+
+    def kept(test):
+        return F.when(test, F.lit(1.0)).otherwise(F.lit(0.0))
+
+    def x(i):
+        return F.get("features", F.lit(i))
+
+    features = F.array(*[kept(x((i + 1) % 6) >= 0.3) for i in range(6)])
+    units = F.array(*[kept(x(k % 6) > 0.25) for k in range(MASKED.hidden_units)])
+    samples = lines(spark, sf_dir).withColumns({"noisy": masked(F.col("features"), features), "keep": units})
+    grads = gradient_table(samples, formula_weights(MASKED), MASKED)
+    return grads.select("layer", "r", "c", rounded("g", 9).alias("g"), "n")
+
+
 HALVED = NetworkConfig(size=(6, 5, 1), dropout=0.25)
 
 

@@ -42,10 +42,17 @@ def weight_row(name: str, config: NetworkConfig, weights: Weights | None = None)
     return f"{name} AS MATERIALIZED (SELECT {', '.join(cols)})"
 
 
-def forward(source: str, weights: str, config: NetworkConfig, keep: str) -> str:
-    """SELECT of ``keep``, x1.., hidden outputs a1_0.. and the output ``o`` per source row."""
+def mask_columns(config: NetworkConfig) -> list[str]:
+    return [f"m{l}_{u}" for l in range(1, config.layer - 1) for u in range(config.size[l])]
+
+
+def forward(source: str, weights: str, config: NetworkConfig, keep: str, masks: bool = False) -> str:
+    """SELECT of ``keep``, x1.., hidden outputs a1_0.. and the output ``o`` per source row.
+
+    With ``masks`` hidden outputs are multiplied by the source's 0/1 columns m1_0..
+    """
     inputs = [f"x{i + 1}" for i in range(config.size[0])]
-    carried = [keep, *inputs]
+    carried = [keep, *inputs, *(mask_columns(config) if masks else [])]
     query = f"SELECT {', '.join(carried)} FROM {source}"
     for l, (rows, cols) in enumerate(config.shapes):
         last = l == len(config.shapes) - 1
@@ -53,7 +60,9 @@ def forward(source: str, weights: str, config: NetworkConfig, keep: str) -> str:
         for r in range(rows):
             z = " + ".join([f"w_{l}_{r}_0"] + [f"w_{l}_{r}_{c} * {inputs[c - 1]}" for c in range(1, cols)])
             a = act(z, config.output if last else config.hidden)
-            if not last and config.dropout > 0:
+            if not last and masks:
+                a = f"({a}) * m{l + 1}_{r}"
+            elif not last and config.dropout > 0:
                 a = f"({a}) * {1 - config.dropout}::DOUBLE"
             units.append(f"{a} AS {'o' if last else f'a{l + 1}_{r}'}")
         query = f"SELECT {', '.join(carried)}, {', '.join(units)} FROM ({query}) s{l}, {weights}"
@@ -71,21 +80,25 @@ def gradient_columns(config: NetworkConfig) -> dict[tuple[int, int, int], str]:
     return out
 
 
-def deltas(source: str, weights: str, config: NetworkConfig, keep: str) -> str:
+def deltas(source: str, weights: str, config: NetworkConfig, keep: str, masks: bool = False) -> str:
     """:func:`forward` with the deltas d{l}_{r} of every layer step."""
     last = len(config.shapes) - 1
-    query = f"SELECT *, -(y - o) * {slope('o', config.output)} AS d{last}_0 FROM ({forward(source, weights, config, keep)}) f"
+    passed = forward(source, weights, config, keep, masks)
+    query = f"SELECT *, -(y - o) * {slope('o', config.output)} AS d{last}_0 FROM ({passed}) f"
     for l in range(last - 1, -1, -1):
         cols = []
         for r in range(config.shapes[l][0]):
             back = " + ".join(f"w_{l + 1}_{k}_{r + 1} * d{l + 1}_{k}" for k in range(config.shapes[l + 1][0]))
-            cols.append(f"({back}) * {slope(f'a{l + 1}_{r}', config.hidden)} AS d{l}_{r}")
+            mask = f" * m{l + 1}_{r}" if masks else ""
+            cols.append(f"({back}) * {slope(f'a{l + 1}_{r}', config.hidden)}{mask} AS d{l}_{r}")
         # Weights come back in by a one-row join; only the new columns are added.
         query = f"SELECT b{l}.*, {', '.join(cols)} FROM ({query}) b{l}, {weights}"
     return query
 
 
-def gradient_sql(source: str, weights: str, config: NetworkConfig, name: str, total: str = "avg") -> str:
+def gradient_sql(
+    source: str, weights: str, config: NetworkConfig, name: str, total: str = "avg", masks: bool = False
+) -> str:
     cols = [
         f"{total}({e}) FILTER (WHERE NOT v) AS g_{l}_{r}_{c}" for (l, r, c), e in gradient_columns(config).items()
     ]
@@ -94,7 +107,7 @@ def gradient_sql(source: str, weights: str, config: NetworkConfig, name: str, to
         "0.5 * avg((y - o) * (y - o)) FILTER (WHERE NOT v) AS lt",
         "0.5 * avg((y - o) * (y - o)) FILTER (WHERE v) AS lv",
     ]
-    return f"{name} AS MATERIALIZED (SELECT {', '.join(cols)} FROM ({deltas(source, weights, config, 'y, v')}) q)"
+    return f"{name} AS MATERIALIZED (SELECT {', '.join(cols)} FROM ({deltas(source, weights, config, 'y, v', masks)}) q)"
 
 
 def loss_sql(source: str, weights: str, config: NetworkConfig, name: str) -> str:
