@@ -16,8 +16,12 @@ from ..functions.vectors import without_first
 
 
 def half_variance(x: Column) -> Column:
-    """Aggregate: sum of squared deviations over twice the count."""
-    return F.var_pop(x) / F.lit(2.0)
+    """Aggregate: sum of squared deviations over twice the count.
+
+    Merging partial variances of a constant can leave a trace of rounding, which
+    as a divisor would blow up; a constant is told by its range instead.
+    """
+    return F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(F.var_pop(x) / F.lit(2.0))
 
 
 def column_stats(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:

@@ -66,6 +66,15 @@ def test_applying_statistics_neither_shuffles_nor_joins(samples):
     assert "Join" not in plan
 
 
+def test_constants_have_no_spread_however_rows_are_spread(spark):
+    for parts in (1, 3, 7):
+        df = spark.range(0, 997, 1, parts).select(F.lit(0.1).alias("label"), F.array(F.lit(7.3)).alias("features"))
+        assert sample_stats(df).first().stats.spreads == [0.0]
+        assert scale(df, sample_stats(df)).filter("label is not null or features[0] is not null").count() == 0
+        wide = df.select("label", F.get("features", F.lit(0)).alias("c0"))
+        assert column_stats(wide, ["c0"]).first().stats.spreads == [0.0]
+
+
 def test_one_row_and_no_row(spark):
     schema = "label double, features array<double>"
     one = spark.createDataFrame([(1.0, [2.0])], schema)
