@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrad.llm import bpe, token_files
+from tallygrad.llm import bpe, quality, token_files
 from tallygrad.session import shared_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,15 @@ def op3_token_files(spark, sf_dir):
 @register("op8_bpe_chunk_reuse")
 def op8_bpe_chunk_reuse(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.digests())
+
+
+@register("op10_quality")
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.with_score(docs, model).select(
+        "doc_id",
+        quality.is_held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
