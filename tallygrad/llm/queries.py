@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrad.llm import bpe, quality, token_files
+from tallygrad.llm import bpe, language, quality, token_files
 from tallygrad.session import shared_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,12 @@ def op10_quality(spark, sf_dir):
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@register("op1_language")
+def op1_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    return language.with_language(docs.select("doc_id", "text"), model).select(
+        "doc_id", quality.is_held_out().alias("held_out"), "lang_pred", "score"
+    )
