@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrad.llm import bpe, language, quality, token_files
+from tallygrad.llm import bpe, language, personal, quality, token_files
 from tallygrad.session import shared_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def op1_language(spark, sf_dir):
     return language.with_language(docs.select("doc_id", "text"), model).select(
         "doc_id", quality.is_held_out().alias("held_out"), "lang_pred", "score"
     )
+
+
+@register("op7_personal_data")
+def op7_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return personal.find(docs, personal.fit(docs))
