@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrad.llm import bpe, language, personal, quality, token_files
+from tallygrad.llm import bpe, language, licences, personal, quality, token_files
 from tallygrad.session import shared_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op1_language(spark, sf_dir):
 def op7_personal_data(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return personal.find(docs, personal.fit(docs))
+
+
+@register("op2_licences")
+def op2_licences(spark, sf_dir):
+    return licences.find_licences(table(spark, sf_dir, "documents"))
