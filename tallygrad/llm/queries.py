@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrad.llm import bpe, language, licences, personal, quality, token_files
+from tallygrad.llm import bpe, decontamination, language, licences, personal, quality, token_files
 from tallygrad.session import shared_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op7_personal_data(spark, sf_dir):
 @register("op2_licences")
 def op2_licences(spark, sf_dir):
     return licences.find_licences(table(spark, sf_dir, "documents"))
+
+
+@register("op5_decontamination")
+def op5_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
