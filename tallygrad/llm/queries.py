@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrad.llm import bpe, decontamination, language, licences, personal, quality, substrings, token_files
+from tallygrad.llm import bpe, decontamination, jaccard, language, licences, personal, quality, substrings, token_files
 from tallygrad.session import shared_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,25 @@ FROM d LEFT JOIN left_over USING (doc_id)
 @register("op4_substring_dedup", SUBSTRING_SQL)
 def op4_substring_dedup(spark, sf_dir):
     return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+# Pairs come from a shared shingle; the words are cut once per document.
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_have AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_have JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT e.b, reach.r FROM reach JOIN edge e ON e.a = reach.doc_id)
+SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
+@register("op9_jaccard_join", JACCARD_SQL)
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
