@@ -174,6 +174,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return (
         keyed(docs.select("text"))
         .mapInArrow(_packed, "key binary, packed binary")
+        .where(F.col("key").isNotNull())  # always true; inner joins would add it to their branch alone and undo the reuse
         .groupBy("key")
         .agg(F.first("packed").alias("packed"))
     )
