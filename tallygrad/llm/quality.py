@@ -132,11 +132,18 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> QualityM
     n = len(texts)
     if n == 0:
         return QualityModel(vectors, output, bias)
-    owner, bucket = document_features(pa.array(texts, pa.string()))
-    key, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
-    owner, bucket = key // BUCKETS, key % BUCKETS
+    keys, counts = [], []
+    for at in range(0, n, 50):  # so that repeats are counted before the next texts come
+        owner, bucket = document_features(pa.array(texts[at : at + 50], pa.string()))
+        key, count = np.unique((owner + at) * BUCKETS + bucket, return_counts=True)
+        keys.append(key)
+        counts.append(count.astype(np.float32))
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    owner, bucket = (key // BUCKETS).astype(np.int32), (key % BUCKETS).astype(np.int32)
+    del keys, key
     weight = (count / np.bincount(owner, count, n)[owner]).astype(np.float32)
-    first = np.searchsorted(owner, np.arange(n + 1))
+    del counts, count
+    first = np.searchsorted(owner, np.arange(n + 1, dtype=np.int32))
     target = np.eye(2, dtype=np.float32)[np.array(labels)]
     seen = np.zeros(BUCKETS, np.float32)
     output_seen = np.zeros_like(output)
