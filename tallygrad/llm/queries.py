@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrad.llm import bpe, decontamination, jaccard, language, licences, personal, quality, substrings, token_files
+from tallygrad.llm import bpe, decontamination, embeddings, jaccard, language, licences, personal, quality, substrings, token_files
 from tallygrad.session import shared_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,24 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 @register("op9_jaccard_join", JACCARD_SQL)
 def op9_jaccard_join(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, label, list_transform(e, lambda x: x / norm) AS e
+      FROM (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v) WHERE norm > 0),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id
+         WHERE list_dot_product(x.e, y.e) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT l.b, reach.r FROM reach JOIN link l ON l.a = reach.vec_id),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r) AS component_id, min(r) = vec_id AS kept
+FROM reach LEFT JOIN n ON n.a = vec_id GROUP BY vec_id
+"""
+
+
+@register("op6_embedding_duplicates", EMBEDDING_SQL)
+def op6_embedding_duplicates(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
