@@ -26,8 +26,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the quality classifier accepts, trained on the labelled ones among them."""
     ship_package(spark)
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    scored = quality.with_score(docs, model, "_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).select(docs.columns)
+    name = "_" + max(docs.columns, key=len)  # no column of docs
+    scored = quality.with_score(docs, model, name)
+    return scored.where(F.col(name) >= LEAST_QUALITY).select(docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
