@@ -30,11 +30,15 @@ def _use_columns(config: NetworkConfig, method: str) -> bool:
 def score(df: DataFrame, weights: Weights, config: NetworkConfig, method: str = "auto") -> DataFrame:
     """Add ``predict_label`` and, where a ``label`` exists, ``error`` = label - predict_label.
 
+    Earlier columns of these names are replaced. A missing vector or element, or
+    a vector of another width, is an error, whichever way is taken.
+
     Small networks become plain arithmetic inside whole-stage codegen, larger
     ones one matrix product per layer and Arrow batch; only the features travel
     to Python then. Neither shuffles, and both run on streams.
     """
     weights = check_weights(weights, config)
+    df = df.drop("predict_label", "error")
     if _use_columns(config, method):
         scored = _score_columns(df, weights, config)
     else:
@@ -45,7 +49,7 @@ def score(df: DataFrame, weights: Weights, config: NetworkConfig, method: str =
 
 
 def _score_columns(df: DataFrame, weights: Weights, config: NetworkConfig) -> DataFrame:
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("predict_label", "error")]
+    kept = [F.col(f"`{c}`") for c in df.columns]
     inputs = [F.get("features", F.lit(i)) for i in range(config.size[0])]
     for step, w in enumerate(weights):
         last = step == len(weights) - 1
@@ -57,7 +61,10 @@ def _score_columns(df: DataFrame, weights: Weights, config: NetworkConfig) -> Da
             for c, x in enumerate(inputs, start=1):
                 z = z + F.lit(float(w[r, c])) * x
             a = act(z)
-            if not last and config.dropout > 0:
+            if last:  # a missing element makes the result missing
+                bad = F.raise_error(F.lit(f"features must hold vectors of width {config.size[0]} without NULL"))
+                a = F.when((F.size("features") == config.size[0]) & a.isNotNull(), a).otherwise(bad)
+            elif config.dropout > 0:
                 a = a * F.lit(1.0 - config.dropout)
             units.append(a.alias(name))
         df = df.select(*kept, *units)

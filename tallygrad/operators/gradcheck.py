@@ -1,4 +1,8 @@
-"""Numeric check of the gradient: central differences against back-propagation."""
+"""Numeric check of the gradient: central differences against back-propagation.
+
+Rows that bring masked features (``noisy``) or a dropout mask (``keep``) are
+checked under them; without a mask, a network with dropout is checked as it scores.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,9 @@ STEP = 1e-4
 SLICE_VALUES = 2_000_000
 
 
-def _differences(x: np.ndarray, y: np.ndarray, weights: Weights, config: NetworkConfig, step: float) -> np.ndarray:
+def _differences(
+    x: np.ndarray, y: np.ndarray, weights: Weights, config: NetworkConfig, step: float, keep: np.ndarray | None = None
+) -> np.ndarray:
     """(rows, parameters) central differences of half the squared error."""
     flat = flatten(weights)
     out = np.empty((len(y), len(flat)))
@@ -25,11 +31,25 @@ def _differences(x: np.ndarray, y: np.ndarray, weights: Weights, config: Network
         for sign in (1.0, -1.0):
             moved = flat.copy()
             moved[p] += sign * step
-            halves.append(0.5 * (kernel.forward(x, unflatten(moved, config), config)[-1][:, 0] - y) ** 2)
+            halves.append(0.5 * (kernel.forward(x, unflatten(moved, config), config, keep)[-1][:, 0] - y) ** 2)
         out[:, p] = (halves[0] - halves[1]) / (2.0 * step)
     return out
 
 
+def _given(df: DataFrame) -> list[str]:
+    """Columns of the noise that a row was trained with, where they are there."""
+    return [c for c in ("noisy", "keep") if c in df.columns]
+
+
+def _parts(batch: pa.RecordBatch, config: NetworkConfig):
+    """(features, label, dropout mask or None) of a batch; masked features take the place of clean ones."""
+    names = batch.schema.names
+    source = "noisy" if "noisy" in names else "features"
+    x = kernel.matrix(batch.column(source), config.size[0], source)
+    keep = kernel.matrix(batch.column("keep"), config.hidden_units, "keep") if "keep" in names else None
+    return x, kernel.numbers(batch.column("label"), "label"), keep
+
+
 def _slices(batch: pa.RecordBatch, config: NetworkConfig):
     rows = max(1, SLICE_VALUES // config.parameters)
     for start in range(0, batch.num_rows, rows):
@@ -40,13 +60,12 @@ def row_gradients(df: DataFrame, weights: Weights, config: NetworkConfig, keys:
     """Derivatives of every row's loss as rows (keys, layer, r, c, g): the outer
     products of each layer's deltas with the outputs before it."""
     weights = check_weights(weights, config)
-    samples = df.select(*keys, "label", "features")
+    samples = df.select(*keys, "label", "features", *_given(df))
 
     def batches(parts):
         for batch in (part for whole in parts for part in _slices(whole, config)):
-            y = kernel.numbers(batch.column("label"), "label")
-            x = kernel.matrix(batch.column("features"), config.size[0], "features")
-            grads = kernel.row_gradients(kernel.forward(x, weights, config), y, weights, config)
+            x, y, keep = _parts(batch, config)
+            grads = kernel.row_gradients(kernel.forward(x, weights, config, keep), y, weights, config, keep)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keys), kernel.vectors(grads)], names=[*keys, "grads"]
             )
@@ -68,14 +87,13 @@ def gradient_check(
     weight and sample; :func:`gradient_check_summary` adds up inside the tasks.
     """
     weights = check_weights(weights, config)
-    samples = df.select(*keys, "label", "features")
+    samples = df.select(*keys, "label", "features", *_given(df))
 
     def batches(parts):
         for batch in (part for whole in parts for part in _slices(whole, config)):
-            y = kernel.numbers(batch.column("label"), "label")
-            x = kernel.matrix(batch.column("features"), config.size[0], "features")
-            estimate = _differences(x, y, weights, config, step)
-            actual = kernel.row_gradients(kernel.forward(x, weights, config), y, weights, config)
+            x, y, keep = _parts(batch, config)
+            estimate = _differences(x, y, weights, config, step, keep)
+            actual = kernel.row_gradients(kernel.forward(x, weights, config, keep), y, weights, config, keep)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keys), kernel.vectors(estimate), kernel.vectors(actual)],
                 names=[*keys, "estimates", "actuals"],
@@ -108,10 +126,9 @@ def gradient_check_summary(df: DataFrame, weights: Weights, config: NetworkConfi
         sums = np.zeros((2, config.parameters))
         worst = np.zeros(config.parameters)
         for batch in (part for whole in parts for part in _slices(whole, config)):
-            y = kernel.numbers(batch.column("label"), "label")
-            x = kernel.matrix(batch.column("features"), config.size[0], "features")
-            estimate = _differences(x, y, weights, config, step)
-            actual = kernel.row_gradients(kernel.forward(x, weights, config), y, weights, config)
+            x, y, keep = _parts(batch, config)
+            estimate = _differences(x, y, weights, config, step, keep)
+            actual = kernel.row_gradients(kernel.forward(x, weights, config, keep), y, weights, config, keep)
             n += len(y)
             sums += [estimate.sum(axis=0), actual.sum(axis=0)]
             worst = np.maximum(worst, np.abs(estimate - actual).max(axis=0))
@@ -121,7 +138,7 @@ def gradient_check_summary(df: DataFrame, weights: Weights, config: NetworkConfi
             names=["pos", "n", "estimate", "actual", "worst"],
         )
 
-    partials = df.select("label", "features").mapInArrow(
+    partials = df.select("label", "features", *_given(df)).mapInArrow(
         batches, "pos int, n double, estimate double, actual double, worst double"
     )
     totals = partials.groupBy("pos").agg(

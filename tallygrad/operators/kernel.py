@@ -91,11 +91,13 @@ def gradient_sums(
     return [np.hstack([d.sum(axis=0)[:, None], d.T @ a]) for d, a in zip(deltas, acts)]
 
 
-def row_gradients(acts: list[np.ndarray], y: np.ndarray, weights: Weights, config: NetworkConfig) -> np.ndarray:
+def row_gradients(
+    acts: list[np.ndarray], y: np.ndarray, weights: Weights, config: NetworkConfig, keep: np.ndarray | None = None
+) -> np.ndarray:
     """(rows, parameters) derivatives, in the order of ``network.flatten``."""
     rows = len(y)
     parts = []
-    for d, a in zip(_deltas(acts, y, weights, config), acts):
+    for d, a in zip(_deltas(acts, y, weights, config, keep), acts):
         inputs = np.hstack([np.ones((rows, 1)), a])
         parts.append((d[:, :, None] * inputs[:, None, :]).reshape(rows, -1))
     return np.hstack(parts)
@@ -108,7 +110,9 @@ def _deltas(acts, y, weights, config, keep=None, used=None) -> list[np.ndarray]:
     end = config.hidden_units
     for step in range(len(weights) - 1, 0, -1):
         a = acts[step]
-        d = (deltas[0] @ weights[step][:, 1:]) * _slope(a, config.hidden)
+        # Without a mask hidden outputs are scaled, so the slope is that of the output before, times the scale.
+        share = 1.0 - config.dropout if keep is None else 1.0
+        d = (deltas[0] @ weights[step][:, 1:]) * _slope(a / share if share else a, config.hidden) * share
         if keep is not None:
             d = d * keep[:, end - a.shape[1] : end]
             end -= a.shape[1]

@@ -38,6 +38,12 @@ def zero_filled(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in COUNTERS})
 
 
+def meter_months(df: DataFrame) -> DataFrame:
+    """(id, month, n, first_date, last_date) of every meter-month."""
+    dates = [F.min("date").alias("first_date"), F.max("date").alias("last_date")]
+    return df.groupBy(*METER_MONTH).agg(F.count(F.lit(1)).alias("n"), *dates)
+
+
 def reading_order(order_by: str = "total") -> WindowSpec:
     """Order of the readings in a meter-month.
 
@@ -56,33 +62,44 @@ def complete_months(
     expected_rows: int | Column | None = None,
     null_policy: str = "zero",
     order_by: str = "total",
-    longest: int | None = LONGEST_MONTH,
+    cut: bool = True,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Keep meter-months with as many rows as the calendar month has days.
 
     Missing counters become 0; ``null_policy="drop"`` drops meter-months that
     hold one. Adds ``j``, the 0-based rank in the meter-month, and ``n``, its row
-    count. ``expected_rows`` replaces the calendar.
-
-    ``longest`` is the largest row count that can be expected. A longer
-    meter-month is dropped whatever else it holds, so its rows past
-    ``longest + 1`` decide nothing, and filtering on the rank lets Spark cut
-    every group to that many rows *before* the exchange (WindowGroupLimit): a
-    broken id holding a third of all readings never reaches one task as a
-    whole. The price is a sort on the map side; None skips it, for input known
-    to have one row per meter and day.
+    count. ``expected_rows`` replaces the calendar: one number for all, or a
+    column that is the same for all rows of a meter-month.
+
+    A meter-month with more rows than can be expected is dropped whatever else
+    it holds, so its rows past one more than that decide nothing, and filtering
+    on the rank lets Spark cut every group *before* the exchange
+    (WindowGroupLimit): a broken id holding a third of all readings never
+    reaches one task as a whole. The bound follows from the expectation: 31 for
+    the calendar, the number itself, and for a column ``at_most``, where a row
+    that expects more is an error; a column without it is not cut. The price is
+    a sort on the map side; ``cut=False`` skips it, for input known to have one
+    row per meter and day.
     """
     if null_policy not in ("zero", "drop"):
         raise ValueError("null_policy must be 'zero' or 'drop'")
-    if isinstance(expected_rows, int) and longest is not None:
-        longest = expected_rows
-    expected = days_in_month(F.col("month")) if expected_rows is None else expected_rows
-    expected = F.lit(expected) if isinstance(expected, int) else expected
+    if at_most is not None and not isinstance(expected_rows, Column):
+        raise ValueError("at_most goes with a column of expected rows")
+    if expected_rows is None:
+        expected, bound = days_in_month(F.col("month")), LONGEST_MONTH
+    elif isinstance(expected_rows, int):
+        expected, bound = F.lit(expected_rows), expected_rows
+    else:
+        expected, bound = expected_rows, at_most
+        if at_most is not None:
+            too_many = F.raise_error(F.lit(f"a meter-month expects more than at_most={at_most} rows"))
+            expected = F.when(expected > at_most, too_many).otherwise(expected)
     group = Window.partitionBy(*METER_MONTH)
     flagged = df.withColumn("_missing", has_missing()) if null_policy == "drop" else df
     ranked = zero_filled(flagged).withColumn("_rank", F.row_number().over(reading_order(order_by)))
-    if longest is not None:
-        ranked = ranked.filter(F.col("_rank") <= longest + 1)
+    if cut and bound is not None:
+        ranked = ranked.filter(F.col("_rank") <= bound + 1)
     counted = ranked.withColumn("n", F.count(F.lit(1)).over(group))
     keep = F.col("n") == expected
     if null_policy == "drop":

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.neighbours import SHORTEST_MONTH, below, neighbour_samples
-from ..operators.readings import LONGEST_MONTH, complete_months, daily_use, reading_order, select_meters
+from ..operators.readings import complete_months, daily_use, reading_order, select_meters
 
 
 # A table of at most this many wanted ids is broadcast.
@@ -25,7 +25,8 @@ def clean_readings(
     expected_rows: int | Column | None = None,
     null_policy: str = "zero",
     order_by: str = "total",
-    longest: int | None = LONGEST_MONTH,
+    cut: bool = True,
+    at_most: int | None = None,
     broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """Daily use of complete meter-months, for all meters or the wanted ones.
@@ -37,7 +38,7 @@ def clean_readings(
     """
 
     def clean(df: DataFrame) -> DataFrame:
-        return complete_months(df, expected_rows, null_policy, order_by, longest)
+        return complete_months(df, expected_rows, null_policy, order_by, cut, at_most)
 
     if isinstance(ids, DataFrame):
         ids = ids.select("id").distinct()
@@ -58,11 +59,19 @@ def build_samples(
     null_policy: str = "zero",
     order_by: str = "total",
     max_label: float | None = None,
-    longest: int | None = LONGEST_MONTH,
+    cut: bool = True,
+    at_most: int | None = None,
     broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
-    """Neighbour samples of complete meter-months: one exchange for the whole chain."""
+    """Neighbour samples of complete meter-months: one exchange for the whole chain.
+
+    A complete meter-month too short for neighbours is an error, never a sample
+    with missing features.
+    """
     if isinstance(expected_rows, int) and expected_rows < SHORTEST_MONTH:
         raise ValueError(f"neighbour samples need at least {SHORTEST_MONTH} rows in a meter-month")
-    clean = clean_readings(records, ids, expected_rows, null_policy, order_by, longest, broadcast_ids)
+    clean = clean_readings(records, ids, expected_rows, null_policy, order_by, cut, at_most, broadcast_ids)
+    if isinstance(expected_rows, Column):
+        too_short = F.raise_error(F.lit(f"neighbour samples need at least {SHORTEST_MONTH} rows in a meter-month"))
+        clean = clean.filter(F.when(F.col("n") >= SHORTEST_MONTH, F.lit(True)).otherwise(too_short))
     return below(neighbour_samples(clean, value, reading_order(order_by)), max_label)

@@ -26,6 +26,7 @@ from ..operators.samples import dropout_mask, input_mask, mark_validation
 from ..session import shared_path
 
 LOG_SCHEMA = "iteration int, elapsed_ms long, train_loss double, valid_loss double"
+FULL_LOG_SCHEMA = f"{LOG_SCHEMA}, restarted boolean"
 
 # Fixed values of the stopping rules.
 TARGET_LOSS = 0.0012
@@ -58,6 +59,14 @@ class TrainingRun:
     best_iteration: int | None = None
     restarts: int = 0
     converged: bool = False
+    #: The log's row before the first epoch, and the epochs that began with new weights.
+    before: tuple[int, int, float, float | None] | None = None
+    restarted: list[int] = field(default_factory=list)
+
+    def full_log_table(self, spark: SparkSession) -> DataFrame:
+        """The log with the losses before training as iteration 0, and ``restarted``."""
+        rows = ([self.before] if self.before else []) + self.log
+        return spark.createDataFrame([(*r, r[0] in self.restarted) for r in rows], FULL_LOG_SCHEMA)
 
     def log_table(self, spark: SparkSession) -> DataFrame:
         """The log as rows (iteration, elapsed_ms, train_loss, valid_loss)."""
@@ -166,6 +175,7 @@ def _epochs(
     def judged(result) -> float:
         return result.valid_loss if held_out else result.train_loss
 
+    started = time.monotonic()
     weights = initial_weights(config, seed) if init_weights is None else check_weights(init_weights, config)
     velocity, rate = zero_weights(config), config.learning_rate
     state = at(weights, 0, epochs > 0)
@@ -175,11 +185,12 @@ def _epochs(
         raise ValueError("no validation rows; raise the share or train without validation")
 
     run = TrainingRun(Model(config, weights))
+    run.before = (0, int((time.monotonic() - started) * 1000), state.train_loss, state.valid_loss)
     best, last, flat, restart = math.inf, judged(state), 0, False
-    started = time.monotonic()
     for epoch in range(epochs):
         if restart:
             run.restarts += 1
+            run.restarted.append(epoch + 1)
             weights = initial_weights(config, seed + run.restarts)
             velocity, rate, flat, restart = zero_weights(config), config.learning_rate, 0, False
             state = at(weights, epoch)

@@ -31,8 +31,25 @@ def typed_records(df: DataFrame, names: Mapping[str, str] | None = None, keep: S
 
 
 def month_of_file(pattern: str = MONTH_IN_PATH) -> Column:
-    """The month (yyyymm) a row belongs to, taken from the path of its file."""
-    return F.regexp_extract("_metadata.file_path", pattern, 1).try_cast("int")
+    """The month (yyyymm) a row belongs to, taken from the path of its file; a path without one is an error."""
+    path = F.col("_metadata.file_path")
+    month = F.regexp_extract(path, pattern, 1).try_cast("int")
+    return F.coalesce(month, F.raise_error(F.concat(F.lit(f"no month by {pattern} in "), path)))
+
+
+def _month_at(paths: Sequence[str], months: Sequence[int]) -> Column:
+    """The month listed for the path that a row's file is, or lies below."""
+    whole = F.col("_metadata.file_path")
+    local = F.regexp_replace(whole, "^[A-Za-z0-9+.-]+:(//[^/]*)?", "")
+    month = F.lit(None).cast("int")
+    for path, m in zip(paths, months):
+        path, file = path.rstrip("/"), whole if ":/" in path else local
+        if ":/" not in path and not path.startswith("/"):
+            found = file.endswith(f"/{path}") | file.contains(f"/{path}/")
+        else:
+            found = (file == path) | file.startswith(f"{path}/")
+        month = F.coalesce(month, F.when(found, F.lit(int(m))))
+    return F.coalesce(month, F.raise_error(F.concat(F.lit("no month is listed for "), whole)))
 
 
 def read_meter_csv(
@@ -41,27 +58,33 @@ def read_meter_csv(
     months: Sequence[int] | None = None,
     month_pattern: str = MONTH_IN_PATH,
     header: Sequence[str] | None = None,
+    one_header: bool = True,
 ) -> DataFrame:
     """Readings of CSV files with header lines: the six fields and ``month``.
 
     Months come from the files, not from the date column: by position where
-    ``months`` lists one per path, else from the path. No types are inferred;
-    beforehand only the header line of each path is looked at, and none where
-    ``header`` gives the column names. Paths with the same header are one scan
-    that reads the needed columns and refuses a file with another header.
+    ``months`` lists one per path, else from the path. Files without a month are
+    an error. No types are inferred; beforehand only the header line of the
+    first path is looked at, and none where ``header`` gives the column names.
+    All paths are one scan that reads the needed columns and refuses a file with
+    another header. With ``one_header=False`` every path's header is looked at,
+    and paths with the same one share a scan.
     """
     if isinstance(paths, str):
         paths = [paths]
     if months is not None and len(months) != len(paths):
         raise ValueError("months must list one month per path")
+    def header_of(path: str) -> tuple:
+        return tuple(header or spark.read.option("header", True).csv(path).columns)
+
     scans: dict[tuple, list[str]] = {}
-    for at, path in enumerate(paths):
-        names = tuple(header or spark.read.option("header", True).csv(path).columns)
-        scans.setdefault((names, months[at] if months is not None else None), []).append(path)
+    shared = header_of(paths[0]) if one_header else None
+    for path in paths:
+        scans.setdefault(shared or header_of(path), []).append(path)
+    when = month_of_file(month_pattern) if months is None else _month_at(paths, months)
     parts = []
-    for (names, month), group in scans.items():
+    for names, group in scans.items():
         schema = StructType([StructField(name, StringType()) for name in names])
         lines = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(group)
-        when = F.lit(month).cast("int") if month is not None else month_of_file(month_pattern)
         parts.append(typed_records(lines.withColumn("month", when), keep=["month"]))
     return reduce(DataFrame.unionByName, parts)

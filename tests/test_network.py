@@ -226,8 +226,16 @@ def test_bad_rows_are_errors_not_silent_losses(spark):
             run_pass(bad, w, config)
     # Widths that only add up are no escape.
     mixed = spark.createDataFrame([(1.0, [1.0]), (1.0, [1.0, 2.0, 3.0])], schema).coalesce(1)
-    with pytest.raises(Exception):
-        score(mixed, w, config, "arrow").collect()
+    for method in ("columns", "arrow", "auto"):
+        with pytest.raises(Exception):
+            score(mixed, w, config, method).collect()
+        for row in [(1.0, [1.0]), (1.0, None), (1.0, [1.0, None]), (1.0, [1.0, 2.0, 3.0])]:
+            with pytest.raises(Exception):
+                score(spark.createDataFrame([row], schema), w, config, method).collect()
+        stale = spark.createDataFrame([(1.0, 7, [1.0, 2.0], "x")], "error double, predict_label int, features array<double>, k string")
+        assert score(stale, w, config, method).columns == ["features", "k", "predict_label"]
+        labelled = stale.withColumn("label", F.lit(1.0))
+        assert score(labelled, w, config, method).columns == ["features", "k", "label", "predict_label", "error"]
 
 
 def test_streams_are_scored_without_state(spark, data, tmp_path):
@@ -517,12 +525,45 @@ def log_of(spark, losses):
     return spark.createDataFrame([(i + 1, 10 * (i + 1) ** 2, 0.0, v) for i, v in enumerate(losses)], LOG_SCHEMA)
 
 
+@pytest.mark.parametrize("hidden", ["sigm", "tanh_opt"])
+@pytest.mark.parametrize("given", [False, True])
+def test_numeric_gradient_check_with_dropout(data, hidden, given):
+    df, _, _, _ = data
+    config = NetworkConfig(size=(3, 4, 3, 1), hidden=hidden, output="linear", dropout=0.5)
+    w = [a * 10 for a in initial_weights(config, 2)]
+    rows = df.filter("k < 60").withColumn("features", F.slice("features", 1, 3))
+    if given:
+        rows = rows.withColumn("keep", dropout_mask(F.col("k"), config.hidden_units, 0.5, 1))
+    assert max(r.worst for r in gradient_check_summary(rows, w, config).collect()) < 1e-6
+    by_row = gradient_check(rows, w, config, ["k"])
+    assert by_row.filter("abs(estimate - actual) > 1e-6").count() == 0
+
+
+def test_logs_without_validation(spark):
+    log = log_of(spark, [0.5, 0.3, 0.3, 0.3]).withColumns({"train_loss": F.col("valid_loss"), "valid_loss": F.lit(None).cast("double")})
+    assert best_iteration(log).first().iteration == 2
+    assert [r.flat_epochs for r in plateau_runs(log).orderBy("iteration").collect()] == [0, 0, 1, 2]
+
+
+def test_the_full_log_reproduces_the_count_of_training(spark, data):
+    """The loss before training counts, and a restart begins a new count."""
+    df, _, _, _ = data
+    config = NetworkConfig(size=(3, 2, 1), learning_rate=1e-30)
+    rows = df.withColumn("features", F.slice("features", 1, 3))
+    run_ = train(rows, config, 9, plateau_length=2, key=["k"])
+    assert run_.restarts and run_.restarted[0] == 4
+    counts = {r.iteration: r.flat_epochs for r in plateau_runs(run_.full_log_table(spark)).collect()}
+    assert [counts[i] for i in range(4)] == [0, 1, 2, 3]
+    assert all(counts[e] <= 1 for e in run_.restarted)
+    assert run_.before[1] > 0 and run_.log[0][1] >= run_.before[1]
+
+
 def test_best_iteration(spark):
     log = log_of(spark, [0.5, 0.3, 0.4, 0.3])
-    assert tuple(best_iteration(log).first()) == (2, 0.3)
+    assert tuple(best_iteration(log).first()) == (2, 0.3, 0.3)
     assert best_iteration(log, below=0.1).count() == 0
     two = log.withColumn("run", F.lit("a")).unionByName(log_of(spark, [0.2]).withColumn("run", F.lit("b")))
-    assert {tuple(r) for r in best_iteration(two, ["run"]).collect()} == {("a", 2, 0.3), ("b", 1, 0.2)}
+    assert {tuple(r) for r in best_iteration(two, ["run"]).collect()} == {("a", 2, 0.3, 0.3), ("b", 1, 0.2, 0.2)}
 
 
 def test_plateau_runs_and_step_times(spark):

@@ -113,6 +113,36 @@ def test_short_months_are_refused(spark):
         build_samples(frame(spark, []), expected_rows=8)
 
 
+def counted_rows(spark, sizes, expected):
+    rows = [(f"g{n}", "b", f"d{i:03}", 201201, float(i), 0.0, 0.0, expected.get(n, 40)) for n in sizes for i in range(n)]
+    schema = "id string, bar_code string, date string, month int, total double, fee1 double, fee2 double, wanted int"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_expected_rows_of_a_column(spark):
+    """Neither cut nor let in: groups below, at and above their own expectation."""
+    rows = counted_rows(spark, (20, 31, 32, 40, 50), {20: 20, 31: 30, 32: 32})
+    for at_most in (None, 40, 90):
+        whole = complete_months(rows, F.col("wanted"), at_most=at_most)
+        got = {r.id: r.n for r in whole.collect()}
+        assert got == {"g20": 20, "g32": 32, "g40": 40}
+        assert whole.count() == 92
+    assert {r.id for r in complete_months(rows, F.lit(40)).collect()} == {"g40"}
+    assert {r.id for r in complete_months(rows, F.lit(32)).collect()} == {"g32"}
+    assert {r.id for r in complete_months(rows, 50).collect()} == {"g50"}
+    with pytest.raises(Exception, match="at_most"):
+        complete_months(rows, F.col("wanted"), at_most=39).collect()
+    with pytest.raises(ValueError):
+        complete_months(rows, 40, at_most=50)
+
+
+def test_short_months_of_a_column_are_refused(spark):
+    rows = counted_rows(spark, (5, 20), {5: 5, 20: 20})
+    with pytest.raises(Exception, match="at least"):
+        build_samples(rows, expected_rows=F.col("wanted")).collect()
+    assert build_samples(rows.where("wanted = 20"), expected_rows=F.col("wanted")).count() == 19
+
+
 def test_hot_meter_is_cut_before_the_exchange(spark):
     """A broken id with far too many rows never crosses the network as a whole, and changes nothing."""
     good = [r for k in range(20) for r in month_rows(f"m{k}", 2012, 2, 29)]
@@ -140,7 +170,7 @@ def test_one_exchange_and_one_sort_behind_it(spark):
 
 def test_known_daily_input_skips_the_map_side_sort(spark):
     rows = month_rows("a", 2012, 2, 29)
-    quick = build_samples(frame(spark, rows), longest=None)
+    quick = build_samples(frame(spark, rows), cut=False)
     assert "WindowGroupLimit" not in plan_of(quick)
     assert sorted(map(str, quick.collect())) == sorted(map(str, build_samples(frame(spark, rows)).collect()))
 

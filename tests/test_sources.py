@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from tallygrad.functions.random import uniform
 from tallygrad.network import NetworkConfig, initial_weights
 from tallygrad.plans.training import LOG_SCHEMA
@@ -25,7 +26,7 @@ def test_meter_files_take_their_month_from_the_name(spark, tmp_path):
     jan = write(tmp_path / "201201.csv", "id,barCode,date,total,fee1,fee2\na,x,2012/1/1,1.5,2,\na,x,2012/1/2,oops,3,4\n")
     # Another column order and a column of no interest.
     feb = write(tmp_path / "201202.csv", "fee2,id,note,date,barCode,fee1,total\n9,b,hi,2012/2/1,y,8,7\n")
-    rows = {(r.id, r.date): r for r in read_meter_csv(spark, [jan, feb]).collect()}
+    rows = {(r.id, r.date): r for r in read_meter_csv(spark, [jan, feb], one_header=False).collect()}
     assert rows["a", "2012/1/1"].asDict() == {
         "id": "a", "bar_code": "x", "date": "2012/1/1", "total": 1.5, "fee1": 2.0, "fee2": None, "month": 201201,
     }
@@ -43,6 +44,25 @@ def test_meter_files_take_their_month_from_the_position(spark, tmp_path):
         read_meter_csv(spark, [one, two], months=[201205])
 
 
+def test_any_number_of_months_by_position_is_one_scan(spark, tmp_path):
+    paths, months = [], []
+    for m in range(12):
+        paths.append(write(tmp_path / f"part{m}.csv", f"id,barCode,date,total,fee1,fee2\na,x,d,{m},1,1\n"))
+        months.append(201201 + m)
+    folder = tmp_path / "part1.csv.d"
+    os.makedirs(folder)
+    write(folder / "x.csv", "id,barCode,date,total,fee1,fee2\na,x,d,77,1,1\n")
+    rows = read_meter_csv(spark, [*paths, str(folder)], months=[*months, 201301])
+    assert plan_of(rows).count("FileScan") == 1
+    assert {(r.month, r.total) for r in rows.collect()} == {(201201 + m, float(m)) for m in range(12)} | {(201301, 77.0)}
+
+
+def test_a_file_without_a_month_is_an_error(spark, tmp_path):
+    path = write(tmp_path / "january.csv", "id,barCode,date,total,fee1,fee2\na,x,d,1,2,3\n")
+    with pytest.raises(Exception, match="no month"):
+        read_meter_csv(spark, [path]).collect()
+
+
 def test_a_file_with_another_header_inside_a_path_is_refused(spark, tmp_path):
     folder = tmp_path / "201203.csv"
     os.makedirs(folder)

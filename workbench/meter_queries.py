@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallygrad.functions.calendar import days_before_month, days_in_month, yyyymm
@@ -12,6 +10,7 @@ from tallygrad.operators.readings import (
     complete_months,
     daily_use,
     has_missing,
+    meter_months,
     reading_order,
     zero_filled,
 )
@@ -69,6 +68,20 @@ def month_of_file(spark, sf_dir):
     return rows.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("last_total"))
 
 
+@register(
+    "src2_month_by_position",
+    f"WITH {READINGS} SELECT id, date, total, month FROM readings WHERE month // 100 = (SELECT min(month // 100) FROM readings)",
+)
+def month_by_position(spark, sf_dir):
+    """The files of the first year, their months listed next to their paths."""
+    path = write_monthly_csv(spark, sf_dir)
+    year = readings(spark, sf_dir).agg(F.min("month")).first()[0] // 100
+    first = readings(spark, sf_dir).agg(F.min("month")).first()[0]
+    months = list(range(first, year * 100 + 13))
+    paths = [f"{path}/year={year}/period={m}" for m in months]
+    return read_meter_csv(spark, paths, months=months).select("id", "date", "total", "month")
+
+
 @register(
     "src3_typed_records",
     f"WITH {READINGS}"
@@ -140,6 +153,39 @@ def whole_months(spark, sf_dir):
     return complete_months(readings(spark, sf_dir)).select("id", "month", "j", "n", "total")
 
 
+PERIODS = (
+    READINGS
+    + """,
+periods AS (
+  SELECT id, date, total, fee1, fee2, CAST(date AS DATE) AS dt,
+         CASE WHEN id LIKE 'A%' THEN month ELSE CAST(year(CAST(date AS DATE)) * 10 + quarter(CAST(date AS DATE)) AS INTEGER)
+         END AS month,
+         CAST(CASE WHEN id LIKE 'A%' THEN day(last_day(CAST(date AS DATE)))
+              ELSE datediff('day', date_trunc('quarter', CAST(date AS DATE)),
+                            date_trunc('quarter', CAST(date AS DATE)) + INTERVAL 3 MONTH) END AS INTEGER) AS expected
+  FROM readings)"""
+)
+
+
+@register(
+    "fil1_expected_rows_column",
+    f"WITH {PERIODS} SELECT id, month, CAST(row_number() OVER (PARTITION BY id, month ORDER BY total, date, fee1, fee2) - 1 AS INTEGER) "
+    "AS j, n, total FROM (SELECT *, count(*) OVER (PARTITION BY id, month) AS n FROM periods) WHERE n = expected",
+)
+def whole_periods(spark, sf_dir):
+    """Months of some meters and quarters of others, each held to its own number of days."""
+    rows = readings(spark, sf_dir)
+    day, monthly = F.to_date("date"), F.col("id").startswith("A")
+    quarter = F.date_trunc("quarter", day)
+    rows = rows.withColumns(
+        {
+            "expected": F.when(monthly, F.dayofmonth(F.last_day(day))).otherwise(F.datediff(F.add_months(quarter, 3), quarter)),
+            "month": F.when(monthly, F.col("month")).otherwise(F.year(day) * 10 + F.quarter(day)),
+        }
+    )
+    return complete_months(rows, F.col("expected"), at_most=92).select("id", "month", "j", "n", "total")
+
+
 @register(
     "fil2_missing_test",
     f"WITH {GAPPY} SELECT id, date, (id IS NULL OR total IS NULL OR fee1 IS NULL OR fee2 IS NULL) AS missing FROM gappy",
@@ -201,12 +247,8 @@ def label_cut(spark, sf_dir):
     f"WITH {READINGS} SELECT id, month, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM readings "
     "GROUP BY id, month",
 )
-def meter_months(spark, sf_dir):
-    return (
-        readings(spark, sf_dir)
-        .groupBy("id", "month")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    )
+def meter_months_of_readings(spark, sf_dir):
+    return meter_months(readings(spark, sf_dir))
 
 
 @register("win1_rank_by_total", f"WITH {GAPPY},{clean_sql('gappy')} SELECT id, month, j, date, day_of_year FROM clean")
@@ -241,15 +283,10 @@ def month_order(spark, sf_dir):
     SAMPLES + f"SELECT {SAMPLE_COLUMNS} FROM samples",
 )
 def concatenated(spark, sf_dir):
+    """All monthly files as one scan of several paths."""
     path = write_monthly_csv(spark, sf_dir)
-    years = sorted(r.year for r in readings(spark, sf_dir).select(F.year(F.to_date("date")).alias("year")).distinct().collect())
-    parts = [
-        build_samples(
-            read_meter_csv(spark, [f"{path}/year={y}"], month_pattern=r"period=(\d{6})", header=FILE_HEADER)
-        )
-        for y in years
-    ]
-    return flat(reduce(DataFrame.unionByName, parts))
+    paths = [f"{path}/year=*/period=*{half}" for half in ("[0-4]", "[5-9]")]
+    return flat(build_samples(read_meter_csv(spark, paths, month_pattern=r"period=(\d{6})", header=FILE_HEADER)))
 
 
 @register(

@@ -15,7 +15,7 @@ from tallygrad.functions.vectors import masked, matvec, to_long, to_wide, vector
 from tallygrad.network import NetworkConfig, initial_weights, weights_from_table, weights_table
 from tallygrad.operators.forward import hidden_means, layer_outputs, loss, score
 from tallygrad.operators.gradcheck import gradient_check, gradient_check_summary, row_gradients
-from tallygrad.operators.gradient import gradient_table, run_pass, update_table
+from tallygrad.operators.gradient import gradient_table, partial_sums, run_pass, update_table
 from tallygrad.operators.logs import best_iteration, plateau_runs, step_times
 from tallygrad.operators.samples import assemble, dropout_mask, mark_validation, mask_features, split_vector
 from tallygrad.operators.scaling import column_stats, label_stats, sample_stats, scale, scale_columns, vector_stats
@@ -329,7 +329,10 @@ def label_range(spark, sf_dir):
 
 @register("agg8_row_count", "SELECT count(*) AS n FROM lineitem")
 def row_count(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n"))
+    """The count that a pass over the rows reports, without its gradient."""
+    sums = partial_sums(lines(spark, sf_dir), formula_weights(SMALL), SMALL, gradient=False)
+    rows = F.element_at("sums", SMALL.parameters + 1)
+    return sums.agg(F.coalesce(F.sum(rows), F.lit(0.0)).cast("long").alias("n"))
 
 
 SCALED = (
@@ -626,6 +629,45 @@ def checked_rows(spark, sf_dir):
     return rows.select("vec_id", "layer", "r", "c", rounded("actual").alias("actual"), close.alias("close"))
 
 
+DROPPED = NetworkConfig(size=(64, 3, 2, 1), hidden="tanh_opt", output="linear", dropout=0.5)
+
+
+@register(
+    "ml13_gradient_check_dropout",
+    " UNION ALL ".join(
+        f"SELECT {given} AS given, {l} AS layer, {r} AS r, {c} AS c, count(*) AS n, true AS close FROM embeddings"
+        for given in ("false", "true")
+        for l, (rows, cols) in enumerate(DROPPED.shapes)
+        for r in range(rows)
+        for c in range(cols)
+    ),
+)
+def checked_dropout(spark, sf_dir):
+    """Numeric and analytic gradient of a network with dropout, scaled as it scores and under given masks."""
+    plain = embedded(spark, sf_dir)
+    mask = dropout_mask(F.col("vec_id"), DROPPED.hidden_units, DROPPED.dropout, epoch=1)
+    weights = [w * 20 for w in formula_weights(DROPPED)]
+    parts = []
+    for given, rows in ((False, plain), (True, plain.withColumn("keep", mask))):
+        summary = gradient_check_summary(rows, weights, DROPPED)
+        close = (F.col("worst") < 1e-6).alias("close")
+        parts.append(summary.select(F.lit(given).alias("given"), "layer", "r", "c", "n", close))
+    return parts[0].unionByName(parts[1])
+
+
+@register(
+    "ml12_scores_both_ways",
+    "SELECT l_orderkey, l_linenumber, true AS alike FROM lineitem",
+)
+def both_ways(spark, sf_dir):
+    """Generated code and Arrow batches give the same columns and values."""
+    rows, weights = lines(spark, sf_dir), formula_weights(SMALL)
+    first = score(rows.withColumn("error", F.lit("stale")), weights, SMALL, "columns")
+    both = score(first.withColumnRenamed("predict_label", "p").withColumnRenamed("error", "e"), weights, SMALL, "arrow")
+    alike = (F.abs(F.col("p") - F.col("predict_label")) < 1e-12) & (F.abs(F.col("e") - F.col("error")) < 1e-12)
+    return both.select(*LINE_KEYS, alike.alias("alike"))
+
+
 # --- training ---------------------------------------------------------------------
 
 
@@ -756,6 +798,51 @@ def epoch_times(spark, sf_dir):
     )
 
 
+# Logs made of orders: the run is the customer, an epoch an order, and no run has a validation loss.
+ORDER_LOGS = """logs AS (
+  SELECT o_custkey AS run, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS iteration,
+         CAST(sum(o_orderkey % 1000) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS elapsed_ms,
+         CAST(o_orderkey % 1000 AS BIGINT) AS step_ms, floor(o_totalprice / 100000) AS train_loss
+  FROM orders)"""
+
+
+def order_logs(spark, sf_dir) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    by_customer = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return orders.select(
+        F.col("o_custkey").alias("run"),
+        F.row_number().over(by_customer).alias("iteration"),
+        F.sum(F.col("o_orderkey") % 1000).over(by_customer).cast("long").alias("elapsed_ms"),
+        F.floor(F.col("o_totalprice") / 100000).cast("double").alias("train_loss"),
+        F.lit(None).cast("double").alias("valid_loss"),
+    )
+
+
+@register(
+    "agg10_best_iteration_without_validation",
+    f"WITH {ORDER_LOGS} SELECT run, iteration, train_loss AS loss FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY run ORDER BY train_loss, iteration) AS place FROM logs) WHERE place = 1",
+)
+def best_of_logs(spark, sf_dir):
+    return best_iteration(order_logs(spark, sf_dir), ["run"]).select("run", "iteration", "loss")
+
+
+@register(
+    "win4_plateau_runs_without_validation",
+    f"WITH {ORDER_LOGS} SELECT run, iteration, CAST(row_number() OVER (PARTITION BY run, island ORDER BY iteration) - 1 AS INTEGER) "
+    "AS flat_epochs FROM (SELECT *, sum(moved) OVER (PARTITION BY run ORDER BY iteration) AS island FROM ("
+    "SELECT *, CASE WHEN abs(lag(train_loss) OVER (PARTITION BY run ORDER BY iteration) - train_loss) <= 0 THEN 0 ELSE 1 END "
+    "AS moved FROM logs))",
+)
+def plateaus_of_logs(spark, sf_dir):
+    return plateau_runs(order_logs(spark, sf_dir), ["run"], step=0.0).select("run", "iteration", "flat_epochs")
+
+
+@register("win5_step_times_of_logs", f"WITH {ORDER_LOGS} SELECT run, iteration, step_ms FROM logs")
+def times_of_logs(spark, sf_dir):
+    return step_times(order_logs(spark, sf_dir), ["run"]).select("run", "iteration", "step_ms")
+
+
 # --- masks and dropout ------------------------------------------------------------
 
 
