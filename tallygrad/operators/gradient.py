@@ -2,8 +2,8 @@
 
 Each task sums the derivatives of its rows into one vector, so what crosses
 the network is one vector per partition, whatever the row count. The vectors
-are exploded by position and summed with a grouped aggregate, which spreads
-wide networks over all reducers; the driver receives one number per weight.
+are added up as a whole in a few tasks and then in one, and the driver receives
+one array. Only tables of the gradient are exploded by position.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from ..network import NetworkConfig, Weights, check_weights, flatten, unflatten,
 from . import kernel
 from .blocks import is_blocked, unpacked
 
+# Tasks that add up the vectors of all partitions before one task adds up theirs.
+COMBINE_TASKS = 8
+
 # Totals that follow the derivatives in a partial vector.
 TOTALS = ("train_rows", "train_sse", "valid_rows", "valid_sse")
 
@@ -68,11 +71,7 @@ def partial_sums(df: DataFrame, weights: Weights, config: NetworkConfig, gradien
 
 
 def combined(partials: DataFrame, tasks: int) -> DataFrame:
-    """Partial vectors added up in ``tasks`` tasks, one vector each.
-
-    Worth a stage for wide networks over many partitions: vectors travel whole,
-    and only ``tasks`` of them are exploded afterwards.
-    """
+    """Partial vectors added up in ``tasks`` tasks, one vector each; they travel whole, batch by batch."""
 
     def batches(parts):
         total = None
@@ -87,11 +86,9 @@ def combined(partials: DataFrame, tasks: int) -> DataFrame:
     return partials.repartition(tasks).mapInArrow(batches, "sums array<double>")
 
 
-def summed(partials: DataFrame, combine_tasks: int | None = None) -> DataFrame:
-    """Element-wise sum of the partial vectors as rows (pos, total)."""
-    if combine_tasks:
-        partials = combined(partials, combine_tasks)
-    return partials.select(F.posexplode("sums").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("total"))
+def summed(partials: DataFrame, combine_tasks: int = COMBINE_TASKS) -> DataFrame:
+    """Element-wise sum of the partial vectors as one row ``sums``, none without partitions."""
+    return combined(combined(partials, combine_tasks) if combine_tasks > 1 else partials, 1)
 
 
 def place_columns(pos: Column, config: NetworkConfig) -> tuple[Column, Column, Column]:
@@ -139,12 +136,12 @@ class PassResult:
 
 
 def run_pass(
-    df: DataFrame, weights: Weights, config: NetworkConfig, gradient: bool = True, combine_tasks: int | None = None
+    df: DataFrame, weights: Weights, config: NetworkConfig, gradient: bool = True, combine_tasks: int = COMBINE_TASKS
 ) -> PassResult:
-    """One job: average gradient and both losses. The driver receives P + 4 numbers."""
+    """One query: average gradient and both losses. The driver receives one array of P + 4 numbers."""
     values = np.zeros(config.parameters + len(TOTALS))
     for row in summed(partial_sums(df, weights, config, gradient), combine_tasks).collect():
-        values[row.pos] = row.total
+        values += row.sums
     n_train, sse_train, n_valid, sse_valid = values[config.parameters :].tolist()
     grads = values[: config.parameters] / n_train if n_train else values[: config.parameters]
     return PassResult(

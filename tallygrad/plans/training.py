@@ -21,9 +21,9 @@ from ..functions.vectors import masked
 from ..network import NetworkConfig, Weights, check_weights, initial_weights, weights_table, zero_weights
 from ..operators.blocks import to_blocks
 from ..operators.forward import loss as scored_loss, score
-from ..operators.gradient import run_pass, update
+from ..operators.gradient import COMBINE_TASKS, run_pass, update
 from ..operators.samples import dropout_mask, input_mask, mark_validation
-from ..session import shared_path
+from ..session import remove_path, shared_path
 
 LOG_SCHEMA = "iteration int, elapsed_ms long, train_loss double, valid_loss double"
 FULL_LOG_SCHEMA = f"{LOG_SCHEMA}, restarted boolean"
@@ -85,14 +85,15 @@ def prepare(
     key: Sequence[str] = (),
     partitions: int | None = None,
     storage: str = "cache",
+    path: str | None = None,
 ) -> DataFrame:
     """The table all epochs read: blocks of label, features and ``is_valid``.
 
     With masked inputs or dropout, whose draws are columns, it holds single rows
     and their ``row_key`` instead. An ``is_valid`` column of the samples is used as
     it is. ``storage="cache"`` persists in memory and on disk; ``"table"`` writes
-    Parquet into the shared folder and reads it back, so that a lost executor
-    costs no recomputation of the steps before.
+    Parquet to ``path`` (by default below the shared folder) and reads it back,
+    so that a lost executor costs no recomputation of the steps before.
     """
     columns = [F.col("label").cast("double").alias("label"), F.col("features")]
     if "is_valid" not in samples.columns and validation > 0:
@@ -110,7 +111,7 @@ def prepare(
     if storage == "cache":
         return table.persist(StorageLevel.MEMORY_AND_DISK)
     if storage == "table":
-        path = shared_path(samples.sparkSession, "training")
+        path = path or shared_path(samples.sparkSession, "training")
         table.write.parquet(path)
         return samples.sparkSession.read.parquet(path)
     raise ValueError("storage must be 'cache' or 'table'")
@@ -141,7 +142,7 @@ def train(
     plateau_length: int = PLATEAU_LENGTH,
     partitions: int | None = None,
     storage: str = "cache",
-    combine_tasks: int | None = None,
+    combine_tasks: int = COMBINE_TASKS,
 ) -> TrainingRun:
     """Train on (label, features) samples and keep the weights of the best epoch.
 
@@ -150,12 +151,13 @@ def train(
     run stops early when a new best loss lies below ``target_loss``. When more
     than ``plateau_length`` epochs in a row change the loss by at most
     ``plateau_step``, new random weights are drawn and the learning rate starts
-    anew. Everything random follows from ``seed`` and row keys. For networks
-    with very many weights, ``combine_tasks`` adds up the vectors of the tasks in
-    a stage of their own.
+    anew. Everything random follows from ``seed`` and row keys. The vectors of the
+    tasks are added up in ``combine_tasks`` tasks first. A table written for the
+    run (``storage="table"``) is removed at its end.
     """
     held_out = validation > 0 or "is_valid" in samples.columns
-    table = prepare(samples, config, validation, seed, key, partitions, storage)
+    path = shared_path(samples.sparkSession, "training") if storage == "table" else None
+    table = prepare(samples, config, validation, seed, key, partitions, storage, path)
     try:
         return _epochs(
             table, config, epochs, held_out, seed, init_weights, target_loss, plateau_step, plateau_length, combine_tasks
@@ -163,6 +165,8 @@ def train(
     finally:
         if storage == "cache":
             table.unpersist()
+        elif path:
+            remove_path(samples.sparkSession, path)
 
 
 def _epochs(
