@@ -125,11 +125,50 @@ def test_store_replaces_meters_and_keeps_others(spark):
 def test_store_reads_only_the_folders_of_listed_meters(spark):
     store = SampleStore(spark, shared_path(spark, "store"), buckets=8)
     store.save(samples(spark, *[(f"m{k}", 1, 0.1) for k in range(40)]))
-    scanned = store.read(["m1"])
-    assert len({f for f in scanned.inputFiles()}) > 1
-    plan = scanned._jdf.queryExecution().executedPlan().toString()
-    filters = plan[plan.index("PartitionFilters") :]
-    assert "bucket_of_8" in filters[: filters.index("PushedFilters")]
+    every = set(store.read().inputFiles())
+    for wanted in (["m1"], spark.createDataFrame([("m1",)], "id string")):
+        scanned = store.read(wanted)
+        assert content(scanned) == [("m1", 1, 0.1)]
+        files = [f for f in scanned.inputFiles() if store.path in f]
+        assert files and {f.split("bucket_of_8=")[1][0] for f in files} == {files[0].split("bucket_of_8=")[1][0]}
+        assert set(files) < every
+
+
+def test_a_write_that_breaks_off_changes_nothing(spark, monkeypatch):
+    store = SampleStore(spark, shared_path(spark, "store"), buckets=2)
+    store.save(samples(spark, ("a", 1, 0.1), ("b", 1, 0.3), ("c", 1, 2.0)))
+    before = content(store.read())
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lost)
+        with pytest.raises(RuntimeError):
+            store.save(samples(spark, ("a", 1, 0.9)))
+    assert content(store.read()) == before
+    store.save(samples(spark, ("a", 1, 0.9)))
+    assert content(store.read()) == [("a", 1, 0.9), ("b", 1, 0.3), ("c", 1, 2.0)]
+    store.vacuum()
+    assert content(store.read()) == [("a", 1, 0.9), ("b", 1, 0.3), ("c", 1, 2.0)]
+
+
+def test_two_writers_at_once(spark, monkeypatch):
+    """The second one starts again from what the first has stored; a meter stored by both is stored once."""
+    store, other = (SampleStore(spark, shared_path(spark, "unused"), buckets=2) for _ in range(2))
+    other.path = store.path
+    store.save(samples(spark, ("z", 1, 0.5)))
+    write, done = store._write, []
+
+    def late(rows):
+        if not done:
+            done.append(True)
+            other.save(samples(spark, ("a", 1, 0.2), ("b", 1, 0.4)))
+        return write(rows)
+
+    monkeypatch.setattr(store, "_write", late)
+    store.save(samples(spark, ("a", 1, 0.9)))
+    assert content(store.read()) == [("a", 1, 0.9), ("b", 1, 0.4), ("z", 1, 0.5)]
 
 
 def test_read_through(spark):
