@@ -20,12 +20,34 @@ def uniform(*keys: Column, seed: int = 0) -> Column:
     return bits.cast("double") * F.lit(2.0**-53)
 
 
+# Fixed values of a Lehmer generator: modulus 2**31 - 1 and multiplier.
+LEHMER_MODULUS, LEHMER_STEP = 2**31 - 1, 48271
+
+
+def lehmer(key: Column, epoch: Column, position: Column, seed: int = 0) -> Column:
+    """Uniform double in [0, 1) by integer arithmetic that any SQL engine repeats exactly.
+
+    ``key`` is an integer. The default draws mix better; this one is for results
+    that another engine has to reproduce.
+    """
+    m, a = F.lit(LEHMER_MODULUS).cast("long"), F.lit(LEHMER_STEP).cast("long")
+    x = F.pmod(key.cast("long"), m)
+    for part in (epoch.cast("long"), position.cast("long"), F.lit(seed).cast("long"), F.lit(1).cast("long")):
+        x = F.pmod(x * a + part + 1, m)
+    return x / F.lit(float(LEHMER_MODULUS))
+
+
 # Up to this width a vector of draws is spelled out, so that codegen compiles it.
 UNROLLED = 16
 
 
-def drawn_vector(size: Column | int, *keys: Column, seed: int = 0, then=lambda u: u) -> Column:
-    """ARRAY of independent uniforms, one per position, each passed through ``then``."""
+def drawn_vector(size: Column | int, *keys: Column, seed: int = 0, then=lambda u: u, draw=None) -> Column:
+    """ARRAY of independent uniforms, one per position, each passed through ``then``.
+
+    ``draw`` (keys, position, seed) replaces :func:`uniform`.
+    """
+    if draw is not None:
+        return F.transform(F.sequence(F.lit(0), F.lit(size) - 1), lambda i: then(draw(*keys, i, seed)))
     if isinstance(size, int) and size <= UNROLLED:
         return F.array(*[then(uniform(*keys, F.lit(i), seed=seed)) for i in range(size)])
     return F.transform(F.array_repeat(F.lit(0), size), lambda _, i: then(uniform(*keys, i, seed=seed)))

@@ -34,9 +34,9 @@ def _kept(test: Column) -> Column:
     return F.when(test, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def input_mask(key: Column, width: Column | int, fraction: float, epoch: int, seed: int = 0) -> Column:
+def input_mask(key: Column, width: Column | int, fraction: float, epoch: int, seed: int = 0, draw=None) -> Column:
     """0/1 vector: an element survives when its draw is at least ``fraction``."""
-    return drawn_vector(width, key, F.lit(epoch), seed=seed, then=lambda u: _kept(u >= F.lit(float(fraction))))
+    return drawn_vector(width, key, F.lit(epoch), seed=seed, then=lambda u: _kept(u >= F.lit(float(fraction))), draw=draw)
 
 
 def mask_features(
@@ -47,6 +47,8 @@ def mask_features(
     return df.withColumn("features", masked(F.col("features"), mask))
 
 
-def dropout_mask(key: Column, units: int, fraction: float, epoch: int, seed: int = 0) -> Column:
+def dropout_mask(key: Column, units: int, fraction: float, epoch: int, seed: int = 0, draw=None) -> Column:
     """0/1 vector over all hidden units: a unit works when its draw is above ``fraction``."""
-    return drawn_vector(units, key, F.lit(epoch), seed=seed + 1, then=lambda u: _kept(u > F.lit(float(fraction))))
+    return drawn_vector(
+        units, key, F.lit(epoch), seed=seed + 1, then=lambda u: _kept(u > F.lit(float(fraction))), draw=draw
+    )

@@ -86,11 +86,13 @@ def prepare(
     partitions: int | None = None,
     storage: str = "cache",
     path: str | None = None,
+    draw=None,
 ) -> DataFrame:
     """The table all epochs read: blocks of label, features and ``is_valid``.
 
     With masked inputs or dropout, whose draws are columns, it holds single rows
-    and their ``row_key`` instead. An ``is_valid`` column of the samples is used as
+    and their ``row_key`` instead: a hash of the key columns, or with a ``draw`` of
+    the caller's the one key column itself. An ``is_valid`` column of the samples is used as
     it is. ``storage="cache"`` persists in memory and on disk; ``"table"`` writes
     Parquet to ``path`` (by default below the shared folder) and reads it back,
     so that a lost executor costs no recomputation of the steps before.
@@ -102,7 +104,10 @@ def prepare(
         columns.append(F.col("is_valid"))
     if is_noisy(config):
         named = [F.col(c) for c in key]
-        columns.append((F.xxhash64(*named) if named else row_key(samples)).alias("row_key"))
+        if draw is not None and len(named) != 1:
+            raise ValueError("a draw of your own needs one integer key column")
+        hashed = F.xxhash64(*named) if named else row_key(samples)
+        columns.append((hashed if draw is None else named[0]).alias("row_key"))
     table = samples.select(*columns)
     if partitions:
         table = table.repartition(partitions)
@@ -117,14 +122,14 @@ def prepare(
     raise ValueError("storage must be 'cache' or 'table'")
 
 
-def with_noise(table: DataFrame, config: NetworkConfig, epoch: int, seed: int) -> DataFrame:
+def with_noise(table: DataFrame, config: NetworkConfig, epoch: int, seed: int, draw=None) -> DataFrame:
     """Add this epoch's masked features and dropout mask, where the settings ask for them."""
     if config.input_mask > 0:
-        mask = input_mask(F.col("row_key"), config.size[0], config.input_mask, epoch, seed)
+        mask = input_mask(F.col("row_key"), config.size[0], config.input_mask, epoch, seed, draw)
         table = table.withColumn("noisy", masked(F.col("features"), mask))
     if config.dropout > 0:
         table = table.withColumn(
-            "keep", dropout_mask(F.col("row_key"), config.hidden_units, config.dropout, epoch, seed)
+            "keep", dropout_mask(F.col("row_key"), config.hidden_units, config.dropout, epoch, seed, draw)
         )
     return table
 
@@ -143,6 +148,7 @@ def train(
     partitions: int | None = None,
     storage: str = "cache",
     combine_tasks: int = COMBINE_TASKS,
+    draw=None,
 ) -> TrainingRun:
     """Train on (label, features) samples and keep the weights of the best epoch.
 
@@ -153,14 +159,15 @@ def train(
     ``plateau_step``, new random weights are drawn and the learning rate starts
     anew. Everything random follows from ``seed`` and row keys. The vectors of the
     tasks are added up in ``combine_tasks`` tasks first. A table written for the
-    run (``storage="table"``) is removed at its end.
+    run (``storage="table"``) is removed at its end. ``draw`` replaces the hash
+    behind masks and dropout, see :func:`..functions.random.lehmer`.
     """
     held_out = validation > 0 or "is_valid" in samples.columns
     path = shared_path(samples.sparkSession, "training") if storage == "table" else None
-    table = prepare(samples, config, validation, seed, key, partitions, storage, path)
+    table = prepare(samples, config, validation, seed, key, partitions, storage, path, draw)
     try:
         return _epochs(
-            table, config, epochs, held_out, seed, init_weights, target_loss, plateau_step, plateau_length, combine_tasks
+            table, config, epochs, held_out, seed, init_weights, target_loss, plateau_step, plateau_length, combine_tasks, draw
         )
     finally:
         if storage == "cache":
@@ -170,10 +177,10 @@ def train(
 
 
 def _epochs(
-    table, config, epochs, held_out, seed, init_weights, target_loss, plateau_step, plateau_length, combine_tasks
+    table, config, epochs, held_out, seed, init_weights, target_loss, plateau_step, plateau_length, combine_tasks, draw=None
 ):
     def at(weights: Weights, epoch: int, gradient: bool = True):
-        source = with_noise(table, config, epoch, seed) if gradient else table
+        source = with_noise(table, config, epoch, seed, draw) if gradient else table
         return run_pass(source, weights, config, gradient, combine_tasks)
 
     def judged(result) -> float:

@@ -67,3 +67,18 @@ def test_relative_error(spark):
     assert at(0, 1) is None
     assert at(-2, -1) == -0.5
     assert math.isclose(at(4, 5), 0.25)
+
+
+def test_lehmer_draws(spark):
+    """The integer steps by hand, and draws spread evenly enough."""
+    from tallygrad.functions.random import lehmer
+
+    def by_hand(key, epoch, position, seed):
+        x = key % (2**31 - 1)
+        for part in (epoch, position, seed, 1):
+            x = (x * 48271 + part + 1) % (2**31 - 1)
+        return x / (2**31 - 1)
+
+    rows = spark.range(-5, 3000).select("id", lehmer(F.col("id"), F.lit(2), F.lit(3), 4).alias("u")).collect()
+    assert all(r.u == by_hand(r.id, 2, 3, 4) and 0 <= r.u < 1 for r in rows)
+    assert abs(sum(r.u for r in rows) / len(rows) - 0.5) < 0.03

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallygrad.functions import activations as act
 from tallygrad.functions.metrics import error, relative_error, squared_error
-from tallygrad.functions.random import row_key
+from tallygrad.functions.random import lehmer, row_key
 from tallygrad.functions.surfaces import SURFACES, rastrigin, rosenbrock, sphere, xor
 from tallygrad.functions.vectors import masked, matvec, to_long, to_wide, vector, with_bias, without_first
 from tallygrad.network import NetworkConfig, initial_weights, weights_from_table, weights_table
@@ -331,7 +331,7 @@ def label_range(spark, sf_dir):
 def row_count(spark, sf_dir):
     """The count that a pass over the rows reports, without its gradient."""
     sums = partial_sums(lines(spark, sf_dir), formula_weights(SMALL), SMALL, gradient=False)
-    rows = F.element_at("sums", SMALL.parameters + 1)
+    rows = F.element_at("sums", SMALL.parameters + 1) + F.element_at("sums", SMALL.parameters + 3)
     return sums.agg(F.coalesce(F.sum(rows), F.lit(0.0)).cast("long").alias("n"))
 
 
@@ -861,10 +861,27 @@ def noisy_inputs(spark, sf_dir):
     return both.select("vec_id", F.posexplode(ok).alias("pos", "kept_or_zero"))
 
 
-@register("ml14_train_with_input_mask")
+LINE_NUMBER = "l_orderkey * 8 + l_linenumber"
+MASKED_RUN = NetworkConfig(size=(6, 5, 1), learning_rate=0.5, input_mask=0.2)
+DROPPED_RUN = NetworkConfig(size=(6, 5, 1), learning_rate=0.5, dropout=0.2)
+
+
+def noisy_log(config: NetworkConfig) -> str:
+    return lines_with(
+        f"SELECT iteration, round(train_loss, 9) AS train_loss, round(valid_loss, 9) AS valid_loss FROM ({log_sql(3)})",
+        training_ctes("lines", config, 3, noise_key=LINE_NUMBER),
+    )
+
+
+def noisily_trained(spark, sf_dir, config: NetworkConfig):
+    """Trained with draws that SQL repeats."""
+    samples = lines(spark, sf_dir).withColumn("k", F.expr(LINE_NUMBER))
+    return train(samples, config, 3, init_weights=formula_weights(config), key=["k"], draw=lehmer)
+
+
+@register("ml14_train_with_input_mask", noisy_log(MASKED_RUN))
 def masked_training(spark, sf_dir):
-    config = NetworkConfig(size=(6, 5, 1), learning_rate=0.5, input_mask=0.2)
-    return log_rows(trained(spark, sf_dir, config, 3), spark)
+    return log_rows(noisily_trained(spark, sf_dir, MASKED_RUN), spark)
 
 
 @register(
@@ -879,10 +896,9 @@ def dropped_units(spark, sf_dir):
     return totals.select("units", (F.abs(F.col("share") - 0.6) < 0.01).alias("share_fits"))
 
 
-@register("ml15_train_with_dropout")
+@register("ml15_train_with_dropout", noisy_log(DROPPED_RUN))
 def dropout_training(spark, sf_dir):
-    config = NetworkConfig(size=(6, 5, 1), learning_rate=0.5, dropout=0.2)
-    return log_rows(trained(spark, sf_dir, config, 3), spark)
+    return log_rows(noisily_trained(spark, sf_dir, DROPPED_RUN), spark)
 
 
 MASKED = NetworkConfig(size=(6, 4, 3, 1), input_mask=0.3, dropout=0.3)

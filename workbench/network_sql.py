@@ -143,12 +143,37 @@ def unpivot(cte: str, config: NetworkConfig, columns: dict[str, str]) -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def lehmer_sql(key: str, epoch: int, position: int, seed: int) -> str:
+    """The integer draw, step by step."""
+    x = f"(({key}) % 2147483647)"
+    for part in (epoch, position, seed, 1):
+        x = f"(({x} * 48271 + {part + 1}) % 2147483647)"
+    return f"({x} / 2147483647.0::DOUBLE)"
+
+
+def noise_cte(name: str, source: str, key: str, config: NetworkConfig, epoch: int, seed: int = 0) -> str:
+    """The source with the masks of one epoch drawn by :func:`lehmer_sql`."""
+    cols = []
+    for i in range(config.size[0]):
+        kept = f"{lehmer_sql(key, epoch, i, seed)} >= {config.input_mask}::DOUBLE" if config.input_mask > 0 else "true"
+        cols.append(f"CASE WHEN {kept} THEN x{i + 1} ELSE 0 END AS x{i + 1}")
+    for k, m in enumerate(mask_columns(config)):
+        kept = f"{lehmer_sql(key, epoch, k, seed + 1)} > {config.dropout}::DOUBLE" if config.dropout > 0 else "true"
+        cols.append(f"CASE WHEN {kept} THEN 1 ELSE 0 END AS {m}")
+    return f"{name} AS MATERIALIZED (SELECT y, v, {', '.join(cols)} FROM {source})"
+
+
 def training_ctes(
-    source: str, config: NetworkConfig, epochs: int, restarts: dict[int, Weights] | None = None
+    source: str,
+    config: NetworkConfig,
+    epochs: int,
+    restarts: dict[int, Weights] | None = None,
+    noise_key: str | None = None,
 ) -> str:
     """CTEs of a whole run: w0, then per epoch g{e}, w{e+1} and the losses l{e+1}.
 
-    ``restarts`` maps an epoch (from 0) to the weights it starts with.
+    ``restarts`` maps an epoch (from 0) to the weights it starts with. With a
+    ``noise_key`` each gradient is taken under the masks of its epoch; losses never are.
     """
     restarts = restarts or {}
     ctes = [weight_row("w0", config)]
@@ -157,7 +182,11 @@ def training_ctes(
         if e in restarts:
             start, velocity, rate = f"start{e}", None, config.learning_rate
             ctes.append(weight_row(start, config, restarts[e]))
-        ctes.append(gradient_sql(source, start, config, f"g{e}"))
+        if noise_key is None:
+            ctes.append(gradient_sql(source, start, config, f"g{e}"))
+        else:
+            ctes.append(noise_cte(f"noise{e}", source, noise_key, config, e))
+            ctes.append(gradient_sql(f"noise{e}", start, config, f"g{e}", masks=True))
         ctes.append(update_sql(start, f"g{e}", velocity, config, rate, f"w{e + 1}"))
         ctes.append(loss_sql(source, f"w{e + 1}", config, f"l{e + 1}"))
         start = velocity = f"w{e + 1}"
