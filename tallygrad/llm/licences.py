@@ -138,6 +138,8 @@ def _regions(batch: pa.RecordBatch, index: Index):
     rows = owner[start]
     first_line = newlines[words.offsets[:-1]] + np.arange(batch.num_rows)
     at = np.flatnonzero(like)
+    if not len(at):
+        return
     runs = np.split(at, np.flatnonzero((np.diff(at) > 1) | (rows[at[1:]] != rows[at[:-1]])) + 1)
     for run in runs:
         row = rows[run[0]]
