@@ -6,9 +6,10 @@ windows always share that anchor, so all copies of a window meet where paths
 are grouped by anchor:
 
 - an anchor that stands in one document only needs nothing more;
-- where all paths of an anchor are equal, the path does not branch, and the
-  smallest document of the anchor decides for all its windows at once;
-- where paths of an anchor differ, their windows are grouped one by one.
+- a path that also stands in a smaller document goes as a whole, all its
+  windows with it, so most copies are decided path by path;
+- where paths of one anchor differ, the graph branches: one occurrence of each
+  of these paths is taken apart, and its windows are grouped one by one.
 
 The joins carry hashes and ids. Texts are shuffled once, compressed, to be
 joined with what was found for their document. Windows count as equal when two
@@ -24,6 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from tallygrad.llm.store import kept
 from tallygrad.llm.text import PIECE_BYTES, Words, _power_tables, gram_hashes, mixed, pieces
 
 WINDOW, ANCHOR = 13, 4
@@ -68,6 +70,10 @@ class Windows:
             value = mixed((sums[end] - sums[start]) * inverse[start] + mixed(shape))
         return fresh, self.anchors[fresh], value
 
+    def path_of_window(self) -> np.ndarray:
+        fresh, _, path = self.paths()
+        return np.repeat(path, np.diff(np.append(fresh, len(self.at))))
+
     def window_hashes(self) -> np.ndarray:
         return gram_hashes(self.hashes, self.window)[self.at] if len(self.at) else np.zeros(0, np.uint64)
 
@@ -165,23 +171,28 @@ def repeated_spans(docs: DataFrame, finish, schema: str, window: int = WINDOW, a
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     known = (
-        anchors(docs, window, anchor)
+        anchors(docs, window, anchor, with_paths=False)
         .groupBy("anchor")
-        .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("path").alias("p"), F.max("path").alias("q"))
+        .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
         .where(F.col("first_doc") < F.col("last_doc"))
-        .select("anchor", "first_doc", (F.col("p") != F.col("q")).alias("branches"))
+        .select("anchor")
     )
-    marks = (
-        anchors(docs, window, anchor, with_paths=False)
-        .join(known, "anchor")
-        .where(F.col("branches") | (F.col("first_doc") < F.col("doc_id")))
+    paths = kept(anchors(docs, window, anchor).join(known, "anchor"), "repeated-paths")
+    first = paths.groupBy("anchor", "path").agg(F.min("doc_id").alias("first_doc"))
+    branching = first.groupBy("anchor").agg(F.min("path").alias("p"), F.max("path").alias("q")).where(F.col("p") != F.col("q"))
+    copies = (
+        paths.join(first, ["anchor", "path"])
+        .where(F.col("first_doc") < F.col("doc_id"))
         .groupBy("doc_id")
-        .agg(  # anchors of one document
-            F.collect_list(F.when(~F.col("branches"), F.col("anchor"))).alias("plain"),
-            F.collect_list(F.when(F.col("branches"), F.col("anchor"))).alias("branching"),
-        )
+        .agg(F.collect_list("path").alias("paths"))  # paths of one document
+    )
+    apart = (
+        first.join(branching.select("anchor"), "anchor")
+        .groupBy(F.col("first_doc").alias("doc_id"))
+        .agg(F.collect_list("path").alias("branching"))  # paths of one document
     )
-    packed = docs.mapInArrow(_packed, "doc_id bigint, packed binary")
+    # Inner joins would ask for ids on their branch alone; rows without one come back at the end.
+    packed = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_packed, "doc_id bigint, packed binary").where(F.col("doc_id").isNotNull())
 
     def branches(batches):
         for whole in batches:
@@ -189,11 +200,11 @@ def repeated_spans(docs: DataFrame, finish, schema: str, window: int = WINDOW, a
                 ids = whole.column("doc_id").slice(first, end - first)
                 windows = Windows(texts, window, anchor)
                 owner = windows.owner[windows.at]
-                hit = _is_listed(owner, windows.anchors, *_lists(whole.column("branching").slice(first, end - first)))
+                hit = _is_listed(owner, windows.path_of_window(), *_lists(whole.column("branching").slice(first, end - first)))
                 owner, a, w = _distinct_rows(owner[hit], windows.anchors[hit], windows.window_hashes()[hit])
                 yield pa.RecordBatch.from_arrays([_signed(a), _signed(w), ids.take(pa.array(owner))], names=["anchor", "window", "doc_id"])
 
-    asked = packed.join(marks.select("doc_id", "branching").where(F.size("branching") > 0), "doc_id").mapInArrow(
+    asked = packed.join(apart, "doc_id").mapInArrow(
         branches, "anchor bigint, window bigint, doc_id bigint"
     )
     earlier = (
@@ -215,13 +226,16 @@ def repeated_spans(docs: DataFrame, finish, schema: str, window: int = WINDOW, a
                 rows = whole.slice(first, end - first)
                 windows = Windows(texts, window, anchor)
                 owner = windows.owner[windows.at]
-                hit = _is_listed(owner, windows.anchors, *_lists(rows.column("plain")))
+                hit = _is_listed(owner, windows.path_of_window(), *_lists(rows.column("paths")))
                 hit |= _is_listed(owner, windows.window_hashes(), *_lists(rows.column("windows")))
                 yield pa.RecordBatch.from_arrays(finish(rows.column("doc_id"), windows, windows.covered(hit)), names=names)
 
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    together = packed.join(marks.select("doc_id", "plain"), "doc_id", "left").join(single, "doc_id", "left")
-    return together.mapInArrow(finished, schema)
+    together = packed.join(copies, "doc_id", "left").join(single, "doc_id", "left")
+    unknown = docs.where(F.col("doc_id").isNull()).mapInArrow(_packed, "doc_id bigint, packed binary")
+    nothing = F.array().cast("array<bigint>")
+    unknown = unknown.withColumns({"paths": nothing, "windows": nothing})
+    return together.unionByName(unknown).mapInArrow(finished, schema)
 
 
 def _digest(doc_ids, windows: Windows, covered: np.ndarray):
