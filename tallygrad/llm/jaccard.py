@@ -1,6 +1,6 @@
 """Documents whose sets of word shingles have a high Jaccard similarity, and the groups they form.
 
-Documents with equal sets are one class; only one text per class goes on. Every
+Documents with equal sets are one class. Every
 class orders its shingles from rare to frequent by estimated counts and indexes
 a prefix of them. A longer prefix that requires more shared shingles costs
 more index entries and yields fewer candidates, so each class picks its own
@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallygrad.llm.components import connected_components
 from tallygrad.llm.store import kept
-from tallygrad.llm.text import PIECE_BYTES, Words, pieces, shingle_sets
+from tallygrad.llm.text import Words, pieces, shingle_sets
 
 #: Counters of the frequency estimate, in how many rows a task hands them over, and tasks summed up at first.
 COUNTERS, CHUNKS, FAN_IN = 1 << 20, 16, 32
-#: Most matches a prefix may require, and cost of a verification in index entries.
-MOST_MATCHES, VERIFY_COST = 6, 40
+#: Most matches a prefix may require, cost of a verification in index entries, documents that share a shingle by
+#: chance besides those estimated, and share of the chance candidates that each further match leaves.
+MOST_MATCHES, VERIFY_COST, BY_CHANCE, LEFT = 8, 500, 0.3, 1 / 8
 
 
 def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +40,12 @@ def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(owner, np.arange(len(column) + 1)), shingles
 
 
+def _keys(first: np.ndarray, shingles: np.ndarray) -> list[bytes | None]:
+    """Digest of each set, none for an empty one."""
+    raw, at = shingles.tobytes(), (8 * first).tolist()
+    return [hashlib.md5(raw[a:b]).digest() if b > a else None for a, b in zip(at[:-1], at[1:])]
+
+
 def shingle_keys(docs: DataFrame, k: int, with_text: bool) -> DataFrame:
     """(doc_id, n_shingles, key): size of the set and a digest of it, null for an empty one; with the packed text if asked."""
 
@@ -47,9 +54,8 @@ def shingle_keys(docs: DataFrame, k: int, with_text: bool) -> DataFrame:
         for whole in batches:
             for batch in pieces(whole):
                 first, shingles = _sets(batch.column("text"), k)
-                raw, at = shingles.tobytes(), (8 * first).tolist()
-                keys = [hashlib.md5(raw[a:b]).digest() if b > a else None for a, b in zip(at[:-1], at[1:])]
-                out = [batch.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(keys, pa.binary())]
+                keys = pa.array(_keys(first, shingles), pa.binary())
+                out = [batch.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), keys]
                 if with_text:
                     texts = batch.column("text").to_pylist()
                     out.append(pa.array([None if t is None else pack(t.encode()) for t in texts], pa.binary()))
@@ -59,23 +65,12 @@ def shingle_keys(docs: DataFrame, k: int, with_text: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(found, schema)
 
 
-def _unpacked(whole: pa.RecordBatch, name: str = "packed"):
-    unpack = zstandard.ZstdDecompressor().decompress
-    texts, size, first = [], 0, 0
-    for row, packed in enumerate(whole.column(name).to_pylist()):
-        texts.append(unpack(packed))
-        size += len(texts[-1])
-        if size >= PIECE_BYTES or row == whole.num_rows - 1:
-            yield first, row + 1, pa.array(texts, pa.binary())
-            texts, size, first = [], 0, row + 1
-
-
 def _counter(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - (COUNTERS - 1).bit_length())).astype(np.int64)
 
 
-def estimated_counts(classes: DataFrame, k: int) -> np.ndarray:
-    """Counters over the shingles of all classes; the estimate of a shingle's count is its counter.
+def estimated_counts(docs: DataFrame, k: int) -> np.ndarray:
+    """Counters over the shingles of all documents; the estimate of a shingle's count is its counter.
 
     Their number is fixed, so the sum is of bounded size whatever the input; they
     steer the order of shingles and the cost, never the result.
@@ -84,8 +79,8 @@ def estimated_counts(classes: DataFrame, k: int) -> np.ndarray:
     def counted(batches):
         total = np.zeros(COUNTERS, np.int64)
         for whole in batches:
-            for _, _, texts in _unpacked(whole):
-                total += np.bincount(_counter(_sets(texts, k)[1]), minlength=COUNTERS)
+            for batch in pieces(whole):
+                total += np.bincount(_counter(_sets(batch.column("text"), k)[1]), minlength=COUNTERS)
         if total.any():
             parts = total.astype(np.uint32).reshape(CHUNKS, -1)
             yield pa.RecordBatch.from_arrays(
@@ -98,7 +93,7 @@ def estimated_counts(classes: DataFrame, k: int) -> np.ndarray:
         packed = zstandard.compress(np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes())
         return pa.table({"chunk": table.column("chunk")[:1].cast(pa.int32()), "counts": pa.array([packed], pa.binary())})
 
-    parts = classes.select("packed").mapInArrow(counted, "chunk int, counts binary")
+    parts = docs.select("text").mapInArrow(counted, "chunk int, counts binary")
     parts = parts.withColumn("some", (F.spark_partition_id() / FAN_IN).cast("int"))
     parts = parts.groupBy("chunk", "some").applyInArrow(summed, "chunk int, counts binary")
     rows = parts.groupBy("chunk").applyInArrow(summed, "chunk int, counts binary").collect()  # CHUNKS rows
@@ -114,44 +109,44 @@ def matches_and_prefix(estimates: np.ndarray, percent: int) -> tuple[int, int]:
     least = -(-percent * n // 100)  # shingles shared with any similar set
     most = min(MOST_MATCHES, least)
     lengths = n - least + np.arange(1, most + 1)
-    entries = np.cumsum(estimates)[lengths - 1]
-    cost = lengths + entries + VERIFY_COST * entries / np.arange(1, most + 1)
+    candidates = np.cumsum(estimates + BY_CHANCE)[lengths - 1] * LEFT ** np.arange(most)
+    cost = lengths + VERIFY_COST * candidates
     m = int(cost.argmin())
     return m + 1, int(lengths[m])
 
 
-def prefixes(classes: DataFrame, counts, k: int, percent: int) -> DataFrame:
-    """(shingle, doc, n, matches): the index entries of each class. ``counts`` is a broadcast of the estimates."""
+def prefixes(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
+    """(shingle, node, n, matches): the index entries of each document. ``counts`` is a broadcast of the estimates.
+
+    ``node`` is the first half of the digest of the set, so equal sets give equal entries.
+    """
 
     def indexed(batches):
         estimate = counts.value
         usual = int(estimate.mean())  # what other shingles add to a counter
         for whole in batches:
-            docs = whole.column("doc").to_numpy()
-            for first_row, end_row, texts in _unpacked(whole):
-                first, shingles = _sets(texts, k)
-                owner = np.repeat(np.arange(len(texts)), np.diff(first))
+            for batch in pieces(whole):
+                first, shingles = _sets(batch.column("text"), k)
+                nodes = np.array([int.from_bytes(key[:8], "big", signed=True) if key else 0 for key in _keys(first, shingles)], np.int64)
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
                 counter = estimate[_counter(shingles)]
                 order = np.lexsort((shingles, counter, owner))
                 shingles, excess = shingles[order], np.maximum(counter[order].astype(np.int64) - usual, 0)
-                taken, matches = [], []
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                    m, length = matches_and_prefix(excess[a:b], percent)
-                    taken.append(length)
-                    matches.append(m)
-                taken = np.array(taken)
+                taken, matches = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
+                for t in np.flatnonzero(np.diff(first)).tolist():
+                    matches[t], taken[t] = matches_and_prefix(excess[first[t] : first[t + 1]], percent)
                 index = np.repeat(first[:-1] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shingles[index].view(np.int64)),
-                        pa.array(np.repeat(docs[first_row:end_row], taken)),
+                        pa.array(np.repeat(nodes, taken)),
                         pa.array(np.repeat(np.diff(first), taken).astype(np.int32)),
-                        pa.array(np.repeat(np.array(matches, np.int32), taken)),
+                        pa.array(np.repeat(matches, taken)),
                     ],
-                    names=["shingle", "doc", "n", "matches"],
+                    names=["shingle", "node", "n", "matches"],
                 )
 
-    return classes.select("doc", "packed").mapInArrow(indexed, "shingle bigint, doc bigint, n int, matches int")
+    return docs.select("text").mapInArrow(indexed, "shingle bigint, node bigint, n int, matches int")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -193,21 +188,45 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     links nothing and keeps a null component. Rows with one doc_id count as one
     document. Other columns are ignored. Sets are compared by 64-bit hashes of their shingles.
     """
-    distinct = (
-        shingle_keys(docs.where(F.col("doc_id").isNotNull()), k, with_text=True)
-        .where(F.col("key").isNotNull())
-        .groupBy("key")
-        .agg(F.min("doc_id").alias("doc"), F.first("packed").alias("packed"))
-    )
-    classes = kept(distinct, "shingle-classes")
-    counts = docs.sparkSession.sparkContext.broadcast(estimated_counts(classes, k))  # 4 MB
-    entries = prefixes(classes, counts, k, percent)
+    known = docs.where(F.col("doc_id").isNotNull())
+    counts = docs.sparkSession.sparkContext.broadcast(estimated_counts(known, k))  # 4 MB
+    entries = prefixes(known, counts, k, percent)
     repeated = (
-        entries.groupBy("shingle").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where(F.col("hub") < F.col("last")).drop("last")
+        entries.groupBy("shingle").agg(F.min("node").alias("p"), F.max("node").alias("q")).where(F.col("p") < F.col("q")).select("shingle")
+    )
+    shared = kept(entries.join(repeated, "shingle").distinct(), "shingle-entries")
+    # Only classes that hold enough repeated entries can have a partner.
+    asked = shared.groupBy("shingle").agg(F.min("matches").alias("least"))
+    nodes = (
+        shared.join(asked, "shingle")
+        .groupBy("node")
+        .agg(F.count("*").alias("entries"), F.min(F.least("matches", "least")).alias("needed"))
+        .where(F.col("entries") >= F.col("needed"))
+        .select("node")
+    )
+    rows = shingle_keys(docs, k, with_text=False)
+    classes = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc"))
+    classes = kept(classes, "shingle-classes")
+    node = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint")
+    wanted = kept(classes.withColumn("node", node).join(nodes, "node"), "shingle-wanted")
+    packed = (
+        shingle_keys(known, k, with_text=True).where(F.col("key").isNotNull()).groupBy("key").agg(F.first("packed").alias("packed"))
+    )
+    texts = kept(packed.join(wanted.select("key", "doc"), "key").select("doc", "packed"), "shingle-texts")
+    index = kept(shared.join(wanted.select("node", "doc"), "node").drop("node"), "shingle-index")
+
+    # The smallest class of each entry is its hub; each class meets the hub it shares most entries with.
+    hub = index.groupBy("shingle").agg(F.min(F.struct("doc", "n", "matches")).alias("hub"))
+    with_hub = index.join(hub, "shingle").select("doc", "n", "matches", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in ("doc", "n", "matches")))
+    hubs = (
+        with_hub.where((F.col("doc") > F.col("other_doc")) & _sizes_fit(percent))
+        .groupBy("doc", "other_doc")
+        .agg(F.count("*").alias("entries"), F.first(F.least("matches", "other_matches")).alias("needed"))
+        .where(2 * F.col("entries") >= F.col("needed"))
+        .groupBy("doc")
+        .agg(F.max_by("other_doc", "entries").alias("b"))
+        .select(F.col("doc").alias("a"), "b")
     )
-    index = kept(entries.join(repeated, "shingle"), "shingle-index")
-    texts = kept(classes.select("doc", "packed").join(index.select("doc").distinct(), "doc"), "shingle-texts")
-    hubs = index.where(F.col("doc") > F.col("hub")).select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
     links = kept(similar(hubs, texts, k, percent), "shingle-links")
     groups = connected_components(links)
 
@@ -234,7 +253,6 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         .join(groups.withColumnRenamed("node", "doc"), "doc", "left")
         .select("key", F.coalesce("component", "doc").alias("component_id"))
     )
-    rows = shingle_keys(docs, k, with_text=False)
     return rows.join(of_class, "key", "left").select(
         "doc_id",
         "n_shingles",
