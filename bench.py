@@ -21,6 +21,8 @@ from workbench.fixtures import embedded, formula_weights, lines, readings
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 MEMORY = "16g"
+# Meters of the made readings, one reading a day for a leap year each, and copies of each embedding to score.
+METERS, COPIES = int(os.environ.get("BENCH_METERS", "27500")), 200
 
 
 def drain(df: DataFrame) -> None:
@@ -28,6 +30,24 @@ def drain(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def made_readings(spark, meters: int) -> DataFrame:
+    """Complete daily readings of one year with rising counters."""
+    day = (F.col("id") % 366).cast("int")
+    meter = F.floor(F.col("id") / 366)
+    date = F.date_add(F.lit("2012-01-01").cast("date"), day)
+
+    def counter(seed: int):
+        return day * 2.0 + F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(100)) / 100
+
+    return spark.range(meters * 366).select(
+        meter.cast("string").alias("id"),
+        F.lit("b").alias("bar_code"),
+        date.cast("string").alias("date"),
+        (F.year(date) * 100 + F.month(date)).alias("month"),
+        *(counter(i).alias(c) for i, c in enumerate(("total", "fee1", "fee2"))),
+    )
+
+
 def main() -> None:
     spark = local_session("bench", CPUS, MEMORY)
     ship_package(spark)
@@ -50,6 +70,7 @@ def main() -> None:
 
     timed("build_samples", lambda: drain(build_samples(readings(spark, SF_DIR))), total)
     timed("build_samples_again", lambda: drain(build_samples(readings(spark, SF_DIR))), total)
+    timed("samples_of_made_readings", lambda: drain(build_samples(made_readings(spark, METERS))), METERS * 366)
     timed("fit_scaler", lambda: sample_stats(samples).first(), total)
     stats = sample_stats(samples).first()
     timed("scale", lambda: drain(scale(samples, stats)), total)
@@ -74,8 +95,10 @@ def main() -> None:
 
     timed("score_columns", lambda: drain(Model(small, weights).predict(samples)), total)
     timed("score_arrow", lambda: drain(Model(small, weights).predict(samples, "arrow")), total)
-    vectors = embedded(spark, SF_DIR)
-    timed("score_64_inputs", lambda: drain(Model(wide, formula_weights(wide)).predict(vectors)))
+    vectors = embedded(spark, SF_DIR).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))).persist()
+    scored = vectors.count()
+    timed("score_64_inputs", lambda: drain(Model(wide, formula_weights(wide)).predict(vectors)), scored)
+    vectors.unpersist()
     timed("gradient_check", lambda: gradient_check_summary(samples, weights, small).agg(F.max("worst")).first(), total)
 
     print(
