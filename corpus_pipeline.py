@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallygrad.llm import bpe, decontamination, jaccard, personal, quality
-from tallygrad.llm.store import kept
-from tallygrad.session import ship_package
+from tallygrad.llm.store import kept, prepare
 
 #: Documents with a lower score are rejected.
 LEAST_QUALITY = 0.7
@@ -24,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, trained on the labelled ones among them."""
-    ship_package(spark)
+    prepare(spark)
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
     name = "_" + max(docs.columns, key=len)  # no column of docs
     scored = quality.with_score(docs, model, name)
@@ -33,7 +32,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near copies."""
-    ship_package(spark)
+    prepare(spark)
     groups = jaccard.similar_groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
     copies = kept(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
@@ -41,7 +40,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def uncontaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a test item."""
-    ship_package(spark)
+    prepare(spark)
     found = decontamination.contaminated(docs, _table(spark, sf_dir, "benchmark"))
     leaks = kept(found.select("doc_id").distinct(), "leaks")
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
@@ -49,13 +48,13 @@ def uncontaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
-    ship_package(spark)
+    prepare(spark)
     return personal.mask(docs, personal.fit(docs)).select(docs.columns)
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    ship_package(spark)
+    prepare(spark)
     return bpe.encode_documents(docs, bpe.digests())
 
 

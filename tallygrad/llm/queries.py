@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallygrad.llm import bpe, decontamination, embeddings, jaccard, language, licences, personal, quality, substrings, token_files
-from tallygrad.session import shared_path, ship_package
+from tallygrad.llm.store import prepare
+from tallygrad.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +17,7 @@ ORACLES: dict[str, str] = {}
 def register(name: str, sql: str | None = None):
     def add(query):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return query(spark, sf_dir)
 
         QUERIES[name] = run

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from tallygrad.session import shared_path
+from tallygrad.session import shared_path, ship_package
+
+#: Rows of the Arrow batches between Spark and Python; texts are long, so Spark's default would hold tens of MB.
+BATCH_ROWS = "1000"
+_BATCH_SETTING, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make a session ready for the operators: the package on its workers, and small Arrow batches unless set otherwise."""
+    ship_package(spark)
+    if spark.conf.get(_BATCH_SETTING, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

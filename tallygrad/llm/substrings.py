@@ -26,9 +26,11 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tallygrad.llm.store import kept
-from tallygrad.llm.text import PIECE_BYTES, Words, _power_tables, gram_hashes, mixed, pieces
+from tallygrad.llm.text import Words, _power_tables, gram_hashes, mixed, pieces
 
 WINDOW, ANCHOR = 13, 4
+#: Bytes of text worked on at once; a window takes many times the memory of its text.
+STEP_BYTES = 512 << 10
 
 
 class Windows:
@@ -103,7 +105,7 @@ def anchors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_pa
 
     def found(batches):
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, size=STEP_BYTES):
                 windows = Windows(batch.column("text"), window, anchor)
                 fresh, a, path = windows.paths()
                 owner = windows.owner[windows.at[fresh]]
@@ -123,7 +125,7 @@ def anchors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_pa
 def _packed(batches):
     pack = zstandard.ZstdCompressor(level=3).compress
     for whole in batches:
-        for batch in pieces(whole):
+        for batch in pieces(whole, size=STEP_BYTES):
             texts = [None if t is None else pack(t.encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "packed"])
 
@@ -136,7 +138,7 @@ def _unpacked(whole: pa.RecordBatch):
         text = b"" if packed is None else unpack(packed)
         texts.append(text)
         size += len(text)
-        if size >= PIECE_BYTES or row == whole.num_rows - 1:
+        if size >= STEP_BYTES or row == whole.num_rows - 1:
             yield first, row + 1, pa.array(texts, pa.binary())
             texts, size, first = [], 0, row + 1
 
@@ -228,7 +230,9 @@ def repeated_spans(docs: DataFrame, finish, schema: str, window: int = WINDOW, a
                 owner = windows.owner[windows.at]
                 hit = _is_listed(owner, windows.path_of_window(), *_lists(rows.column("paths")))
                 hit |= _is_listed(owner, windows.window_hashes(), *_lists(rows.column("windows")))
-                yield pa.RecordBatch.from_arrays(finish(rows.column("doc_id"), windows, windows.covered(hit)), names=names)
+                out = pa.RecordBatch.from_arrays(finish(rows.column("doc_id"), windows, windows.covered(hit)), names=names)
+                del windows, owner, hit  # before the next texts come
+                yield out
 
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     together = packed.join(copies, "doc_id", "left").join(single, "doc_id", "left")
