@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tallygrad.session import shared_path, ship_package
@@ -18,13 +21,20 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     The new plan starts at the files, so a lost executor repeats nothing that
-    came before and the rows are the same for every reader.
+    came before and the rows are the same for every reader. Spark deletes the
+    shuffle files of a finished query when the driver collects its garbage;
+    ``release`` asks for that, so that large steps do not add up on disk.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        gc.collect()  # Python's handles keep Java's objects
+        for _ in range(2):  # what the first round frees may hold others
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)

@@ -179,7 +179,7 @@ def repeated_spans(docs: DataFrame, finish, schema: str, window: int = WINDOW, a
         .where(F.col("first_doc") < F.col("last_doc"))
         .select("anchor")
     )
-    paths = kept(anchors(docs, window, anchor).join(known, "anchor"), "repeated-paths")
+    paths = kept(anchors(docs, window, anchor).join(known, "anchor"), "repeated-paths", release=True)
     first = paths.groupBy("anchor", "path").agg(F.min("doc_id").alias("first_doc"))
     branching = first.groupBy("anchor").agg(F.min("path").alias("p"), F.max("path").alias("q")).where(F.col("p") != F.col("q"))
     copies = (
