@@ -26,11 +26,16 @@ from tallygrad.llm.components import connected_components
 from tallygrad.llm.store import kept
 from tallygrad.llm.text import Words, pieces, shingle_sets
 
+#: Bytes of text worked on at once.
+STEP_BYTES = 512 << 10
+#: Shingles of the sets a verifying task remembers.
+CACHE_SHINGLES = 1 << 20
 #: Counters of the frequency estimate, in how many rows a task hands them over, and tasks summed up at first.
 COUNTERS, CHUNKS, FAN_IN = 1 << 20, 16, 32
 #: Most matches a prefix may require, cost of a verification in index entries, documents that share a shingle by
 #: chance besides those estimated, and share of the chance candidates that each further match leaves.
 MOST_MATCHES, VERIFY_COST, BY_CHANCE, LEFT = 8, 500, 0.3, 1 / 8
+MATCH_BITS = 4
 
 
 def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +57,7 @@ def shingle_keys(docs: DataFrame, k: int, with_text: bool) -> DataFrame:
     def found(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, size=STEP_BYTES):
                 first, shingles = _sets(batch.column("text"), k)
                 keys = pa.array(_keys(first, shingles), pa.binary())
                 out = [batch.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), keys]
@@ -65,6 +70,10 @@ def shingle_keys(docs: DataFrame, k: int, with_text: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(found, schema)
 
 
+def _node(key: bytes) -> int:
+    return int.from_bytes(key[:8], "big", signed=True) >> MATCH_BITS << MATCH_BITS
+
+
 def _counter(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - (COUNTERS - 1).bit_length())).astype(np.int64)
 
@@ -79,7 +88,7 @@ def estimated_counts(docs: DataFrame, k: int) -> np.ndarray:
     def counted(batches):
         total = np.zeros(COUNTERS, np.int64)
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, size=STEP_BYTES):
                 total += np.bincount(_counter(_sets(batch.column("text"), k)[1]), minlength=COUNTERS)
         if total.any():
             parts = total.astype(np.uint32).reshape(CHUNKS, -1)
@@ -116,18 +125,19 @@ def matches_and_prefix(estimates: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def prefixes(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
-    """(shingle, node, n, matches): the index entries of each document. ``counts`` is a broadcast of the estimates.
+    """(shingle, node): the index entries of each document. ``counts`` is a broadcast of the estimates.
 
-    ``node`` is the first half of the digest of the set, so equal sets give equal entries.
+    ``node`` is the first half of the digest of the set with the matches it requires in
+    its last ``MATCH_BITS`` bits, so equal sets give equal entries and entries stay short.
     """
 
     def indexed(batches):
         estimate = counts.value
         usual = int(estimate.mean())  # what other shingles add to a counter
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, size=STEP_BYTES):
                 first, shingles = _sets(batch.column("text"), k)
-                nodes = np.array([int.from_bytes(key[:8], "big", signed=True) if key else 0 for key in _keys(first, shingles)], np.int64)
+                nodes = np.array([_node(key) if key else 0 for key in _keys(first, shingles)], np.int64)
                 owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
                 counter = estimate[_counter(shingles)]
                 order = np.lexsort((shingles, counter, owner))
@@ -139,35 +149,38 @@ def prefixes(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shingles[index].view(np.int64)),
-                        pa.array(np.repeat(nodes, taken)),
-                        pa.array(np.repeat(np.diff(first), taken).astype(np.int32)),
-                        pa.array(np.repeat(matches, taken)),
+                        pa.array(np.repeat(nodes + matches, taken)),
                     ],
-                    names=["shingle", "node", "n", "matches"],
+                    names=["shingle", "node"],
                 )
 
-    return docs.select("text").mapInArrow(indexed, "shingle bigint, node bigint, n int, matches int")
+    return docs.select("text").mapInArrow(indexed, "shingle bigint, node bigint")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, judged on the whole sets."""
 
     def verified(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        sets: dict[bytes, np.ndarray] = {}
+        size = 0
+
+        def set_of(text: bytes) -> np.ndarray:
+            nonlocal size
+            if text not in sets:
+                if size > CACHE_SHINGLES:
+                    sets.clear()
+                    size = 0
+                sets[text] = _sets(pa.array([unpack(text)], pa.binary()), k)[1]
+                size += len(sets[text])
+            return sets[text]
+
         for batch in batches:
-            sets: dict[bytes, np.ndarray] = {}
             keep = []
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            unpack = zstandard.ZstdDecompressor().decompress
-            for x, y in zip(left, right):
-                for t in (x, y):
-                    if t not in sets:
-                        if len(sets) > 2000:
-                            sets.clear()
-                        sets[t] = _sets(pa.array([unpack(t)], pa.binary()), k)[1]
-                if x not in sets:
-                    sets[x] = _sets(pa.array([unpack(x)], pa.binary()), k)[1]
-                shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                keep.append(100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared))
+            for x, y in zip(batch.column("left"), batch.column("right")):
+                a, b = set_of(x.as_py()), set_of(y.as_py())
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = texts.select(F.col("doc").alias("a"), F.col("packed").alias("left"))
@@ -194,7 +207,9 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     repeated = (
         entries.groupBy("shingle").agg(F.min("node").alias("p"), F.max("node").alias("q")).where(F.col("p") < F.col("q")).select("shingle")
     )
-    shared = kept(entries.join(repeated, "shingle").distinct(), "shingle-entries")
+    shared = kept(entries.join(repeated, "shingle").distinct(), "shingle-entries", release=True)
+    low = F.lit((1 << MATCH_BITS) - 1)
+    shared = shared.select("shingle", F.col("node").bitwiseAND(F.bitwise_not(low)).alias("node"), F.col("node").bitwiseAND(low).cast("int").alias("matches"))
     # Only classes that hold enough repeated entries can have a partner.
     asked = shared.groupBy("shingle").agg(F.min("matches").alias("least"))
     nodes = (
@@ -205,15 +220,19 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         .select("node")
     )
     rows = shingle_keys(docs, k, with_text=False)
-    classes = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc"))
+    classes = (
+        rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
+        .groupBy("key")
+        .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").cast("int").alias("n"))
+    )
     classes = kept(classes, "shingle-classes")
-    node = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint")
+    node = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint").bitwiseAND(F.bitwise_not(low))
     wanted = kept(classes.withColumn("node", node).join(nodes, "node"), "shingle-wanted")
     packed = (
         shingle_keys(known, k, with_text=True).where(F.col("key").isNotNull()).groupBy("key").agg(F.first("packed").alias("packed"))
     )
-    texts = kept(packed.join(wanted.select("key", "doc"), "key").select("doc", "packed"), "shingle-texts")
-    index = kept(shared.join(wanted.select("node", "doc"), "node").drop("node"), "shingle-index")
+    texts = kept(packed.join(wanted.select("key", "doc"), "key").select("doc", "packed"), "shingle-texts", release=True)
+    index = kept(shared.join(wanted.select("node", "doc", "n"), "node").drop("node"), "shingle-index", release=True)
 
     # The smallest class of each entry is its hub; each class meets the hub it shares most entries with.
     hub = index.groupBy("shingle").agg(F.min(F.struct("doc", "n", "matches")).alias("hub"))
@@ -227,7 +246,7 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         .agg(F.max_by("other_doc", "entries").alias("b"))
         .select(F.col("doc").alias("a"), "b")
     )
-    links = kept(similar(hubs, texts, k, percent), "shingle-links")
+    links = kept(similar(hubs, texts, k, percent), "shingle-links", release=True)
     groups = connected_components(links)
 
     grouped = index.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("group", F.coalesce("component", "doc"))
