@@ -36,6 +36,8 @@ COUNTERS, CHUNKS, FAN_IN = 1 << 20, 16, 32
 #: chance besides those estimated, and share of the chance candidates that each further match leaves.
 MOST_MATCHES, VERIFY_COST, BY_CHANCE, LEFT = 8, 500, 0.3, 1 / 8
 MATCH_BITS = 4
+#: Hubs of an index entry.
+HUBS = 4
 
 
 def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +194,18 @@ def _sizes_fit(percent: int):
     return 100 * F.least("n", "other_n").cast("bigint") >= percent * F.greatest("n", "other_n").cast("bigint")
 
 
+def _shared_needed(percent: int):
+    """Entries that a similar pair shares at least.
+
+    All it shares beyond its common entries lies behind the prefix of one of
+    the two, and altogether it shares percent / (100 + percent) of both sizes.
+    """
+    n, other = F.col("n").cast("bigint"), F.col("other_n").cast("bigint")
+    behind = [F.ceil(percent * size / 100) - F.col(m) for size, m in ((n, "matches"), (other, "other_matches"))]
+    overlap = F.ceil((percent * (n + other)) / F.lit(100 + percent) - F.lit(1e-9))
+    return F.greatest(F.least("matches", "other_matches").cast("bigint"), overlap - F.greatest(*behind))
+
+
 def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``.
 
@@ -234,17 +248,23 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     texts = kept(packed.join(wanted.select("key", "doc"), "key").select("doc", "packed"), "shingle-texts", release=True)
     index = kept(shared.join(wanted.select("node", "doc", "n"), "node").drop("node"), "shingle-index", release=True)
 
-    # The smallest class of each entry is its hub; each class meets the hub it shares most entries with.
-    hub = index.groupBy("shingle").agg(F.min(F.struct("doc", "n", "matches")).alias("hub"))
-    with_hub = index.join(hub, "shingle").select("doc", "n", "matches", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in ("doc", "n", "matches")))
+    # Each entry has hubs, the smallest class and the smallest by some hashes; each class meets, of each kind, the hub
+    # it shares most entries with. Copies of one text have the same hubs, so a copy that is too far from one hub
+    # meets others before it is compared at large.
+    ranks = [F.col("doc"), *(F.xxhash64("doc", F.lit(i)) for i in range(1, HUBS))]
+    smallest = [F.min(F.struct(rank.alias("rank"), "doc", "n", "matches")).alias(f"hub{i}") for i, rank in enumerate(ranks)]
+    hub = index.groupBy("shingle").agg(*smallest)
+    with_hub = index.join(hub, "shingle").select("doc", "n", F.posexplode(F.array(*(f"hub{i}" for i in range(HUBS)))).alias("kind", "hub"))
     hubs = (
-        with_hub.where((F.col("doc") > F.col("other_doc")) & _sizes_fit(percent))
-        .groupBy("doc", "other_doc")
-        .agg(F.count("*").alias("entries"), F.first(F.least("matches", "other_matches")).alias("needed"))
-        .where(2 * F.col("entries") >= F.col("needed"))
-        .groupBy("doc")
-        .agg(F.max_by("other_doc", "entries").alias("b"))
-        .select(F.col("doc").alias("a"), "b")
+        with_hub.select("doc", "n", "kind", F.col("hub.doc").alias("other_doc"), F.col("hub.n").alias("other_n"))
+        .where((F.col("doc") != F.col("other_doc")) & _sizes_fit(percent))
+        .groupBy("doc", "kind", "other_doc")
+        .agg(F.count("*").alias("entries"))
+        .groupBy("doc", "kind")
+        .agg(F.max_by("other_doc", "entries").alias("b"), F.max("entries").alias("entries"))
+        .where(F.col("entries") > 1)
+        .select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b"))
+        .distinct()
     )
     links = kept(similar(hubs, texts, k, percent), "shingle-links", release=True)
     groups = connected_components(links)
@@ -260,7 +280,7 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         open_entries.join(other, "shingle")
         .where((F.col("group") < F.col("other_group")) & _sizes_fit(percent))
         .groupBy(F.col("doc").alias("a"), F.col("other_doc").alias("b"))
-        .agg(F.count("*").alias("shared"), F.first(F.least("matches", "other_matches")).alias("needed"))
+        .agg(F.count("*").alias("shared"), F.first(_shared_needed(percent)).alias("needed"))
         .where(F.col("shared") >= F.col("needed"))
         .select("a", "b")
     )
