@@ -1,8 +1,7 @@
 """Copies of test items in training text, edited ones too.
 
-Word n-grams of the items are counted over all documents. The rarer ones of each
-item among those that occur are its seeds; they join passages of documents to
-items, and a Smith-Waterman alignment of passage and item scores the pair. Two
+Word n-grams of the items are counted over all documents. All of each item that
+occur are its seeds, frequent ones too; they join passages of documents to items, and a Smith-Waterman alignment of passage and item scores the pair. Two
 passes over the documents give only what holds n-grams of items; whole texts are
 never shuffled.
 
@@ -21,8 +20,8 @@ from tallygrad.llm.store import kept
 from tallygrad.llm.text import Words, grams, pieces
 
 GRAM = 3
-#: Share of an item's occurring n-grams, from the rarest, that are seeds; seeds a pair needs (fewer for tiny items).
-RARE_SHARE, NEEDED = 0.7, 2
+#: Seeds a pair needs (fewer for tiny items).
+NEEDED = 2
 #: Points for an equal word, another word and a gap, and the share of the points of a full copy that counts as a leak.
 EQUAL, OTHER, GAP, THRESHOLD = 2, -1, -1, 0.4
 _FILTER_BITS = 20
@@ -95,13 +94,11 @@ def gram_frequencies(docs: DataFrame, grams_of_items: DataFrame) -> DataFrame:
     return hits.join(grams_of_items.select("gram").distinct(), "gram", "left_semi")
 
 
-def rare_seeds(grams_of_items: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """(item_id, words, gram, needed): the rarer n-grams of each item among those that occur anywhere."""
+def occurring_seeds(grams_of_items: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(item_id, words, gram, needed): all n-grams of each item that occur anywhere, however often."""
     of_item = Window.partitionBy("item_id", "words")
-    counted = grams_of_items.withColumn("needed", F.least(F.lit(NEEDED), F.count("*").over(of_item)))
-    occurring = counted.join(frequencies, "gram")
-    ranked = occurring.withColumn("place", F.percent_rank().over(of_item.orderBy("documents")))
-    return ranked.where(F.col("place") <= RARE_SHARE).drop("documents", "place")
+    occurring = grams_of_items.join(frequencies.select("gram"), "gram")
+    return occurring.withColumn("needed", F.least(F.lit(NEEDED), F.count("*").over(of_item)))
 
 
 def passages(docs: DataFrame, seeds: DataFrame, around: int, needed: int) -> DataFrame:
@@ -183,7 +180,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     grams_of_items = kept(item_words(items), "item-grams")
     bounds = grams_of_items.agg(F.max(F.octet_length("words")).alias("longest")).first()
     around = int(bounds.longest or 0) // 8
-    seeds = kept(rare_seeds(grams_of_items, gram_frequencies(docs, grams_of_items)), "item-seeds")
+    seeds = kept(occurring_seeds(grams_of_items, gram_frequencies(docs, grams_of_items)), "item-seeds")
     least = seeds.agg(F.min("needed")).first()[0]
     found = passages(docs, seeds, around, least or NEEDED)
     pairs = (

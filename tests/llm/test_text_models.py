@@ -166,6 +166,18 @@ def test_a_leak_in_most_documents_is_found_in_all(spark):
     assert got == {*range(80), 100}
 
 
+def test_an_edited_leak_that_is_repeated_is_found_in_all(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(48)]
+    texts = [" ".join(words)]
+    for _ in range(60):  # every 4th word is another one: the n-grams that are left are the frequent ones
+        texts.append(" ".join(f"x{rng.random()}".replace(".", "") if i % 4 == 3 else w for i, w in enumerate(words)))
+    bench = spark.createDataFrame([(0, texts[0])], "item_id bigint, text string")
+    got = {r.doc_id: r.score for r in decontamination.contaminated(documents(spark, texts), bench).collect()}
+    assert set(got) == set(range(61))
+    assert got[1] == pytest.approx((2 * 36 - 11) / 96)
+
+
 # ---- personal data
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
