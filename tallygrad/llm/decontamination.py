@@ -1,29 +1,36 @@
 """Copies of test items in training text, edited ones too.
 
-Word n-grams of the items are counted over all documents. All of each item that
-occur are its seeds, frequent ones too; they join passages of documents to items, and a Smith-Waterman alignment of passage and item scores the pair. Two
-passes over the documents give only what holds n-grams of items; whole texts are
-never shuffled.
-
-Words are runs of ASCII letters and digits and of other than ASCII characters,
-in lower case. A filter of fixed size keeps most other n-grams from leaving the
-scan; the joins decide, so a benchmark of any size gives the same result.
+A Smith-Waterman alignment of a passage and an item scores the pair. A pair that
+reaches the threshold must share pairs of words that stand side by side or one
+word apart, and how many follows from the threshold: an alignment of ``e`` equal
+words is worth ``EQUAL`` and, for each step from one equal word to the next,
+``EQUAL`` less what the step costs. Only steps that cost 0 or 1 add anything, and
+those are such pairs: side by side in both for 2 points, at most one word apart
+in both for 1 point. So ``points - EQUAL`` bounds from below what the pairs at
+different places of the item are worth, and from above how many words of a
+document the alignment takes. Nothing else decides what is aligned.
+
+One pass over the documents gives only passages that hold enough pairs of items;
+whole texts are never shuffled. Words are runs of ASCII letters and digits and of
+other than ASCII characters, in lower case. A filter of fixed size keeps most
+other pairs from leaving the scan; the joins decide, so a benchmark of any size
+gives the same result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from tallygrad.llm.store import kept
-from tallygrad.llm.text import Words, grams, pieces
+from tallygrad.llm.text import Words, mixed, pieces
 
-GRAM = 3
-#: Seeds a pair needs (fewer for tiny items).
-NEEDED = 2
 #: Points for an equal word, another word and a gap, and the share of the points of a full copy that counts as a leak.
 EQUAL, OTHER, GAP, THRESHOLD = 2, -1, -1, 0.4
+#: Words of the smallest item that edited copies are looked for.
+LEAST_WORDS = 3
 _FILTER_BITS = 20
 
 _split = np.ones(256, dtype=bool)
@@ -35,110 +42,198 @@ def _words(column: pa.Array) -> tuple[Words, np.ndarray]:
     return words, words.hashes()
 
 
+def _pairs(hashes: np.ndarray, owner: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first word, hash) of all pairs of words ``apart`` words from each other that lie within one text."""
+    n = max(0, len(hashes) - apart)
+    at = np.flatnonzero(owner[:n] == owner[apart:][:n])
+    with np.errstate(over="ignore"):
+        return at, mixed(hashes[at] * np.uint64(0xD1342543DE82EF95) + hashes[at + apart])
+
+
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
 
-def item_words(items: DataFrame) -> DataFrame:
-    """(item_id, size, words, gram): one row per distinct n-gram of an item; items without words, or of fewer than
-    ``GRAM`` words, have none and can't be found. A repeated item_id counts as items of their own with one id."""
+def _serial():
+    """Numbers that no other task gives."""
+    number = TaskContext.get().partitionId() << 33
+    while True:
+        yield number
+        number += 1
+
+
+def bounds_of(size: int, threshold: float) -> tuple[int, int]:
+    """(least worth of the pairs, most words of a document) of an alignment with an item of ``size`` words that reaches the threshold."""
+    points = int(np.ceil(threshold * EQUAL * size - 1e-9))
+    return max(1, points - EQUAL), max(size, (EQUAL + 1) * size - points)
+
+
+def item_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(item, item_id, words, needed, span, near, apart): the pairs of each item in order, side by side and one word
+    apart, what they must be worth and how many words a copy takes. Items of fewer than ``LEAST_WORDS`` words have none
+    and can't be found. A repeated item_id counts as items of their own with one id."""
 
     def split(batches):
+        serial = _serial()
         for whole in batches:
             for batch in pieces(whole):
                 words, hashes = _words(batch.column("text"))
-                owner, _, g = grams(words, hashes, GRAM)
-                key = np.unique(np.stack((owner.astype(np.uint64), g)), axis=1) if len(g) else np.zeros((2, 0), np.uint64)
-                rows = key[0].astype(np.int64)
-                raw, first = hashes.tobytes(), words.first.tolist()
-                texts = [raw[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:])]
+                owner, first = words.owner(), words.first
+                (a, near), (b, apart) = _pairs(hashes, owner, 1), _pairs(hashes, owner, 2)
+                rows = [i for i, n in enumerate(words.counts.tolist()) if n >= LEAST_WORDS]
+                within = lambda at, g, i: g[slice(*np.searchsorted(at, first[i : i + 2]))].view(np.int64)
+                bounds = [bounds_of(int(words.counts[i]), threshold) for i in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("item_id").take(pa.array(rows)),
-                        pa.array(texts, pa.binary()).take(pa.array(rows)),
-                        pa.array(key[1].view(np.int64) if key.shape[1] else np.zeros(0, np.int64)),
+                        pa.array([next(serial) for _ in rows], pa.int64()),
+                        batch.column("item_id").take(pa.array(rows, pa.int64())),
+                        pa.array([hashes[first[i] : first[i + 1]].tobytes() for i in rows], pa.binary()),
+                        pa.array([x for x, _ in bounds], pa.int64()),
+                        pa.array([x for _, x in bounds], pa.int64()),
+                        pa.array([within(a, near, i) for i in rows], pa.list_(pa.int64())),
+                        pa.array([within(b, apart, i) for i in rows], pa.list_(pa.int64())),
                     ],
-                    names=["item_id", "words", "gram"],
+                    names=["item", "item_id", "words", "needed", "span", "near", "apart"],
                 )
 
-    return items.select(F.col("item_id").cast("bigint"), "text").mapInArrow(split, "item_id bigint, words binary, gram bigint")
-
+    return items.select(F.col("item_id").cast("bigint"), "text").mapInArrow(
+        split,
+        "item bigint, item_id bigint, words binary, needed bigint, span bigint, near array<bigint>, apart array<bigint>",
+    )
 
-def _filter(grams_of_items: DataFrame) -> np.ndarray:
-    """Which leading bits of an n-gram's hash occur; at most 2**20 numbers reach the driver."""
-    slots = grams_of_items.select(F.shiftrightunsigned("gram", 64 - _FILTER_BITS).alias("slot")).distinct()
-    out = np.zeros(1 << _FILTER_BITS, bool)
-    got = slots.toArrow().column("slot").to_numpy()
-    out[got] = True
-    return np.packbits(out)
 
+def item_seeds(pairs_of_items: DataFrame) -> DataFrame:
+    """(gram, item, needed, span, place, near): one row per pair of an item."""
 
-def gram_frequencies(docs: DataFrame, grams_of_items: DataFrame) -> DataFrame:
-    """(gram, documents): in how many documents each occurring n-gram of an item stands."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(grams_of_items))  # 128 KB
+    def of(column: str, near: bool) -> DataFrame:
+        return pairs_of_items.select("item", "needed", "span", F.lit(near).alias("near"), F.posexplode(column).alias("place", "gram"))
 
-    def counted(batches):
-        held = np.unpackbits(shared.value).astype(bool)
-        for whole in batches:
-            for batch in pieces(whole):
-                words, hashes = _words(batch.column("text"))
-                owner, _, g = grams(words, hashes, GRAM)
-                hit = np.flatnonzero(held[_slot(g)])
-                pair = np.unique(np.stack((g[hit], owner[hit].astype(np.uint64))), axis=1)[0] if len(hit) else g[hit]
-                gram, count = np.unique(pair, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(count.astype(np.int64))], names=["gram", "documents"]
-                )
+    return of("near", True).unionByName(of("apart", False))
 
-    hits = docs.select("text").mapInArrow(counted, "gram bigint, documents bigint").groupBy("gram").agg(F.sum("documents").alias("documents"))
-    return hits.join(grams_of_items.select("gram").distinct(), "gram", "left_semi")
 
-
-def occurring_seeds(grams_of_items: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """(item_id, words, gram, needed): all n-grams of each item that occur anywhere, however often."""
-    of_item = Window.partitionBy("item_id", "words")
-    occurring = grams_of_items.join(frequencies.select("gram"), "gram")
-    return occurring.withColumn("needed", F.least(F.lit(NEEDED), F.count("*").over(of_item)))
-
-
-def passages(docs: DataFrame, seeds: DataFrame, around: int, needed: int) -> DataFrame:
-    """(doc_id, from_word, words, seeds): stretches of documents around seeds that lie within ``around`` words."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(seeds))  # 128 KB
+def _filter(seeds: DataFrame) -> tuple[np.ndarray, ...]:
+    """Leading bits of hashes that occur, with the least need and most words of their items, whether a pair side by side
+    is among them, and which of 64 groups of items have one; at most 2**20 of each reach the driver."""
+    found = (
+        seeds.groupBy(F.shiftrightunsigned("gram", 64 - _FILTER_BITS).alias("slot"))
+        .agg(
+            F.min("needed").alias("needed"),
+            F.max("span").alias("span"),
+            F.max("near").alias("near"),
+            F.expr("bit_or(shiftleft(1L, CAST(pmod(xxhash64(item), 64) AS INT)))").alias("groups"),
+        )
+        .toArrow()
+    )
+    slots, needed, span, near, groups = (found.column(i).to_numpy() for i in range(5))
+    small = np.minimum(needed, 255).astype(np.uint8)
+    return slots.astype(np.int32), small, span.astype(np.int32), near.astype(bool), groups.astype(np.int64)
+
+
+class _Held:
+    """The filter laid out by slot: need 0 where nothing occurs."""
+
+    def __init__(self, slots: np.ndarray, *values: np.ndarray):
+        self.needed, self.span, self.near, self.groups = laid = [np.zeros(1 << _FILTER_BITS, v.dtype) for v in values]
+        for out, value in zip(laid, values):
+            out[slots] = value
+
+    def hits(self, hashes: np.ndarray, owner: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first word, hash) of the pairs that may be some item's."""
+        at, g = _pairs(hashes, owner, apart)
+        hit = np.flatnonzero(self.needed[_slot(g)])
+        return at[hit], g[hit]
+
+
+def _dense(words: Words, hashes: np.ndarray, held: _Held):
+    """The pairs of a batch around which enough pairs of one group of items stand: (word, hash) side by side, (word,
+    hash) one word apart, and (word, first and end of the words around) of both."""
+    owner = words.owner()
+    (a, near), (b, apart) = held.hits(hashes, owner, 1), held.hits(hashes, owner, 2)
+    beside = np.repeat((True, False), (len(a), len(b)))
+    place, gram = np.concatenate((a, b)), np.concatenate((near, apart))
+    worth = 1 + (held.near[_slot(gram)] & beside)
+    order = np.lexsort((-worth, place))
+    beside, place, gram, worth = beside[order], place[order], gram[order], worth[order]
+    slot = _slot(gram)
+    row = owner[place]
+    spans, needs = held.span[slot].astype(np.int64), held.needed[slot]
+    low, high = np.maximum(words.first[row], place - spans), np.minimum(words.first[row + 1], place + spans + 3)
+    bits = np.unpackbits(held.groups[slot].view(np.uint8).reshape(-1, 8), axis=1)
+    group, pair = np.nonzero(np.ascontiguousarray(bits.T))  # in order of groups, then words
+    for _ in range(4):  # pairs that can't be part of a copy count for no other
+        at, base = place[pair], group * (len(words) + 1)  # each group counts on its own
+        key = base + at
+        # A word starts at most one step of an alignment: the better of its pairs counts, the first.
+        counts = np.where(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])), worth[pair], 0)
+        total = np.concatenate(([0], np.cumsum(counts)))
+        around = total[np.searchsorted(key, base + high[pair])] - total[np.searchsorted(key, base + low[pair])]
+        left = around >= needs[pair]
+        if left.all():
+            break
+        group, pair = group[left], pair[left]
+    pair = np.unique(pair)
+    beside, place, gram = beside[pair], place[pair], gram[pair]
+    return (place[beside], gram[beside]), (place[~beside], gram[~beside]), (place, low[pair], high[pair])
+
+
+def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(key, doc_id, from_word, passage, near, apart): stretches of documents that hold enough pairs of items to be
+    a copy, with all words the alignment may take, and the distinct pairs."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(seeds))
 
     def found(batches):
-        held = np.unpackbits(shared.value).astype(bool)
+        held, serial = _Held(*shared.value), _serial()
         for whole in batches:
             for batch in pieces(whole):
                 words, hashes = _words(batch.column("text"))
-                owner, at, g = grams(words, hashes, GRAM)
-                hit = np.flatnonzero(held[_slot(g)])
-                rows, starts, texts, lists = [], [], [], []
-                if len(hit):
-                    o, a = owner[hit], at[hit]
-                    cut = np.flatnonzero((o[1:] != o[:-1]) | (a[1:] - a[:-1] > around)) + 1
-                    for group in np.split(np.arange(len(hit)), cut):
-                        seen = np.unique(g[hit[group]])
-                        if len(seen) < needed:
-                            continue
-                        row = int(o[group[0]])
-                        low = max(0, int(a[group[0]]) - around)
-                        high = min(int(words.counts[row]), int(a[group[-1]]) + GRAM + around)
-                        rows.append(row)
-                        starts.append(low)
-                        texts.append(hashes[words.first[row] + low : words.first[row] + high].tobytes())
-                        lists.append(seen.view(np.int64))
+                (a, near), (b, apart), (at, low, high) = _dense(words, hashes, held)
+                keys, rows, starts, texts, lists = [], [], [], [], ([], [])
+                if len(at):
+                    # Stretches that overlap are one passage; texts never overlap.
+                    ends, begins = np.maximum.accumulate(high), np.minimum.accumulate(low[::-1])[::-1]
+                    cut = np.flatnonzero(begins[1:] >= ends[:-1]) + 1
+                    owner = np.searchsorted(words.first, at, side="right") - 1
+                    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(at)]):
+                        keys.append(next(serial))
+                        rows.append(int(owner[i]))
+                        starts.append(int(begins[i] - words.first[owner[i]]))
+                        texts.append(hashes[begins[i] : ends[j - 1]].tobytes())
+                        for some, (place, g) in zip(lists, ((a, near), (b, apart))):
+                            inside = slice(*np.searchsorted(place, [at[i], at[j - 1] + 1]))
+                            some.append(np.unique(g[inside]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(keys, pa.int64()),
                         batch.column("doc_id").take(pa.array(rows, pa.int64())),
                         pa.array(starts, pa.int64()),
                         pa.array(texts, pa.binary()),
-                        pa.array(lists, pa.list_(pa.int64())),
+                        *(pa.array(some, pa.list_(pa.int64())) for some in lists),
                     ],
-                    names=["doc_id", "from_word", "passage", "grams"],
+                    names=["key", "doc_id", "from_word", "passage", "near", "apart"],
                 )
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        found, "doc_id bigint, from_word bigint, passage binary, grams array<bigint>"
+        found, "key bigint, doc_id bigint, from_word bigint, passage binary, near array<bigint>, apart array<bigint>"
+    )
+
+
+def candidates(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(key, item): passages and items whose common pairs are worth what an alignment needs."""
+
+    def of(column: str, near: bool) -> DataFrame:
+        return found.select("key", F.explode(column).alias("gram"), F.lit(near).alias("beside"))
+
+    worth = F.max(F.when(F.col("near") & F.col("beside"), 2).otherwise(1))
+    return (
+        of("near", True)
+        .unionByName(of("apart", False))
+        .join(seeds, "gram")
+        .groupBy("key", "item", "needed", "place")
+        .agg(worth.alias("worth"))
+        .groupBy("key", "item", "needed")
+        .agg(F.sum("worth").alias("worth"))
+        .where(F.col("worth") >= F.col("needed"))
+        .select("key", "item")
     )
 
 
@@ -177,19 +272,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     pairs that reach the threshold are returned. Null and empty texts match
     nothing; rows with one doc_id count together; other columns are ignored.
     """
-    grams_of_items = kept(item_words(items), "item-grams")
-    bounds = grams_of_items.agg(F.max(F.octet_length("words")).alias("longest")).first()
-    around = int(bounds.longest or 0) // 8
-    seeds = kept(occurring_seeds(grams_of_items, gram_frequencies(docs, grams_of_items)), "item-seeds")
-    least = seeds.agg(F.min("needed")).first()[0]
-    found = passages(docs, seeds, around, least or NEEDED)
+    pairs_of_items = kept(item_pairs(items, threshold), "item-pairs")
+    seeds = kept(item_seeds(pairs_of_items), "item-seeds")
+    found = kept(passages(docs, seeds), "passages")
     pairs = (
-        found.withColumn("gram", F.explode("grams"))
-        .drop("grams")
-        .join(seeds, "gram")
-        .groupBy("doc_id", "from_word", "item_id", "words", "passage")
-        .agg(F.count("*").alias("shared"), F.first("needed").alias("needed"))
-        .where(F.col("shared") >= F.col("needed"))
+        candidates(found, seeds)
+        .join(pairs_of_items.select("item", "item_id", "words"), "item")
+        .join(found.select("key", "doc_id", "from_word", "passage"), "key")
         .select("doc_id", "from_word", "item_id", "words", "passage")
     )
 

@@ -178,6 +178,26 @@ def test_an_edited_leak_that_is_repeated_is_found_in_all(spark):
     assert got[1] == pytest.approx((2 * 36 - 11) / 96)
 
 
+def test_copies_edited_down_to_the_threshold_are_found(spark):
+    rng = random.Random(9)
+    new = lambda: f"x{rng.randrange(10**9)}"
+    items = [[f"i{n}w{i if n % 3 else i % 7}" for i in range(rng.randint(4, 59))] for n in range(12)]
+    texts = [" ".join(new() if i % 3 == 2 else w for i, w in enumerate(items[1]))]  # no three words in a row are left
+    texts.append(" ".join(x for w in items[2] for x in (w, new())))  # nor two
+    texts.append(" ".join(w for i, w in enumerate(items[4]) if i % 3))
+    while len(texts) < 150:
+        words, share = [], rng.random() * 0.6
+        for w in rng.choice(items):
+            edit = rng.choice(("other", "more", "none")) if rng.random() < share else ""
+            words += [w] * (edit in ("", "more")) + [new()] * (edit in ("other", "more"))
+        texts.append(" ".join([new() for _ in range(rng.randrange(80))] + words + [new() for _ in range(rng.randrange(80))]))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(documents(spark, texts), bench).collect()}
+    scores = {(d, n): alignment_by_hand(t.split(), w) / (decontamination.EQUAL * len(w)) for d, t in enumerate(texts) for n, w in enumerate(items)}
+    assert got == pytest.approx({k: v for k, v in scores.items() if v >= decontamination.THRESHOLD})
+    assert {(0, 1), (1, 2), (2, 4)} <= set(got) and 50 < len(got) < 150
+
+
 # ---- personal data
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
