@@ -15,6 +15,9 @@ whole texts are never shuffled. Words are runs of ASCII letters and digits and o
 other than ASCII characters, in lower case. A filter of fixed size keeps most
 other pairs from leaving the scan; the joins decide, so a benchmark of any size
 gives the same result.
+
+Items of one or two words are found where they stand whole: one equal word of
+two would reach the threshold in most documents.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from tallygrad.llm.text import Words, mixed, pieces
 
 #: Points for an equal word, another word and a gap, and the share of the points of a full copy that counts as a leak.
 EQUAL, OTHER, GAP, THRESHOLD = 2, -1, -1, 0.4
-#: Words of the smallest item that edited copies are looked for.
+#: Words of the smallest item that edited copies are looked for; shorter ones count where they stand whole.
 LEAST_WORDS = 3
 _FILTER_BITS = 20
 
@@ -64,14 +67,16 @@ def _serial():
 
 def bounds_of(size: int, threshold: float) -> tuple[int, int]:
     """(least worth of the pairs, most words of a document) of an alignment with an item of ``size`` words that reaches the threshold."""
+    if size < LEAST_WORDS:
+        return size, size  # its word, or its two words side by side
     points = int(np.ceil(threshold * EQUAL * size - 1e-9))
     return max(1, points - EQUAL), max(size, (EQUAL + 1) * size - points)
 
 
 def item_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(item, item_id, words, needed, span, near, apart): the pairs of each item in order, side by side and one word
-    apart, what they must be worth and how many words a copy takes. Items of fewer than ``LEAST_WORDS`` words have none
-    and can't be found. A repeated item_id counts as items of their own with one id."""
+    apart, what they must be worth and how many words a copy takes. An item of one word has that in place of a pair; items
+    without words are left out. A repeated item_id counts as items of their own with one id."""
 
     def split(batches):
         serial = _serial()
@@ -80,8 +85,9 @@ def item_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 words, hashes = _words(batch.column("text"))
                 owner, first = words.owner(), words.first
                 (a, near), (b, apart) = _pairs(hashes, owner, 1), _pairs(hashes, owner, 2)
-                rows = [i for i, n in enumerate(words.counts.tolist()) if n >= LEAST_WORDS]
+                rows = [i for i, n in enumerate(words.counts.tolist()) if n]
                 within = lambda at, g, i: g[slice(*np.searchsorted(at, first[i : i + 2]))].view(np.int64)
+                one = lambda i: mixed(hashes[first[i] : first[i] + 1]).view(np.int64)
                 bounds = [bounds_of(int(words.counts[i]), threshold) for i in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -90,7 +96,7 @@ def item_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                         pa.array([hashes[first[i] : first[i + 1]].tobytes() for i in rows], pa.binary()),
                         pa.array([x for x, _ in bounds], pa.int64()),
                         pa.array([x for _, x in bounds], pa.int64()),
-                        pa.array([within(a, near, i) for i in rows], pa.list_(pa.int64())),
+                        pa.array([within(a, near, i) if words.counts[i] > 1 else one(i) for i in rows], pa.list_(pa.int64())),
                         pa.array([within(b, apart, i) for i in rows], pa.list_(pa.int64())),
                     ],
                     names=["item", "item_id", "words", "needed", "span", "near", "apart"],
@@ -138,17 +144,19 @@ class _Held:
             out[slots] = value
 
     def hits(self, hashes: np.ndarray, owner: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first word, hash) of the pairs that may be some item's."""
-        at, g = _pairs(hashes, owner, apart)
+        """(index of the first word, hash) of the pairs that may be some item's; of single words if 0 apart."""
+        at, g = _pairs(hashes, owner, apart) if apart else (np.arange(len(hashes)), mixed(hashes))
         hit = np.flatnonzero(self.needed[_slot(g)])
         return at[hit], g[hit]
 
 
-def _dense(words: Words, hashes: np.ndarray, held: _Held):
+def _dense(words: Words, hashes: np.ndarray, held: _Held, single: bool):
     """The pairs of a batch around which enough pairs of one group of items stand: (word, hash) side by side, (word,
-    hash) one word apart, and (word, first and end of the words around) of both."""
+    hash) one word apart, and (word, first and end of the words around) of both. ``single`` words go with the latter."""
     owner = words.owner()
     (a, near), (b, apart) = held.hits(hashes, owner, 1), held.hits(hashes, owner, 2)
+    if single:
+        b, apart = map(np.concatenate, zip((b, apart), held.hits(hashes, owner, 0)))
     beside = np.repeat((True, False), (len(a), len(b)))
     place, gram = np.concatenate((a, b)), np.concatenate((near, apart))
     worth = 1 + (held.near[_slot(gram)] & beside)
@@ -180,13 +188,14 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(key, doc_id, from_word, passage, near, apart): stretches of documents that hold enough pairs of items to be
     a copy, with all words the alignment may take, and the distinct pairs."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter(seeds))
+    single = not seeds.where(F.col("span") == 1).isEmpty()
 
     def found(batches):
         held, serial = _Held(*shared.value), _serial()
         for whole in batches:
             for batch in pieces(whole):
                 words, hashes = _words(batch.column("text"))
-                (a, near), (b, apart), (at, low, high) = _dense(words, hashes, held)
+                (a, near), (b, apart), (at, low, high) = _dense(words, hashes, held, single)
                 keys, rows, starts, texts, lists = [], [], [], [], ([], [])
                 if len(at):
                     # Stretches that overlap are one passage; texts never overlap.

@@ -198,6 +198,18 @@ def test_copies_edited_down_to_the_threshold_are_found(spark):
     assert {(0, 1), (1, 2), (2, 4)} <= set(got) and 50 < len(got) < 150
 
 
+def test_tiny_items_are_found_where_they_stand_whole(spark):
+    rng = random.Random(10)
+    items = ["Qa", "qb qc", "qd qe qf", "qg qh qi qj", "qk qk", " - "]
+    whole = [f"{prose(rng, 8)} {item}, {prose(rng, 8)}" for item in items[:5]]
+    # The n-grams of the four words differ in how many documents hold them.
+    texts = whole + ["qg qh qi", "qb", "qc qb", "qb x qc", "qk x qk", "qd", prose(rng, 50), None] + ["qh qi qj"] * 9
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(documents(spark, texts), bench).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 5} == {(n, n): 1 for n in range(5)}
+    assert set(got) == {(n, n) for n in range(5)} | {(5, 3)} | {(n, 3) for n in range(13, 22)}
+
+
 # ---- personal data
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
