@@ -5,11 +5,13 @@ ASCII letters, digits and other than ASCII characters. Templates are few and
 short, so their bigrams travel with the code; documents are passed over once.
 
 A line is licence-like when at least ``COVERED`` of its words belong to a
-bigram of some template. Regions are each licence-like line, and each run of
-licence-like lines (lines without words do not break a run). A region matches a
-template when the Dice coefficient of their sets of bigrams reaches the
-threshold; the bounds that this puts on the sizes of the sets leave out
-templates before any bigram is compared.
+bigram of some template. Regions go from any licence-like line to any later one
+(or to itself), over whatever lines lie between, with at most as many words as
+the size bounds allow for the longest template; a single line may be longer. A
+region matches a template when the Dice coefficient of their sets of bigrams
+reaches the threshold. Of matching regions that overlap, the one with most
+bigrams inside its template less those outside comes first, of equals the one with
+most lines; the lines it does not hold go on to the others.
 """
 
 from __future__ import annotations
@@ -93,6 +95,11 @@ class Index:
         self.names, self.sets = [names[t] for t in order], [sets[t] for t in order]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.all = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]))
+        #: Templates of each bigram, by name, so that the first of equals is the first name.
+        self.by_name = np.argsort(np.array(self.names, dtype=object), kind="stable") if self.names else np.zeros(0, np.int64)
+        self.member = np.stack([np.isin(self.all, self.sets[t]) for t in self.by_name], axis=1).astype(np.int32) if self.names else None
+        #: Words of the longest region of several lines.
+        self.longest = int(words.counts.max(initial=0) * (2 - threshold) / threshold + 1e-9) + 1
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.all >> np.uint64(48)).astype(np.int64)] = True
 
@@ -103,6 +110,21 @@ class Index:
         out[at] = np.isin(g[at], self.all)
         return out
 
+    def prefixes(self, grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the first ``sizes`` bigrams each: the largest Dice of their set, and the bigrams inside its template less those outside."""
+        _, first = np.unique(grams, return_index=True)
+        fresh = np.zeros(len(grams), np.int64)
+        fresh[first] = 1
+        n = np.cumsum(fresh)[sizes - 1]
+        at = np.sort(first)
+        at = at[self.holds(grams[at])]
+        inside = np.concatenate((np.zeros((1, len(self.names)), np.int64), np.cumsum(self.member[np.searchsorted(self.all, grams[at])], axis=0)))
+        common = inside[np.searchsorted(at, sizes)]
+        dice = 2 * common / (n[:, None] + self.sizes[self.by_name])
+        top = dice.argmax(axis=1)
+        each = np.arange(len(sizes))
+        return dice[each, top], 2 * common[each, top] - n
+
     def best(self, grams: np.ndarray) -> tuple[float, str] | None:
         """(Dice, name) of the best template for a set of bigrams; the first name of equals."""
         n, t, found = len(grams), self.threshold, None
@@ -140,20 +162,24 @@ def _regions(batch: pa.RecordBatch, index: Index):
     at = np.flatnonzero(like)
     if not len(at):
         return
-    runs = np.split(at, np.flatnonzero((np.diff(at) > 1) | (rows[at[1:]] != rows[at[:-1]])) + 1)
-    for run in runs:
-        row = rows[run[0]]
-        regions = [(run[0], run[-1])] if len(run) > 1 else []
-        regions += [(i, i) for i in run]
-        for a, b in regions:
-            low, high = start[a], ends[b]
-            if high - low < 2:
-                continue
-            match = index.best(np.unique(g[low : high - 1]))
-            if match:
-                yield int(row), int(numbers[a] - first_line[row]), int(numbers[b] - first_line[row]), *match
-                if b > a:
-                    break  # a matching run stands for its lines
+    found = []
+    for k, i in enumerate(at.tolist()):
+        low = start[i]
+        # Later licence-like lines of the text that a region from here may end with.
+        last = max(k + 1, int(np.searchsorted(ends[at], low + index.longest, side="right")))
+        to = at[k:last]
+        to = to[(rows[to] == rows[i]) & (ends[to] - low > 1)]
+        if not len(to):
+            continue
+        dice, score = index.prefixes(g[low : ends[to[-1]] - 1], ends[to] - 1 - low)
+        found += [(-int(score[m]), -float(dice[m]), i - int(to[m]), i, int(to[m])) for m in np.flatnonzero(dice >= index.threshold)]
+    taken = np.zeros(len(start), bool)
+    for _, _, _, a, b in sorted(found):
+        if not taken[a : b + 1].any():
+            taken[a : b + 1] = True
+            row = rows[a]
+            match = index.best(np.unique(g[start[a] : ends[b] - 1]))
+            yield int(row), int(numbers[a] - first_line[row]), int(numbers[b] - first_line[row]), *match
 
 
 def find_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -84,6 +84,32 @@ def test_licences(spark):
     assert licences.find_licences(docs, {}).count() == 0
 
 
+def test_licences_with_changed_lines_and_several_in_one_document(spark):
+    def wrapped(text, n=11):
+        words = text.split()
+        return [" ".join(words[i : i + n]) for i in range(0, len(words), n)]
+
+    mit, gpl, apache = (wrapped(licences.TEMPLATES[n]) for n in ("MIT", "GPL-3.0-notice", "Apache-2.0-notice"))
+    changed = mit[:7] + [" ".join(f"q{i}" for i in range(11))] + mit[8:]
+    cc = ["Licensed under CC BY 4.0."]
+    several = [mit + gpl, apache + ["", ""] + gpl, mit + apache, mit + cc, cc + cc, gpl + ["some other words here"] + mit + cc]
+    texts = ["\n".join(x) for x in (changed, mit[:7] + ["an inserted line of words"] + mit[7:], *several)]
+    got = {}
+    for r in sorted(licences.find_licences(documents(spark, texts)).collect()):
+        got.setdefault(r.doc_id, []).append((r.from_line, r.to_line, r.licence))
+    m, n, a = len(mit), len(gpl), len(apache)
+    assert got == {
+        0: [(0, m - 1, "MIT")],
+        1: [(0, m, "MIT")],
+        2: [(0, m - 1, "MIT"), (m, m + n - 1, "GPL-3.0-notice")],
+        3: [(0, a - 1, "Apache-2.0-notice"), (a + 2, a + n + 1, "GPL-3.0-notice")],
+        4: [(0, m - 1, "MIT"), (m, m + a - 1, "Apache-2.0-notice")],
+        5: [(0, m - 1, "MIT"), (m, m, "CC-BY-4.0-short")],
+        6: [(0, 0, "CC-BY-4.0-short"), (1, 1, "CC-BY-4.0-short")],
+        7: [(0, n - 1, "GPL-3.0-notice"), (n + 1, n + m, "MIT"), (n + m + 1, n + m + 1, "CC-BY-4.0-short")],
+    }
+
+
 def test_size_bounds_leave_out_no_match():
     rng = random.Random(2)
     index = licences.Index(licences.TEMPLATES, 0.5)
