@@ -15,6 +15,7 @@ same spans written in ways the patterns miss.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 LONGEST, AROUND, SURE = 5, 2, 0.8
 #: Documents with triggers that may be learned from, and characters taken around each trigger.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
+#: Windows that are learned from, drawn from all of those documents in an order of this seed; characters of the longest segment.
+SAMPLE_WINDOWS, SEED, LONGEST_CHARS = 3_000, 7, 200
 EPOCHS, RATE = 60, 0.5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -192,7 +195,7 @@ def _windows(text: str, taken: list[tuple[int, int]]) -> list[_Window]:
                 for size in range(1, min(LONGEST, len(run) - i) + 1):
                     if any(hot[i : i + size]):
                         a, b = bounds[i][0], bounds[i + size - 1][1]
-                        if b - a <= 200:
+                        if b - a <= LONGEST_CHARS:
                             first, last = text[slice(*bounds[i])], text[slice(*bounds[i + size - 1])]
                             on[i, size] = _features(text[a:b], size, first, last)
             out.append(_Window(bounds, on))
@@ -297,7 +300,9 @@ def train(texts: list[str]) -> FieldModel:
     """Fit segment weights by gradient ascent on the likelihood of the gold segmentations; none without texts."""
     weights = np.zeros((_FEATURES, len(KINDS)))
     weights[0] = -2.0
-    examples = _examples(sorted(texts))[:3000]
+    examples = _examples(sorted(texts))
+    random.Random(SEED).shuffle(examples)
+    examples = examples[:SAMPLE_WINDOWS]
     if not any(labels for _, labels in examples):
         return FieldModel(np.full_like(weights, -9.0))
     # All candidates of all windows as one table, so that an epoch is a few array operations.

@@ -267,6 +267,14 @@ def test_base_spans_of_long_runs_take_linear_time():
     assert personal.base_spans("9" * 5000 + ".1.1.1") == []
 
 
+def test_training_learns_from_texts_late_in_the_alphabet():
+    # Numbers of the first texts fill the bound by themselves; only the last ones hold entities.
+    early = [f"a{n:03d} " + " ".join(f"one two three four five six {i}" for i in range(40)) for n in range(100)]
+    late = [f"\u4e2d write to some{n}@mail.example.org now" for n in range(100)]
+    learned = personal.train(early + late).weights
+    assert not (learned == personal.train(early).weights).all()
+
+
 def private_text(rng):
     """A text with the kinds of personal data in it."""
     body = prose(rng, rng.randint(5, 30))
