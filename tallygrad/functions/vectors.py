@@ -40,6 +40,14 @@ def to_long(df: DataFrame, keys: Sequence[str], x: str, pos: str = "pos", value:
     return df.select(*keys, F.posexplode(x).alias(pos, value))
 
 
+#: Positions that are aggregated side by side.
+SLOTS = 64
+
+
+def _slots(pos: Column, value: str, width: int) -> list[Column]:
+    return [F.max(F.when(pos == i, F.col(value))) for i in range(width)]
+
+
 def to_wide(
     df: DataFrame, keys: Sequence[str], width: int, x: str = "features", pos: str = "pos", value: str = "value"
 ) -> DataFrame:
@@ -47,6 +55,19 @@ def to_wide(
 
     One ``max`` per position instead of ``collect_list``: the state per key has
     a fixed size and is combined before the shuffle, however often a key occurs.
+    Wider vectors are put together in two steps, slices of SLOTS positions and
+    then the slices, so the plan does not grow with the width. Positions outside
+    the width are left out, missing ones are NULL.
     """
-    slots = [F.max(F.when(F.col(pos) == i, F.col(value))) for i in range(width)]
-    return df.groupBy(*keys).agg(F.array(*slots).alias(x))
+    if width <= SLOTS:
+        return df.groupBy(*keys).agg(F.array(*_slots(F.col(pos), value, width)).alias(x))
+    number = F.floor(F.col(pos) / SLOTS).cast("int")
+    parts = df.withColumn("_slice", number).groupBy(*keys, "_slice")
+    parts = parts.agg(F.array(*_slots(F.pmod(F.col(pos), F.lit(SLOTS)), value, SLOTS)).alias("_part"))
+    last = -(-width // SLOTS) - 1
+    # A key has one row per slice by now; slices without any value stay missing.
+    here = F.when(F.col("_slice").between(0, last), F.struct("_slice", "_part"))
+    by_number = parts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(here)).alias("_parts"))
+    nothing = F.array_repeat(F.lit(None), SLOTS)
+    joined = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.coalesce(F.try_element_at("_parts", i), nothing))
+    return by_number.select(*keys, F.slice(F.flatten(joined), 1, width).alias(x))

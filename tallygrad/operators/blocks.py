@@ -15,7 +15,7 @@ from pyspark.sql.types import BinaryType
 
 from . import kernel
 
-BLOCK_SCHEMA = "rows int, label binary, features binary, is_valid binary"
+BLOCK_SCHEMA = "rows int, label binary, features binary, is_valid binary, row_key binary"
 BLOCK_BYTES = 512 * 1024
 
 
@@ -29,8 +29,11 @@ def is_blocked(df: DataFrame) -> bool:
 
 
 def to_blocks(df: DataFrame, width: int) -> DataFrame:
-    """Blocks of (label, features) rows with vectors of a known width, and ``is_valid`` where it exists."""
-    has_valid = "is_valid" in df.columns
+    """Blocks of (label, features) rows with vectors of a known width, and ``is_valid`` and ``row_key`` where they exist.
+
+    The key (a 64-bit integer) is what draws inside the blocks depend on.
+    """
+    has_valid, has_key = "is_valid" in df.columns, "row_key" in df.columns
     step = block_rows(width)
 
     def batches(parts):
@@ -40,19 +43,21 @@ def to_blocks(df: DataFrame, width: int) -> DataFrame:
                 y = kernel.numbers(batch.column("label"), "label")
                 x = kernel.matrix(batch.column("features"), width, "features")
                 held = kernel.numbers(batch.column("is_valid"), "is_valid") if has_valid else np.zeros(len(y))
-                pieces = [y.astype("<f8"), x.astype("<f8"), held.astype("u1")]
+                keys = kernel.numbers(batch.column("row_key"), "row_key") if has_key else np.zeros(0)
+                pieces = [y.astype("<f8"), x.astype("<f8"), held.astype("u1"), keys.astype("<i8")]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([len(y)], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in pieces)],
-                    names=["rows", "label", "features", "is_valid"],
+                    names=["rows", "label", "features", "is_valid", "row_key"],
                 )
 
-    wanted = ["label", "features", *(["is_valid"] if has_valid else [])]
+    wanted = ["label", "features", *(["is_valid"] if has_valid else []), *(["row_key"] if has_key else [])]
     return df.select(*wanted).mapInArrow(batches, BLOCK_SCHEMA)
 
 
 def unpacked(batch: pa.RecordBatch, width: int):
-    """(labels, features, is_valid) of every block, without copying."""
-    columns = (batch.column(c) for c in ("label", "features", "is_valid"))
-    for y, x, held in zip(*columns):
+    """(labels, features, is_valid, row keys) of every block, without copying; no keys where the rows had none."""
+    columns = (batch.column(c) for c in ("label", "features", "is_valid", "row_key"))
+    for y, x, held, keys in zip(*columns):
         features = np.frombuffer(x.as_buffer(), "<f8").reshape(-1, width)
-        yield np.frombuffer(y.as_buffer(), "<f8"), features, np.frombuffer(held.as_buffer(), "u1").astype(bool)
+        is_valid = np.frombuffer(held.as_buffer(), "u1").astype(bool)
+        yield np.frombuffer(y.as_buffer(), "<f8"), features, is_valid, np.frombuffer(keys.as_buffer(), "<i8")

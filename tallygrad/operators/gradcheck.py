@@ -21,18 +21,37 @@ SLICE_VALUES = 2_000_000
 
 
 def _differences(
-    x: np.ndarray, y: np.ndarray, weights: Weights, config: NetworkConfig, step: float, keep: np.ndarray | None = None
+    x: np.ndarray, y: np.ndarray, weights: Weights, config: NetworkConfig, step: float, keep: kernel.Masks | None = None
 ) -> np.ndarray:
-    """(rows, parameters) central differences of half the squared error."""
-    flat = flatten(weights)
-    out = np.empty((len(y), len(flat)))
-    for p in range(len(flat)):
-        halves = []
-        for sign in (1.0, -1.0):
-            moved = flat.copy()
-            moved[p] += sign * step
-            halves.append(0.5 * (kernel.forward(x, unflatten(moved, config), config, keep)[-1][:, 0] - y) ** 2)
-        out[:, p] = (halves[0] - halves[1]) / (2.0 * step)
+    """(rows, parameters) central differences of half the squared error.
+
+    Moving weight (r, c) of a layer moves the input of unit r by the step times
+    output c of the layer before, and nothing else of that layer. So one forward
+    pass is kept, and for all weights of a unit at once the change is carried
+    through the layers behind: the next one as a product of the unit's change
+    with its weights there, only those after that as whole layers.
+    """
+    acts = kernel.forward(x, weights, config, keep)
+    inputs = [kernel.layer_input(a, w) for a, w in zip(acts, weights)]
+    out = np.empty((len(y), config.parameters))
+    at = 0
+    for layer, w in enumerate(weights):
+        reach = step * np.hstack([np.ones((len(y), 1)), acts[layer]])
+        for r in range(len(w)):
+            halves = []
+            for moved in (inputs[layer][:, r : r + 1] + reach, inputs[layer][:, r : r + 1] - reach):
+                a = kernel.layer_output(moved, layer, config, keep, r)
+                if layer + 1 < len(weights):
+                    change = a - acts[layer + 1][:, r : r + 1]
+                    behind = weights[layer + 1]
+                    z = inputs[layer + 1][:, None, :] + change[:, :, None] * behind[:, r + 1]
+                    a = kernel.layer_output(z, layer + 1, config, keep)
+                    for later in range(layer + 2, len(weights)):
+                        a = kernel.layer_output(kernel.layer_input(a, weights[later]), later, config, keep)
+                    a = a[:, :, 0]
+                halves.append(0.5 * (a - y[:, None]) ** 2)
+            out[:, at : at + w.shape[1]] = (halves[0] - halves[1]) / (2.0 * step)
+            at += w.shape[1]
     return out
 
 
@@ -47,7 +66,7 @@ def _parts(batch: pa.RecordBatch, config: NetworkConfig):
     source = "noisy" if "noisy" in names else "features"
     x = kernel.matrix(batch.column(source), config.size[0], source)
     keep = kernel.matrix(batch.column("keep"), config.hidden_units, "keep") if "keep" in names else None
-    return x, kernel.numbers(batch.column("label"), "label"), keep
+    return x, kernel.numbers(batch.column("label"), "label"), None if keep is None else kernel.layer_masks(keep, config)
 
 
 def _slices(batch: pa.RecordBatch, config: NetworkConfig):
@@ -83,8 +102,8 @@ def gradient_check(
 ) -> DataFrame:
     """Both gradients of every row: (keys, layer, r, c, estimate, actual, ratio).
 
-    Costs two forward passes per weight and row and gives one output row per
-    weight and sample; :func:`gradient_check_summary` adds up inside the tasks.
+    Gives one output row per weight and sample; :func:`gradient_check_summary`
+    adds up inside the tasks.
     """
     weights = check_weights(weights, config)
     samples = df.select(*keys, "label", "features", *_given(df))

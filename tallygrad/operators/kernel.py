@@ -54,27 +54,43 @@ def _slope(a: np.ndarray, name: str) -> np.ndarray:
     return np.ones_like(a)
 
 
-def forward(
-    x: np.ndarray, weights: Weights, config: NetworkConfig, keep: np.ndarray | None = None
-) -> list[np.ndarray]:
+#: For each hidden layer, 0/1 per row and unit.
+Masks = list[np.ndarray]
+
+
+def layer_masks(keep: np.ndarray, config: NetworkConfig) -> Masks:
+    """One mask over all hidden units, cut by layer."""
+    return np.split(keep, np.cumsum(config.size[1:-2]), axis=1)
+
+
+def layer_input(a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What the units of a layer get from the outputs before it; any number of leading dimensions."""
+    return a @ np.ascontiguousarray(w[:, 1:].T) + w[:, 0]
+
+
+def layer_output(
+    z: np.ndarray, step: int, config: NetworkConfig, keep: Masks | None = None, unit: int | None = None
+) -> np.ndarray:
+    """Outputs of layer ``step`` for inputs of shape (rows, ..., units), or (rows, ...) inputs of its one ``unit``."""
+    if step == len(config.size) - 2:
+        return _activate(z, config.output)
+    a = _activate(z, config.hidden)
+    if keep is not None:
+        mask = keep[step] if unit is None else keep[step][:, unit]
+        middle = z.ndim - mask.ndim
+        return a * mask.reshape(mask.shape[:1] + (1,) * middle + mask.shape[1:])
+    return a * (1.0 - config.dropout) if config.dropout > 0 else a
+
+
+def forward(x: np.ndarray, weights: Weights, config: NetworkConfig, keep: Masks | None = None) -> list[np.ndarray]:
     """Outputs of every layer, the input included, without bias columns.
 
     ``keep`` holds 0/1 per hidden unit for training with dropout; without it
     hidden outputs are scaled by the share of units kept.
     """
-    acts, used = [x], 0
+    acts = [x]
     for step, w in enumerate(weights):
-        z = acts[-1] @ np.ascontiguousarray(w[:, 1:].T) + w[:, 0]
-        if step == len(weights) - 1:
-            acts.append(_activate(z, config.output))
-            break
-        a = _activate(z, config.hidden)
-        if keep is not None:
-            a = a * keep[:, used : used + a.shape[1]]
-            used += a.shape[1]
-        elif config.dropout > 0:
-            a = a * (1.0 - config.dropout)
-        acts.append(a)
+        acts.append(layer_output(layer_input(acts[-1], w), step, config, keep))
     return acts
 
 
@@ -83,7 +99,7 @@ def gradient_sums(
     y: np.ndarray,
     weights: Weights,
     config: NetworkConfig,
-    keep: np.ndarray | None = None,
+    keep: Masks | None = None,
     used: np.ndarray | None = None,
 ) -> Weights:
     """Sum over the batch, or its ``used`` rows, of the derivatives of half the squared error."""
@@ -92,7 +108,7 @@ def gradient_sums(
 
 
 def row_gradients(
-    acts: list[np.ndarray], y: np.ndarray, weights: Weights, config: NetworkConfig, keep: np.ndarray | None = None
+    acts: list[np.ndarray], y: np.ndarray, weights: Weights, config: NetworkConfig, keep: Masks | None = None
 ) -> np.ndarray:
     """(rows, parameters) derivatives, in the order of ``network.flatten``."""
     rows = len(y)
@@ -107,14 +123,12 @@ def _deltas(acts, y, weights, config, keep=None, used=None) -> list[np.ndarray]:
     out = acts[-1]
     last = (out - y[:, None]) * _slope(out, config.output)
     deltas = [last if used is None else np.where(used[:, None], last, 0.0)]
-    end = config.hidden_units
     for step in range(len(weights) - 1, 0, -1):
         a = acts[step]
         # Without a mask hidden outputs are scaled, so the slope is that of the output before, times the scale.
         share = 1.0 - config.dropout if keep is None else 1.0
         d = (deltas[0] @ weights[step][:, 1:]) * _slope(a / share if share else a, config.hidden) * share
         if keep is not None:
-            d = d * keep[:, end - a.shape[1] : end]
-            end -= a.shape[1]
+            d = d * keep[step - 1]
         deltas.insert(0, d)
     return deltas

@@ -1,9 +1,8 @@
 """Feature scaling and label min-max with statistics over all rows.
 
 Statistics are one aggregate with map-side partials. Applying them is a
-projection: no row is shuffled and nothing is joined. Vectors take fitted
-numbers as literals, scalar columns can also read them lazily through a scalar
-subquery.
+projection: no row is shuffled and nothing is joined. The fitted numbers are
+read lazily through a scalar subquery; streams take them as literals.
 """
 
 from __future__ import annotations
@@ -84,27 +83,24 @@ def scale(df: DataFrame, stats: DataFrame | Row) -> DataFrame:
     """Scale features to (x - mean) / half variance and the label to [0, 1].
 
     A constant feature or label gives NULL. ``stats`` is the one-row table of
-    :func:`sample_stats`, which is read at once, or that row, as streams need it.
+    :func:`sample_stats`, read lazily as a subquery when the result is, whatever
+    the width; or that row, as streams need it.
     """
-    fitted = (stats.first() if isinstance(stats, DataFrame) else stats)["stats"]
-
-    def number(v) -> Column:
-        return F.lit(v).cast("double")
-
-    params = F.array(
-        *[
-            F.struct(number(m).alias("mean"), number(v or None).alias("spread"))
-            for m, v in zip(fitted["means"], fitted["spreads"])
-        ]
-    )
-    low, high = fitted["label_min"], fitted["label_max"]
-    width = number(high - low or None) if low is not None else number(None)
-    return df.withColumns(
-        {
-            "features": F.zip_with("features", params, lambda x, p: (x - p["mean"]) / p["spread"]),
-            "label": (F.col("label") - number(low)) / width,
-        }
-    )
+    name = "_" + max(["stats", *df.columns], key=len)  # no column of df
+    if isinstance(stats, DataFrame):
+        fitted = stats.select("stats").scalar()
+    else:
+        row = stats["stats"]
+        ends = [F.lit(row[n]).cast("double").alias(n) for n in ("label_min", "label_max")]
+        fitted = F.struct(*[F.lit(list(row[n])).cast("array<double>").alias(n) for n in ("means", "spreads")], *ends)
+    # Functions over arrays take no subquery, but a column that is one.
+    means, spreads, low, high = (F.col(f"`{name}`.{n}") for n in ("means", "spreads", "label_min", "label_max"))
+    centred = F.zip_with("features", means, lambda x, m: x - m)
+    scaled = {
+        "features": F.zip_with(centred, spreads, lambda x, v: F.try_divide(x, v)),
+        "label": F.try_divide(F.col("label") - low, high - low),
+    }
+    return df.withColumn(name, fitted).withColumns(scaled).drop(name)
 
 
 def scale_columns(df: DataFrame, stats: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from tallygrad.functions import activations as act
 from tallygrad.functions.metrics import relative_error
 from tallygrad.functions.surfaces import rastrigin, rosenbrock, sphere, xor
@@ -59,6 +60,22 @@ def test_long_and_wide_round_trip(spark):
     assert sorted(to_wide(long, ["k"], 2).collect()) == sorted(df.collect())
 
 
+def test_wide_vectors_are_put_together_in_slices(spark):
+    width = 10_000
+    rows = spark.range(3).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(width + 5))).alias("pos"))
+    rows = rows.select("k", "pos", (F.col("pos") * 10 + F.col("k")).cast("double").alias("value"))
+    some = rows.where("not (k = 1 and pos between 100 and 7000) and not (k = 2 and pos <> 9999)")
+    wide = to_wide(some.repartition(5), ["k"], width)
+    assert len(plan_of(wide)) < 60_000
+    got = {r.k: r.features for r in wide.collect()}
+    assert got[0] == [10.0 * i for i in range(width)]
+    assert got[1] == [None if 100 <= i <= 7000 else 10.0 * i + 1 for i in range(width)]
+    assert got[2] == [None] * 9999 + [99992.0]
+    outside = spark.createDataFrame([(1, -3, 1.0), (1, None, 2.0)], "k long, pos int, value double")
+    assert to_wide(outside, ["k"], 70).first().features == [None] * 70
+    assert to_wide(outside, ["k"], 3).first().features == [None] * 3
+
+
 def test_relative_error(spark):
     def at(label, prediction):
         return value(spark, relative_error(F.lit(float(label)), F.lit(float(prediction))))

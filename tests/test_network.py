@@ -17,13 +17,24 @@ from tallygrad.network import (
     weights_from_table,
     weights_table,
 )
-from tallygrad.operators import blocks
+from tallygrad.functions.random import lehmer, lehmer_block, uniform, uniform_block
+from tallygrad.operators import blocks, gradcheck, kernel
 from tallygrad.operators.forward import activations, hidden_means, layer_outputs, loss, score
 from tallygrad.operators.gradcheck import gradient_check, gradient_check_summary, row_gradients
-from tallygrad.operators.gradient import gradient_table, partial_sums, run_pass, summed, update, update_table
+from tallygrad.operators.gradient import (
+    Noise,
+    gradient_table,
+    partial_sums,
+    run_pass,
+    sliced_sums,
+    summed,
+    update,
+    update_table,
+)
 from tallygrad.operators.logs import best_iteration, plateau_runs, step_times
-from tallygrad.operators.samples import dropout_mask, mark_validation, mask_features, split_vector
+from tallygrad.operators.samples import dropout_mask, mark_validation, mask_features, numbered_copies, split_vector
 from tallygrad.operators.scaling import sample_stats, scale
+from tallygrad.plans import training
 from tallygrad.plans.training import LOG_SCHEMA, Model, prepare, train, with_noise
 from tallygrad.session import shared_dir
 from tallygrad.streaming.scoring import score_stream
@@ -328,6 +339,50 @@ def test_numeric_gradient_check(data, config):
         assert r.g == pytest.approx(backward(x[5], y[5], w, config)[r.layer][r.r, r.c], abs=1e-12)
 
 
+def whole_passes(x, y, weights, config, step, keep):
+    """Differences by two forward passes of the whole network for each weight."""
+    flat, out = flatten(weights), []
+    for p in range(len(flat)):
+        halves = []
+        for sign in (1.0, -1.0):
+            moved = flat.copy()
+            moved[p] += sign * step
+            halves.append(0.5 * (kernel.forward(x, unflatten(moved, config), config, keep)[-1][:, 0] - y) ** 2)
+        out.append((halves[0] - halves[1]) / (2.0 * step))
+    return np.array(out).T
+
+
+@pytest.mark.parametrize("config", [*SHAPES, NetworkConfig(size=(3, 4, 3, 2, 1), dropout=0.3)])
+@pytest.mark.parametrize("masked", [False, True])
+def test_differences_carry_a_moved_weight_through(data, config, masked):
+    _, x, y, _ = data
+    w = [a * 10 for a in initial_weights(config, 2)]
+    keep = None
+    if masked:
+        drawn = (np.random.default_rng(5).random((len(y), config.hidden_units)) > 0.3).astype(float)
+        keep = kernel.layer_masks(drawn, config)
+    want = whole_passes(x, y, w, config, 1e-4, keep)
+    got = gradcheck._differences(x, y, w, config, 1e-4, keep)
+    # Rounding of the losses alone makes 1e-16 / 2e-4.
+    assert np.abs(got - want).max() < 4e-12
+
+
+def test_gradient_table_moves_finished_slices(data, monkeypatch):
+    df, *_ = data
+    config = SHAPES[-1]
+    w = initial_weights(config, 2)
+    want = {(r.layer, r.r, r.c): (r.g_sum, r.n) for r in gradient_table(df, w, config).collect()}
+    sums = sliced_sums(partial_sums(df.repartition(40), w, config), config.parameters, 2, size=7)
+    rows = sums.collect()
+    assert [r.slice for r in sorted(rows)] == list(range(-(-config.parameters // 7)))
+    flat = np.concatenate([r.sums for r in sorted(rows)])
+    assert np.allclose(flat, [want[p][0] for p in sorted(want)], atol=1e-12)
+    assert {int(r.rows) for r in rows} == {n for _, n in want.values()}
+    # Forty vectors are shuffled as slices, then two of each; no element travels alone.
+    plan = plan_of(gradient_table(df, w, config))
+    assert plan.count("Exchange hashpartitioning(slice") == 2 and "HashAggregate" not in plan
+
+
 def test_update_on_tables(spark, data):
     df, *_ = data
     config = SHAPES[0]
@@ -405,6 +460,24 @@ def test_random_split_is_repeatable(data):
     assert abs(marked.filter("is_valid").count() - 90) < 25
 
 
+def test_copies_are_split_apart(spark):
+    """A row of a hundred thousand copies is divided like any other, whatever the partitions."""
+    rows = spark.range(100_000).select(F.lit(1).alias("a"), F.lit(None).cast("string").alias("_copy"))
+    rows = rows.unionByName(spark.range(50).select((F.col("id") + 10).cast("int").alias("a"), F.lit("x").alias("_copy")))
+    counts = []
+    for parts in (1, 7, 30):
+        marked = mark_validation(rows.repartition(parts), 0.2, seed=3, split_copies=True)
+        assert marked.columns == ["a", "_copy", "is_valid"]
+        counts.append({(r.a, r.is_valid): r["count"] for r in marked.groupBy("a", "is_valid").count().collect()})
+    assert counts[0] == counts[1] == counts[2]
+    assert abs(counts[0][1, True] / 100_000 - 0.2) < 0.01
+    numbers = numbered_copies(rows.repartition(6)).where("a = 1").select("copy")
+    assert numbers.distinct().count() == 100_000 and numbers.agg(F.max("copy")).first()[0] == 99_999
+    assert numbered_copies(rows.where("a = 0")).count() == 0
+    together = mark_validation(rows, 0.2, seed=3).where("a = 1").select("is_valid").distinct().count()
+    assert together == 1
+
+
 def test_without_validation_the_training_loss_decides(data):
     df, *_ = data
     config = NetworkConfig(size=(3, 4, 1), learning_rate=0.5)
@@ -488,6 +561,101 @@ def test_training_with_noise_replays_from_the_masks(data):
     assert np.allclose([r[2:] for r in run_.log], log, atol=1e-12)
 
 
+def test_a_draw_that_is_only_a_column_trains_on_rows(data):
+    df, *_ = data
+    config = NetworkConfig(size=(3, 4, 2, 1), learning_rate=0.5, input_mask=0.2, dropout=0.3)
+    a = train(df, config, 3, key=["k"], draw=lehmer)
+    b = train(df, config, 3, key=["k"], draw=lambda key, epoch, i, seed: lehmer(key, epoch, i, seed))
+    assert np.allclose([r[2:] for r in a.log], [r[2:] for r in b.log], atol=1e-13)
+
+
+@pytest.mark.parametrize("column, block", [(uniform, uniform_block), (lehmer, lehmer_block)])
+@pytest.mark.parametrize("epoch, seed", [(0, 0), (7, 1), (2**31 - 1, -5), (3, 2**40)])
+def test_draws_in_blocks_are_those_of_columns(spark, column, block, epoch, seed):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), 123456789012345, *range(-20, 20)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+
+    def draw(i):
+        if column is uniform:
+            return uniform(F.col("k"), F.lit(epoch), F.lit(i), seed=seed)
+        return lehmer(F.col("k"), F.lit(epoch), F.lit(i), seed)
+
+    want = {r[0]: list(r[1:]) for r in df.select("k", *[draw(i) for i in range(5)]).collect()}
+    got = block(np.array(keys), epoch, np.arange(5), seed)
+    assert all(got[i].tolist() == want[k] for i, k in enumerate(keys))
+
+
+def test_noise_in_blocks_is_that_of_the_columns(data):
+    df, *_ = data
+    config = NetworkConfig(size=(3, 5, 4, 2, 1), input_mask=0.3, dropout=0.4)
+    w = initial_weights(config, 2)
+    keyed = df.withColumn("row_key", F.col("k"))
+    rows = run_pass(with_noise(keyed, config, 6, 9), w, config)
+    packed = run_pass(blocks.to_blocks(keyed, 3), w, config, noise=Noise(6, 9))
+    assert all(np.allclose(u, v, atol=1e-14) for u, v in zip(rows.gradient, packed.gradient))
+    assert rows.train_loss == pytest.approx(packed.train_loss)
+    with pytest.raises(ValueError, match="columns"):
+        run_pass(keyed, w, config, noise=Noise(6, 9))
+    with pytest.raises(Exception, match="no row keys"):
+        run_pass(blocks.to_blocks(df, 3), w, config, noise=Noise(6, 9))
+
+
+def plain(log):
+    return [(r[0], *r[2:]) for r in log]
+
+
+@pytest.mark.parametrize("settings", [{}, {"input_mask": 0.2, "dropout": 0.2}])
+def test_a_run_that_was_cut_goes_on(data, settings, monkeypatch):
+    df, *_ = data
+    config = NetworkConfig(size=(3, 4, 1), learning_rate=0.5, momentum=0.3, rate_decay=0.9, **settings)
+    options = {"key": ["k"], "seed": 3, "plateau_step": 1e-3, "plateau_length": 2, "combine_tasks": 1, "partitions": 1}
+    whole = train(df, config, 8, **options)
+    assert whole.restarts
+
+    real, calls = training.run_pass, []
+
+    def failing(*args):
+        calls.append(1)
+        if len(calls) == 7:
+            raise KeyboardInterrupt
+        return real(*args)
+
+    name = f"cut-{len(settings)}-{os.getpid()}"
+    monkeypatch.setattr(training, "run_pass", failing)
+    with pytest.raises(KeyboardInterrupt):
+        train(df, config, 8, run_id=name, save_every=2, **options)
+    monkeypatch.undo()
+    states = training.LoopStates(df.sparkSession, name, "")
+    assert states.epochs() == [2, 4]
+    again = train(df, config, 8, run_id=name, save_every=2, resume=True, **options)
+    assert plain(again.log) == plain(whole.log) and again.before[2:] == whole.before[2:]
+    assert (again.restarts, again.restarted, again.best_iteration) == (whole.restarts, whole.restarted, whole.best_iteration)
+    assert all(np.array_equal(a, b) for a, b in zip(again.model.weights, whole.model.weights))
+    assert [r[1] for r in again.log] == sorted(r[1] for r in again.log)
+    # A finished run comes back as it is, and more epochs follow its last one.
+    monkeypatch.setattr(training, "run_pass", None)
+    assert plain(train(df, config, 8, run_id=name, resume=True, **options).log) == plain(whole.log)
+    monkeypatch.undo()
+    longer = train(df, config, 9, run_id=name, resume=True, **options)
+    assert plain(longer.log[:8]) == plain(whole.log) and len(longer.log) == 9
+    with pytest.raises(ValueError, match="other settings"):
+        train(df, config, 8, run_id=name, resume=True, **options | {"seed": 4})
+    states.remove()
+    assert states.epochs() == []
+
+
+def test_a_run_without_a_state_begins(data):
+    df, *_ = data
+    name = f"fresh-{os.getpid()}"
+    log = train(df, SHAPES[0], 2, run_id=name, resume=True).log
+    assert np.allclose([r[2:] for r in log], [r[2:] for r in train(df, SHAPES[0], 2).log], atol=1e-13)
+    assert training.LoopStates(df.sparkSession, name, "").epochs() == [1, 2]
+    training.LoopStates(df.sparkSession, name, "").remove()
+    for wrong in ({"resume": True}, {"run_id": "a/b"}, {"run_id": "a", "save_every": 0}):
+        with pytest.raises(ValueError):
+            train(df, SHAPES[0], 2, **wrong)
+
+
 def test_dropout_mask_share(spark):
     keep = spark.range(5000).select(F.explode(dropout_mask(F.col("id"), 4, 0.25, epoch=1)).alias("k"))
     assert abs(keep.agg(F.avg("k")).first()[0] - 0.75) < 0.01
@@ -512,13 +680,17 @@ def test_blocks_hold_all_rows_and_give_the_same_pass(data, monkeypatch):
 def test_prepared_table(data):
     df, *_ = data
     packed = prepare(df, SHAPES[0])
-    noisy = prepare(df, NetworkConfig(size=(3, 4, 1), dropout=0.1), key=["k"])
+    dropped = NetworkConfig(size=(3, 4, 1), dropout=0.1)
+    noisy = prepare(df, dropped, key=["k"])
+    rows = prepare(df, dropped, key=["k"], draw=lambda key, epoch, i, seed: lehmer(key, epoch, i, seed))
     try:
-        assert packed.columns == ["rows", "label", "features", "is_valid"]
-        assert noisy.columns == ["label", "features", "is_valid", "row_key"]
+        assert packed.columns == noisy.columns == ["rows", "label", "features", "is_valid", "row_key"]
+        assert packed.agg(F.max(F.length("row_key"))).first()[0] == 0
+        assert noisy.select(F.sum(F.length("row_key"))).first()[0] == 8 * 300
+        assert rows.columns == ["label", "features", "is_valid", "row_key"]
     finally:
-        packed.unpersist()
-        noisy.unpersist()
+        for table in (packed, noisy, rows):
+            table.unpersist()
 
 
 def test_split_vector(spark):

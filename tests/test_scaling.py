@@ -66,6 +66,26 @@ def test_applying_statistics_neither_shuffles_nor_joins(samples):
     assert "Join" not in plan
 
 
+def test_statistics_are_read_with_the_result(spark, samples):
+    df, _ = samples
+    sizes = []
+    for width in (3, 3000):
+        wide = spark.range(4).select(
+            F.col("id").cast("double").alias("label"),
+            F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (i * F.col("id")).cast("double")).alias("features"),
+        )
+        calls = spark.sparkContext.statusTracker().getJobIdsForGroup()
+        scaled = scale(wide, sample_stats(wide))
+        assert calls == spark.sparkContext.statusTracker().getJobIdsForGroup()
+        sizes.append(len(plan_of(scaled)))
+        first = scaled.orderBy("label").first()
+        assert len(first.features) == width and first.features[-1] == pytest.approx(first.features[0] / width)
+    assert abs(sizes[0] - sizes[1]) < 100
+    lazily, fitted = scale(df, sample_stats(df)), scale(df, sample_stats(df).first())
+    pairs = zip(lazily.orderBy("label").collect(), fitted.orderBy("label").collect())
+    assert all(a.features == b.features and a.label == b.label for a, b in pairs)
+
+
 def test_constants_have_no_spread_however_rows_are_spread(spark):
     for parts in (1, 3, 7):
         df = spark.range(0, 997, 1, parts).select(F.lit(0.1).alias("label"), F.array(F.lit(7.3)).alias("features"))

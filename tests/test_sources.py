@@ -9,7 +9,7 @@ from tallygrad.network import NetworkConfig, initial_weights
 from tallygrad.plans.training import LOG_SCHEMA
 from tallygrad.session import shared_dir, shared_path
 from tallygrad.sources.meters import read_meter_csv
-from tallygrad.sources.results import append_log, append_predictions, dump_samples, load_weights, save_weights
+from tallygrad.sources.results import append_log, append_predictions, dump_samples, load_weights, read_runs, save_weights
 from tallygrad.sources.samples import SampleStore, read_sample_text, sample_text
 from tallygrad.sources.synthetic import synthetic_samples
 
@@ -57,6 +57,62 @@ def test_any_number_of_months_by_position_is_one_scan(spark, tmp_path):
     assert {(r.month, r.total) for r in rows.collect()} == {(201201 + m, float(m)) for m in range(12)} | {(201301, 77.0)}
 
 
+HEADER = "id,barCode,date,total,fee1,fee2\n"
+
+
+def meter_file(folder, name, total):
+    os.makedirs(os.path.dirname(folder / name), exist_ok=True)
+    return write(folder / name, f"{HEADER}a,x,d,{total},1,1\n")
+
+
+def months_read(rows):
+    return sorted((r.month, r.total) for r in rows.collect())
+
+
+def test_months_by_position_hold_for_paths_alike(spark, tmp_path, monkeypatch):
+    one, two = meter_file(tmp_path, "a.csv", 1), meter_file(tmp_path, "dir/a.csv", 2)
+    assert months_read(read_meter_csv(spark, [one, two], months=[201201, 201202])) == [(201201, 1.0), (201202, 2.0)]
+    assert months_read(read_meter_csv(spark, [two, one], months=[201201, 201202])) == [(201201, 2.0), (201202, 1.0)]
+    uri = "file://" + one
+    assert months_read(read_meter_csv(spark, [uri, two], months=[201201, 201202])) == [(201201, 1.0), (201202, 2.0)]
+
+
+def test_months_by_position_of_odd_names(spark, tmp_path):
+    names = ["with space.csv", "50%25 off.csv", "100%.csv", "a+b#c.csv", "é.csv", "d ir/x.csv"]
+    paths = [meter_file(tmp_path, name, i) for i, name in enumerate(names)]
+    months = [201201 + i for i in range(len(names))]
+    rows = read_meter_csv(spark, paths, months=months)
+    assert plan_of(rows).count("FileScan") == 1 and "BroadcastHashJoin" in plan_of(rows)
+    assert months_read(rows) == [(m, float(i)) for i, m in enumerate(months)]
+
+
+def test_months_by_position_of_patterns_and_folders(spark, tmp_path):
+    for k in range(3):
+        meter_file(tmp_path, f"jan/part{k}.csv", k)
+        meter_file(tmp_path, f"feb{k}.csv", 10 + k)
+        meter_file(tmp_path, f"mar/day={k}/part.csv", 20 + k)
+    paths = [f"{tmp_path}/jan", f"{tmp_path}/feb?.csv", f"{tmp_path}/mar/*"]
+    rows = read_meter_csv(spark, paths, months=[201201, 201202, 201203])
+    want = [(201201 + i, float(10 * i + k)) for i in range(3) for k in range(3)]
+    assert months_read(rows) == want
+
+
+def test_a_file_with_two_months_is_an_error(spark, tmp_path):
+    one = meter_file(tmp_path, "jan/a.csv", 1)
+    other = meter_file(tmp_path, "feb.csv", 1)
+    for paths in ([one, f"{tmp_path}/jan"], [one, f"{tmp_path}/jan/*"], [one, one, other]):
+        with pytest.raises(ValueError, match="several months"):
+            read_meter_csv(spark, paths, months=[201201 + i for i in range(len(paths))])
+    assert read_meter_csv(spark, [one, f"{tmp_path}/jan"], months=[201201, 201201]).select("month").distinct().count() == 1
+
+
+def test_a_thousand_months_by_position(spark, tmp_path):
+    paths = [meter_file(tmp_path, f"m{i}.csv", i) for i in range(1000)]
+    rows = read_meter_csv(spark, paths, months=[190001 + i for i in range(1000)])
+    assert len(plan_of(rows)) < 20_000
+    assert rows.where("month <> 190001 + total").count() == 0 and rows.count() == 1000
+
+
 def test_a_file_without_a_month_is_an_error(spark, tmp_path):
     path = write(tmp_path / "january.csv", "id,barCode,date,total,fee1,fee2\na,x,d,1,2,3\n")
     with pytest.raises(Exception, match="no month"):
@@ -212,6 +268,32 @@ def test_result_tables(spark):
     assert spark.read.option("sep", "\t").option("header", True).csv(path).columns == ["id", "label"] + [f"x{i}" for i in range(6)]
 
 
+def test_a_run_that_is_written_again_replaces_its_rows(spark):
+    scored = spark.createDataFrame([(2.0, 1.5), (0.0, 1.0)], "label double, predict_label double")
+    path = shared_path(spark, "predictions")
+    for run in ("7", "b", "7"):
+        append_predictions(scored, path, run=run)
+    kinds = "label double, prediction double, rel_error double"
+    rows = read_runs(spark, path, kinds)
+    assert {r.run: r["count"] for r in rows.groupBy("run").count().collect()} == {"7": 2, "b": 2}
+    append_predictions(scored.where("label > 0"), path, run="b")
+    assert read_runs(spark, path, kinds).where("run = 'b'").count() == 1
+    append_predictions(scored.where("label > 9"), path, run="b")
+    assert [r.run for r in read_runs(spark, path, kinds).select("run").distinct().collect()] == ["7"]
+    broken = scored.select("label", F.raise_error(F.lit("broken")).cast("double").alias("predict_label"))
+    with pytest.raises(Exception, match="broken"):
+        append_predictions(broken, path, run="7")
+    assert read_runs(spark, path, kinds).count() == 2
+    log = spark.createDataFrame([(1, 5, 0.5, None), (2, 9, 0.4, None)], LOG_SCHEMA)
+    path = shared_path(spark, "log")
+    for run in ("x", "y", "x"):
+        append_log(log, path, run)
+    assert read_runs(spark, path, LOG_SCHEMA).count() == 4
+    for wrong in ("", "a/b", "..\n"):
+        with pytest.raises(ValueError):
+            append_log(log, path, wrong)
+
+
 def test_weights_round_trip(spark):
     config = NetworkConfig(size=(3, 4, 2, 1))
     weights = initial_weights(config, 5)

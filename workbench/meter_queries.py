@@ -70,15 +70,13 @@ def month_of_file(spark, sf_dir):
 
 @register(
     "src2_month_by_position",
-    f"WITH {READINGS} SELECT id, date, total, month FROM readings WHERE month // 100 = (SELECT min(month // 100) FROM readings)",
+    f"WITH {READINGS} SELECT id, date, total, month FROM readings",
 )
 def month_by_position(spark, sf_dir):
-    """The files of the first year, their months listed next to their paths."""
+    """The files of all years, their months listed next to their paths."""
     path = write_monthly_csv(spark, sf_dir)
-    year = readings(spark, sf_dir).agg(F.min("month")).first()[0] // 100
-    first = readings(spark, sf_dir).agg(F.min("month")).first()[0]
-    months = list(range(first, year * 100 + 13))
-    paths = [f"{path}/year={year}/period={m}" for m in months]
+    months = [r.month for r in readings(spark, sf_dir).select("month").distinct().orderBy("month").collect()]
+    paths = [f"{path}/year={m // 100}/period={m}" for m in months]
     return read_meter_csv(spark, paths, months=months).select("id", "date", "total", "month")
 
 

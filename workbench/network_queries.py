@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -19,9 +20,16 @@ from tallygrad.operators.gradient import gradient_table, partial_sums, run_pass,
 from tallygrad.operators.logs import best_iteration, plateau_runs, step_times
 from tallygrad.operators.samples import assemble, dropout_mask, mark_validation, mask_features, split_vector
 from tallygrad.operators.scaling import column_stats, label_stats, sample_stats, scale, scale_columns, vector_stats
-from tallygrad.plans.training import Model, train
+from tallygrad.plans.training import LOG_SCHEMA, Model, train
 from tallygrad.session import shared_path
-from tallygrad.sources.results import append_log, append_predictions, load_weights, prediction_report, save_weights
+from tallygrad.sources.results import (
+    append_log,
+    append_predictions,
+    load_weights,
+    prediction_report,
+    read_runs,
+    save_weights,
+)
 from tallygrad.sources.synthetic import random_samples
 
 from .fixtures import EMBEDDED, EMBEDDED_LONG, LINES, embedded, formula_weights, lines, table
@@ -160,6 +168,24 @@ def validation_split(spark, sf_dir):
     )
 
 
+#: Draws of the integer generator over (line number, copy), spelled out.
+COPY_DRAWS = """
+SELECT l_linenumber AS k, count(*) AS n, CAST(sum(CASE WHEN u < 0.2 THEN 1 ELSE 0 END) AS BIGINT) AS held FROM (
+  SELECT l_linenumber, ((((((((l_linenumber * 48271 + copy + 1) % 2147483647) * 48271 + 1) % 2147483647) * 48271 + 4)
+                          % 2147483647) * 48271 + 2) % 2147483647) / 2147483647.0::DOUBLE AS u
+  FROM (SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber, row_number() OVER (PARTITION BY l_linenumber) - 1 AS copy
+        FROM lineitem)) GROUP BY l_linenumber
+"""
+
+
+@register("set2_split_of_copies", COPY_DRAWS)
+def split_copies(spark, sf_dir):
+    """Rows that are copies of each other are drawn apart; line numbers alone are a table of few distinct rows."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("k")).repartition(6)
+    marked = mark_validation(rows, 0.2, seed=3, key=["k"], split_copies=True, draw=lehmer)
+    return marked.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("held"))
+
+
 # --- scalar and array functions ---------------------------------------------------
 
 
@@ -310,6 +336,24 @@ def reshaped(spark, sf_dir):
     return wide.select("vec_id", *[F.get("features", F.lit(i)).alias(f"x{i}") for i in range(64)])
 
 
+@register(
+    "sc19_wide_vectors",
+    long_with(
+        "SELECT vec_id, CAST(k * 64 + pos AS INTEGER) AS pos, round(value * (k + 1), 6) + 0 AS value "
+        "FROM long CROSS JOIN (SELECT unnest(range(3)) AS k) WHERE (k * 64 + pos) % 5 <> 0"
+    ),
+)
+def wide_vectors(spark, sf_dir):
+    """Vectors of three slices, every fifth element missing, through long rows and back."""
+    def times(k):
+        return F.transform("features", lambda v: v * k)
+
+    tripled = embedded(spark, sf_dir).select("vec_id", F.concat(times(1), times(2), times(3)).alias("features"))
+    long = to_long(tripled, ["vec_id"], "features").where("pos % 5 <> 0")
+    back = to_long(to_wide(long, ["vec_id"], 192), ["vec_id"], "features")
+    return back.where("value is not null").select("vec_id", "pos", rounded("value").alias("value"))
+
+
 # --- statistics and scaling -------------------------------------------------------
 
 
@@ -500,8 +544,10 @@ def sparsity(spark, sf_dir):
 )
 def prediction_table(spark, sf_dir):
     path = shared_path(spark, "predictions")
-    append_predictions(score(lines(spark, sf_dir), formula_weights(SMALL), SMALL), path, LINE_KEYS)
-    stored = spark.read.parquet(path)
+    scored = score(lines(spark, sf_dir), formula_weights(SMALL), SMALL)
+    for _ in range(2):  # the second write takes the place of the first
+        append_predictions(scored, path, LINE_KEYS, run="a")
+    stored = spark.read.parquet(path).where("run = 'a'")
     return stored.select(
         *LINE_KEYS, "label", rounded("prediction").alias("prediction"), rounded("rel_error").alias("rel_error")
     )
@@ -701,6 +747,36 @@ def training_log(spark, sf_dir):
     )
 
 
+@register(
+    "ml8_resumed_training",
+    lines_with(rounded_log(log_sql(EPOCHS)), RUN),
+)
+def resumed_training(spark, sf_dir):
+    """A run that is cut after two epochs and resumed gives the log of an unbroken one."""
+    run_id = f"resumed-{uuid.uuid4().hex}"
+    trained(spark, sf_dir, HEAVY, 2, run_id=run_id)
+    return log_rows(trained(spark, sf_dir, HEAVY, run_id=run_id, resume=True), spark)
+
+
+@register(
+    "snk5_log_of_runs",
+    lines_with(
+        " UNION ALL ".join(
+            f"SELECT '{run}' AS run, iteration, round(train_loss, 9) AS train_loss FROM ({log_sql(EPOCHS)}) WHERE iteration <= {n}"
+            for run, n in (("a", EPOCHS), ("b", 2))
+        ),
+        RUN,
+    ),
+)
+def log_of_runs(spark, sf_dir):
+    """Logs of two runs in one table; writing one again replaces it and leaves the other."""
+    path = shared_path(spark, "log")
+    log = trained(spark, sf_dir, HEAVY).log_table(spark)
+    for run, rows in (("a", log), ("b", log), ("a", log), ("b", log.where("iteration <= 2"))):
+        append_log(rows, path, run)
+    return read_runs(spark, path, LOG_SCHEMA).select("run", "iteration", rounded("train_loss", 9).alias("train_loss"))
+
+
 @register(
     "snk7_trained_weights",
     lines_with(unpivot(f"w{EPOCHS}", HEAVY, {"w": "round(w_{p}, 9) + 0"}), RUN),
