@@ -8,15 +8,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.neighbours import SHORTEST_MONTH, below, neighbour_samples
 from ..operators.readings import complete_months, daily_use, reading_order, select_meters
+from ..session import shared_path
 
 
-# A table of at most this many wanted ids is broadcast.
-BROADCAST_IDS = 100_000
+def stored_ids(ids: DataFrame) -> tuple[DataFrame, bool]:
+    """Distinct wanted ids as a table in the shared folder, and whether Spark broadcasts a table of these bytes.
 
-
-def fits_broadcast(ids: DataFrame, most: int = BROADCAST_IDS) -> bool:
-    """Whether a table holds at most ``most`` ids; counts no further than that."""
-    return ids.select("id").limit(most + 1).count() <= most
+    The files' true size is what Spark plans the join by; nothing is counted.
+    """
+    spark, path = ids.sparkSession, shared_path(ids.sparkSession, "wanted-ids")
+    ids.select("id").where("id is not null").distinct().write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    # The setting as Spark reads it, units and all.
+    most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return spark.read.schema(ids.select("id").schema).parquet(path), size <= most
 
 
 def clean_readings(
@@ -27,25 +33,22 @@ def clean_readings(
     order_by: str = "total",
     cut: bool = True,
     at_most: int | None = None,
-    broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """Daily use of complete meter-months, for all meters or the wanted ones.
 
-    Listed ids and tables of up to ``broadcast_ids`` of them filter the readings
-    where they are scanned. A longer table is joined after the complete months
-    are found: joining before would move all readings of a broken id, which may
-    hold a third of them, into one task.
+    Listed ids, and tables of them that Spark broadcasts by its own setting, filter
+    the readings where they are scanned. A longer table is joined after the complete
+    months are found: joining before would move all readings of a broken id, which
+    may hold a third of them, into one task. A table of ids is written to the
+    shared folder first, so that its size is known. A NULL id asks for nothing.
     """
 
     def clean(df: DataFrame) -> DataFrame:
         return complete_months(df, expected_rows, null_policy, order_by, cut, at_most)
 
     if isinstance(ids, DataFrame):
-        ids = ids.select("id").distinct()
-        if fits_broadcast(ids, broadcast_ids):
-            whole = clean(select_meters(records, F.broadcast(ids)))
-        else:
-            whole = select_meters(clean(records), ids)
+        wanted, in_front = stored_ids(ids)
+        whole = clean(select_meters(records, wanted)) if in_front else select_meters(clean(records), wanted)
     else:
         whole = clean(records if ids is None else select_meters(records, ids))
     return daily_use(whole, order_by)
@@ -61,7 +64,6 @@ def build_samples(
     max_label: float | None = None,
     cut: bool = True,
     at_most: int | None = None,
-    broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """Neighbour samples of complete meter-months: one exchange for the whole chain.
 
@@ -70,7 +72,7 @@ def build_samples(
     """
     if isinstance(expected_rows, int) and expected_rows < SHORTEST_MONTH:
         raise ValueError(f"neighbour samples need at least {SHORTEST_MONTH} rows in a meter-month")
-    clean = clean_readings(records, ids, expected_rows, null_policy, order_by, cut, at_most, broadcast_ids)
+    clean = clean_readings(records, ids, expected_rows, null_policy, order_by, cut, at_most)
     if isinstance(expected_rows, Column):
         too_short = F.raise_error(F.lit(f"neighbour samples need at least {SHORTEST_MONTH} rows in a meter-month"))
         clean = clean.filter(F.when(F.col("n") >= SHORTEST_MONTH, F.lit(True)).otherwise(too_short))

@@ -179,14 +179,17 @@ def test_long_id_tables_are_joined_behind_the_group_limit(spark):
     rows = month_rows("a", 2012, 2, 29) + month_rows("b", 2012, 2, 29) + month_rows("", 2012, 2, 29) * 3
     readings = frame(spark, rows)
     ids = spark.createDataFrame([("a",), ("a",), ("",), ("x",)], "id string")
-    few, many = build_samples(readings, ids), build_samples(readings, ids, broadcast_ids=1)
-    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    few = build_samples(readings, ids)
+    for most in ("100", "-1"):  # bytes; -1 means never
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            many = build_samples(readings, ids)
+            plan = plan_of(many)
+            found = sorted(map(str, many.collect()))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert sorted(map(str, few.collect())) == found
     assert few.count() == 28
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = plan_of(build_samples(readings, ids, broadcast_ids=1))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # Read from the top: the join comes first, the limits lie below it.
     assert plan.index("LeftSemi") < plan.index("WindowGroupLimit")
     plan = plan_of(build_samples(readings, ids))
