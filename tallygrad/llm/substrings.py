@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tallygrad.llm.store import kept
-from tallygrad.llm.text import Words, _power_tables, gram_hashes, mixed, pieces
+from tallygrad.llm.text import Words, gram_hashes, mixed, pieces, span_hashes
 
 WINDOW, ANCHOR = 13, 4
 #: Bytes of text worked on at once; a window takes many times the memory of its text.
@@ -64,12 +64,9 @@ class Windows:
         fresh = np.flatnonzero(np.concatenate(([True], (np.diff(self.at) != 1) | (np.diff(self.place) != 0))))
         last = np.append(fresh[1:], len(self.at)) - 1
         start, end = self.at[fresh], self.at[last] + self.window
-        power, inverse = _power_tables(len(self.hashes) + 1)
-        sums = np.zeros(len(self.hashes) + 1, np.uint64)
+        words = span_hashes(self.hashes.view(np.uint8), 8 * start, 8 * end)
         with np.errstate(over="ignore"):
-            np.cumsum(self.hashes * power[: len(self.hashes)], out=sums[1:])
-            shape = ((end - start) * 64 + self.place[fresh] - start).astype(np.uint64)
-            value = mixed((sums[end] - sums[start]) * inverse[start] + mixed(shape))
+            value = mixed(words + mixed(((end - start) * 64 + self.place[fresh] - start).astype(np.uint64)))
         return fresh, self.anchors[fresh], value
 
     def path_of_window(self) -> np.ndarray:

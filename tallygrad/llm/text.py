@@ -20,22 +20,11 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_UNIT = np.uint64(1)
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _powers = tuple(
-                np.concatenate(([_UNIT], np.cumprod(np.full(size - 1, b, np.uint64)))) for b in (_BASE, inverse)
-            )
-    return _powers
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a range that are hashed in one go.
+SEGMENT_BYTES = 256
+#: The lowest 0 to 8 bytes of a lane.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -123,13 +112,50 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range of ``data``, by prefix sums of a polynomial."""
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
+    """64-bit hash of each byte range of ``data``.
+
+    Eight bytes at a time go through :func:`mixed`, so that no sum or product of
+    bytes makes ranges of a certain form collide. A range of more than
+    SEGMENT_BYTES is hashed in segments, then as the text of their hashes.
+    """
+    sizes = ends - starts
+    large = np.flatnonzero(sizes > SEGMENT_BYTES)
+    if not len(large):
+        return _lane_hashes(data, starts, sizes)
+    out = np.empty(len(sizes), np.uint64)
+    small = np.flatnonzero(sizes <= SEGMENT_BYTES)
+    out[small] = _lane_hashes(data, starts[small], sizes[small])
+    count = -(-sizes[large] // SEGMENT_BYTES)
+    bounds = np.concatenate(([0], np.cumsum(count)))
+    at = np.repeat(starts[large] - SEGMENT_BYTES * bounds[:-1], count) + SEGMENT_BYTES * np.arange(bounds[-1])
+    parts = _lane_hashes(data, at, np.minimum(SEGMENT_BYTES, np.repeat(ends[large], count) - at))
+    whole = span_hashes(parts.view(np.uint8), 8 * bounds[:-1], 8 * bounds[1:])
+    with np.errstate(over="ignore"):
+        out[large] = mixed(whole + sizes[large].astype(np.uint64) * _BASE)
+    return out
+
+
+def _lane_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of at most SEGMENT_BYTES, eight bytes of all of them in one step."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + _UNIT) * power[: len(data)], out=sums[1:])
-        value = (sums[ends] - sums[starts]) * inverse[starts]
-        return mixed(value + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
+        out = sizes.astype(np.uint64) * _BASE
+        rows, at, left, state = None, starts, sizes, out
+        while len(at):
+            lane = lanes[at]
+            lane &= _LOW_BYTES[np.minimum(left, 8)]
+            state = mixed(state ^ lane)
+            if rows is None:
+                out = state
+            else:
+                out[rows] = state
+            on = np.flatnonzero(left > 8)
+            rows, at, left = on if rows is None else rows[on], at[on] + 8, left[on] - 8
+            state = state[on]
+    return out
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
