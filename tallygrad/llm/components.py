@@ -14,7 +14,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     neighbours to its smallest one, then its smaller ones. Each round is two
     aggregations and joins with the links alone; chains halve, so the number of
     rounds grows with the logarithm of the longest path. Loops and repeated links are ignored; a null
-    end links nothing.
+    end links nothing. The joins are merge joins whatever the sizes, as dozens of
+    rounds of broadcasts would pile up in the driver.
     """
     edges = (
         links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
@@ -27,10 +28,11 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # Large star: larger neighbours of u are linked to the smallest of u and its neighbours.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(least.hint("merge"), "u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: smaller neighbours of u, and u, are linked to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = large.join(least.hint("merge"), "u")
         small = (
             joined.where(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -46,4 +48,4 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     found = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return found.union(roots.join(found.select("node"), "node", "left_anti"))
+    return found.union(roots.join(found.select("node").hint("merge"), "node", "left_anti"))

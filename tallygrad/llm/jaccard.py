@@ -5,7 +5,9 @@ class orders its shingles from rare to frequent by estimated counts and indexes
 a prefix of them. A longer prefix that requires more shared shingles costs
 more index entries and yields fewer candidates, so each class picks its own
 number of required matches by the estimated cost; a pair has to share the
-smaller number of the two. Candidates are verified on their whole sets.
+smaller number of the two, and their signatures, parities of shingles by hash,
+may differ in no more bits than similar sets differ in shingles. Candidates are
+verified on their whole sets.
 
 Groups are wanted, not all pairs. So every class is first compared with the
 smallest class of each of its index entries, which connects copies in as many
@@ -38,6 +40,9 @@ MOST_MATCHES, VERIFY_COST, BY_CHANCE, LEFT = 8, 500, 0.3, 1 / 8
 MATCH_BITS = 4
 #: Hubs of an index entry.
 HUBS = 4
+#: 64-bit words of a set's signature, and their columns.
+SIGNATURE = 8
+SIGNS = [f"sign{i}" for i in range(SIGNATURE)]
 
 
 def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +58,20 @@ def _keys(first: np.ndarray, shingles: np.ndarray) -> list[bytes | None]:
     return [hashlib.md5(raw[a:b]).digest() if b > a else None for a, b in zip(at[:-1], at[1:])]
 
 
+def signatures(first: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """(texts, SIGNATURE) words of 64 bits; a bit tells whether an odd number of a set's shingles falls on it.
+
+    Shingles that two sets share cancel out, so their signatures differ in no
+    more bits than the sets differ in shingles.
+    """
+    n, bits = len(first) - 1, 64 * SIGNATURE
+    owner = np.repeat(np.arange(n), np.diff(first))
+    odd = np.bincount(owner * bits + (shingles % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+
+
 def shingle_keys(docs: DataFrame, k: int, with_text: bool) -> DataFrame:
-    """(doc_id, n_shingles, key): size of the set and a digest of it, null for an empty one; with the packed text if asked."""
+    """(doc_id, n_shingles, key): size of the set and a digest of it, null for an empty one; then its signature or its packed text."""
 
     def found(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -66,9 +83,12 @@ def shingle_keys(docs: DataFrame, k: int, with_text: bool) -> DataFrame:
                 if with_text:
                     texts = batch.column("text").to_pylist()
                     out.append(pa.array([None if t is None else pack(t.encode()) for t in texts], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_shingles", "key", "packed"][: len(out)])
+                else:
+                    out += [pa.array(column) for column in np.ascontiguousarray(signatures(first, shingles).T)]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_shingles", "key", *more])
 
-    schema = "doc_id bigint, n_shingles bigint, key binary" + ", packed binary" * with_text
+    more = ["packed"] if with_text else SIGNS
+    schema = "doc_id bigint, n_shingles bigint, key binary, " + ", ".join(f"{c} {'binary' if with_text else 'bigint'}" for c in more)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(found, schema)
 
 
@@ -194,6 +214,13 @@ def _sizes_fit(percent: int):
     return 100 * F.least("n", "other_n").cast("bigint") >= percent * F.greatest("n", "other_n").cast("bigint")
 
 
+def _signs_fit(percent: int):
+    """A similar pair differs in at most (100 - percent) / (100 + percent) of both sizes, so its signatures do."""
+    bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in SIGNS), F.lit(0))
+    sizes = F.col("n").cast("bigint") + F.col("other_n").cast("bigint")
+    return bits * (100 + percent) <= sizes * (100 - percent)
+
+
 def _shared_needed(percent: int):
     """Entries that a similar pair shares at least.
 
@@ -237,7 +264,7 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     classes = (
         rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("key")
-        .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").cast("int").alias("n"))
+        .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").cast("int").alias("n"), *(F.first(c).alias(c) for c in SIGNS))
     )
     classes = kept(classes, "shingle-classes")
     node = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint").bitwiseAND(F.bitwise_not(low))
@@ -274,11 +301,13 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     mixed_entries = (
         grouped.groupBy("shingle").agg(F.min("group").alias("p"), F.max("group").alias("q")).where(F.col("p") < F.col("q")).select("shingle")
     )
-    open_entries = kept(grouped.join(mixed_entries, "shingle"), "shingle-open")
-    other = open_entries.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("doc", "n", "matches", "group")))
+    open_entries = grouped.join(mixed_entries, "shingle").join(wanted.select("doc", *SIGNS), "doc")
+    open_entries = kept(open_entries, "shingle-open", release=True)
+    other = open_entries.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("doc", "n", "matches", "group", *SIGNS)))
+    # Copies of one text that are too far apart share many entries; their signatures tell inside the join.
     candidates = (
         open_entries.join(other, "shingle")
-        .where((F.col("group") < F.col("other_group")) & _sizes_fit(percent))
+        .where((F.col("group") < F.col("other_group")) & _sizes_fit(percent) & _signs_fit(percent))
         .groupBy(F.col("doc").alias("a"), F.col("other_doc").alias("b"))
         .agg(F.count("*").alias("shared"), F.first(_shared_needed(percent)).alias("needed"))
         .where(F.col("shared") >= F.col("needed"))

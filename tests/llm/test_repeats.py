@@ -10,9 +10,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tallygrad.llm import embeddings, jaccard, substrings
+from tallygrad.llm import decontamination, embeddings, jaccard, substrings
 from tallygrad.llm.components import connected_components
-from tallygrad.llm.text import Words, gram_hashes, pieces, shingle_sets
+from tallygrad.llm.text import Words, gram_hashes, pieces, shingle_sets, span_hashes
 from tests.llm.helpers import awkward_texts, by_id, documents, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -253,3 +253,98 @@ def test_embedding_bounds_hold():
         true = np.linalg.norm(x[:, None] - x[None, rows], axis=2)
         assert (np.abs(d - true) <= error[rows] + 1e-9).all()
     assert probes.mean() < 0.9
+
+
+def thue_morse(n):
+    """A word over a and b that any sum of bytes times powers takes for its mirror image, and that image."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1, 8, 256, 512, 1024, 4096, 1 << 17])
+def test_words_of_one_form_have_different_hashes(n):
+    one, two = thue_morse(n)
+    other = one[:-1] + "c"
+    words = Words(pa.array([one, two, other, one + "a", one]))
+    hashes = words.hashes().tolist()
+    assert len(set(hashes)) == 4 and hashes[0] == hashes[4]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 700), min_size=1, max_size=5), st.integers(0, 9), st.randoms())
+def test_hashes_depend_on_the_bytes_only(sizes, shift, rng):
+    texts = [bytes(rng.choice(b"ab") for _ in range(n)) for n in sizes]
+    texts += [t[:-1] + b"\0" for t in texts if t] + [t + b"\0" for t in texts]
+
+    def hashed(parts, gap):
+        data = np.frombuffer(b"x" * gap + b"".join(parts), np.uint8)
+        ends = gap + np.cumsum([len(p) for p in parts])
+        return span_hashes(data, ends - [len(p) for p in parts], ends).tolist()
+
+    got = hashed(texts, shift)
+    assert got == [hashed([t], 0)[0] for t in texts]
+    assert len(set(got)) == len(set(texts))
+
+
+def test_long_words_of_one_form_are_kept_apart(spark):
+    one, two = thue_morse(4096)
+    start = " ".join(f"w{i}" for i in range(12))
+    docs = documents(spark, [f"{start} {one}", f"{start} {two}", one, two, f"{start} {two}"])
+    rows = by_id(substrings.digests(docs))
+    assert [rows[i].n_removed for i in range(5)] == [0, 0, 0, 0, 13]
+    groups = by_id(jaccard.similar_groups(docs))
+    assert [groups[i].component_id for i in range(5)] == [0, 1, 2, 3, 1]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 2**64 - 1), max_size=40), min_size=1, max_size=6))
+def test_signatures_differ_in_no_more_bits_than_sets(sets):
+    base = sorted(sets[0])
+    sets = [*sets, set(base), set(base[1:]), set(base[::2]) | {5}]
+    first = np.cumsum([0] + [len(s) for s in sets])
+    signs = jaccard.signatures(first, np.array([x for s in sets for x in sorted(s)], np.uint64)).view(np.uint64)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits = sum(int(x ^ y).bit_count() for x, y in zip(signs[i], signs[j]))
+            assert bits <= len(a ^ b) and bits % 2 == len(a ^ b) % 2
+
+
+def test_families_of_copies_that_are_too_far_apart_give_few_candidates(spark, monkeypatch):
+    """Copies of one text with random edits, most pairs below the limit: what is verified grows slower than the pairs."""
+    counts = []
+    real = jaccard.similar
+
+    def counting(pairs, texts, k, percent):
+        counts[-1].append(pairs.count())
+        return real(pairs, texts, k, percent)
+
+    monkeypatch.setattr(jaccard, "similar", counting)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(300)]
+    for n in (200, 800):
+        texts = []
+        for d in range(n):
+            w = list(base)
+            for at in rng.sample(range(300), 8):
+                w[at] = f"e{d}x{at}"
+            texts.append(" ".join(w))
+        counts.append([])
+        groups = by_id(jaccard.similar_groups(documents(spark, texts, extra=False).repartition(4)))
+        if n == 200:
+            sets = [{tuple(w[i : i + 3]) for i in range(298)} for w in (t.split() for t in texts)]
+            links = [(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+            want = groups_of(range(n), links)
+            assert {d: r.component_id for d, r in groups.items()} == want
+    few, many = (sum(c) for c in counts)
+    assert many < 0.1 * 800 * 799 / 2
+    assert few < 0.1 * 200 * 199 / 2 + 800
+
+
+def test_a_long_word_is_no_leak_of_another_of_its_form(spark):
+    one, two = thue_morse(4096)
+    items = spark.createDataFrame([(0, two), (1, f"{two} {one} {two}")], "item_id bigint, text string")
+    found = decontamination.contaminated(documents(spark, [one, two, f"{one} {one} {one}"]), items)
+    assert {(r.doc_id, r.item_id) for r in found.select("doc_id", "item_id").collect()} >= {(1, 0)}
+    assert not {(r.doc_id, r.item_id) for r in found.collect()} & {(0, 0), (2, 0)}
