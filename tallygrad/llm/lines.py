@@ -171,19 +171,19 @@ def with_kept_lines(docs: DataFrame, prefix: str = "", **options) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``, the lines that stay joined by \\n (new names take ``prefix``)."""
     gone = repeated_lines(docs, **options)
     # What docs may call its columns does not matter: they travel as one struct.
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col("text"), _digest().alias("digest"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", _digest().alias("digest"))
     joined = rows.join(gone, ["doc_id", "digest"], "left")
-    lines = split_lines(F.col("text"))
+    lines = split_lines(F.col("row.text"))
     n = F.size("lines")
     left = F.array_except(F.sequence(F.lit(0), n - 1), "places")
     whole = F.col("places").isNull()
     texts = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
-    parted = joined.select("row", "places", F.coalesce("text", F.lit("")).alias("text"), lines.alias("lines"))
+    parted = joined.select("row", "places", lines.alias("lines"))
     return parted.select(
         "row.*",
         n.cast("long").alias(f"{prefix}n_lines"),
         F.when(whole, 0).otherwise(F.size("places")).cast("long").alias(f"{prefix}n_dropped"),
-        F.when(whole, F.col("text")).otherwise(texts).alias(f"{prefix}kept_text"),
+        F.when(whole, F.coalesce("row.text", F.lit(""))).otherwise(texts).alias(f"{prefix}kept_text"),
     )
 
 
