@@ -357,7 +357,8 @@ def _rounds(nodes: DataFrame) -> list[DataFrame]:
 
 def build(docs: DataFrame, columns: Sequence[str], tree: str, key: str, changed: Column | None = None) -> Manifest:
     """The manifest of a table: leaves over ``columns``, ordered by ``key`` in a tree for each value of ``tree``."""
-    rows = numbered(leaves(docs, columns, tree, key, changed), ["key", "digest"])
+    # Written first, since a range sort reads its input twice.
+    rows = numbered(kept(leaves(docs, columns, tree, key, changed), "leaves"), ["key", "digest"])
     levels = _rounds(rows)
     # One tree over the trees' roots; the order of the names is that of the sources.
     names = levels[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
