@@ -174,7 +174,10 @@ def _lists(vocabulary: DataFrame, grams: Grams) -> DataFrame:
             )
 
     schema = "word string, n bigint, key string, first int, last int, first_gap int, last_gap int"
-    return vocabulary.select("word", "n").mapInArrow(listed, schema).withColumn("key", F.xxhash64("key"))
+    # A vocabulary is a small table and cutting words is the work, so it is dealt out to more tasks than its bytes ask for.
+    tasks = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vocabulary.select("word", "n").repartition(tasks, "word")
+    return dealt.mapInArrow(listed, schema).withColumn("key", F.xxhash64("key"))
 
 
 def near_words(vocabulary: DataFrame, grams: Grams) -> DataFrame:
