@@ -18,12 +18,28 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallygrad.llm.text import PIECE_BYTES, _power_tables, buffers, pieces
+from tallygrad.llm.text import PIECE_BYTES, buffers, pieces
 from tallygrad.llm.tokens import DEFAULT_TOKENIZER, Encoder, encoder, gathered, safe_cuts
 
 #: Bytes under the rolling hash, bits that must be zero at a cut, and bounds of a chunk's bytes.
 WINDOW, CUT_BITS, SHORTEST, LONGEST = 48, 10, 256, 8192
 
+_BASE = 0x9E3779B97F4A7C15
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the rolling hash's base and of its inverse modulo 2**64, at least n of each."""
+    global _powers
+    if len(_powers[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        inverse = pow(_BASE, -1, 1 << 64)
+        with np.errstate(over="ignore"):
+            _powers = tuple(
+                np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64)))) for b in (_BASE, inverse)
+            )
+    return _powers
+
 
 def chunk_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sorted byte bounds of all chunks; every text bound is one. Cuts never split a character."""
