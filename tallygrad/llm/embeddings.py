@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tallygrad.llm.components import connected_components
+from tallygrad.llm.draws import drawn, drawn_order, not_empty
 from tallygrad.llm.store import kept
 
 LEAST_COSINE = 0.98
@@ -161,9 +162,8 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, samp
     for size in sizes:
         one = units.where(F.col("size") == size)
         there = one.count()
-        draw = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000))
-        rate = 1_000_000 if there <= sample_rows else int(1_200_000 * sample_rows / there)
-        rows = one.where(draw < rate).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec_id", "unit").collect()
+        sample = one.where(drawn(there, sample_rows, "vec_id")).orderBy(drawn_order("vec_id"), "vec_id").limit(sample_rows)
+        rows = not_empty(sample.select("vec_id", "unit").collect(), there, "vectors")
         models[size] = train(np.array([r.unit for r in sorted(rows, key=lambda r: (r.vec_id, r.unit))]))
     shared = vectors.sparkSession.sparkContext.broadcast(models)  # centroids and codewords
 
@@ -184,8 +184,8 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, samp
                 names=[*batch.schema.names, "list", "probes"],
             )
 
-    schema = "vec_id bigint, label int, unit array<double>, size int, list int, probes array<int>"
-    plain = units.select(F.col("vec_id").cast("bigint"), F.col("label").cast("int"), "unit", "size")
+    schema = "vec_id bigint, label string, unit array<double>, size int, list int, probes array<int>"
+    plain = units.select(F.col("vec_id").cast("bigint"), F.col("label").cast("string"), "unit", "size")
     lists = plain.mapInArrow(assigned, schema)
     lists = kept(lists, "inverted-lists")
     per_list = lists.groupBy("label", "size", "list").agg(F.count("*").alias("rows"))

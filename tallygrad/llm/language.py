@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tallygrad.llm.draws import drawn, drawn_order, not_empty
 from tallygrad.llm.quality import _marked, is_held_out
 from tallygrad.llm.text import Words, mixed, pieces, span_hashes
 
@@ -28,6 +29,8 @@ AFFIXES = (1, 2, 3, 4)
 NGRAMS = (2, 3)
 #: Documents per language that may be learned from, words taken of each, and lexicon words per language.
 SAMPLE_ROWS, SAMPLE_WORDS, LEXICON_WORDS = 250, 160, 300
+#: Values of lang that are learned, the most frequent ones.
+MOST_LANGUAGES = 250
 #: Words of a training sequence, of its stretches of one language, and number of sequences.
 SEQUENCE, STRETCH, SEQUENCES = 40, (4, 20), 2400
 EPOCHS, BATCH, RATE = 4, 60, 0.3
@@ -255,31 +258,32 @@ def _transition_gradient(emission, p, gold, transitions, k) -> np.ndarray:
     return observed - expected
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Learn from at most ``rows`` documents per language that are not held out.
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, languages: int = MOST_LANGUAGES) -> LanguageModel:
+    """Learn from about ``rows`` documents per language that are not held out.
 
-    Only text and non-null lang are used. The sample is drawn by a hash of the
+    Only text and non-null lang are used, and of the values of lang the ``languages``
+    most frequent ones, so that a column of dirt stays a bounded model. The sample is drawn by a hash of the
     id at a rate from the count per language; of each document ``SAMPLE_WORDS``
     words from a place the hash names are taken.
     """
     usable = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out() & F.col("text").isNotNull()
     )
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    top = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    counts = {r.lang: r["count"] for r in top.collect()}
     if not counts:
         return train([], [])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    rate = F.coalesce(*[F.when(F.col("lang") == x, F.lit(int(1_000_000 * min(1, rows / n)))) for x, n in counts.items()])
+    there = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     taken = F.slice("words", F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.size("words") - SAMPLE_WORDS)).cast("int"), SAMPLE_WORDS)
     sample = (
-        usable.where(draw < rate)
+        usable.where(F.col("lang").isin(list(counts)) & drawn(there, rows, "doc_id"))
         .withColumn("words", words)
         .select("doc_id", "lang", F.concat_ws(" ", taken).alias("text"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+        .orderBy(drawn_order("doc_id"), "doc_id", "text")
         .limit(2 * rows * len(counts))
     )
-    got = sorted((r.doc_id, r.lang, r.text) for r in sample.collect())
+    got = sorted((r.doc_id, r.lang, r.text) for r in not_empty(sample.collect(), sum(counts.values()), "documents"))
     return train([t for _, _, t in got], [x for _, x, _ in got])
 
 

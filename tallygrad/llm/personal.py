@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from tallygrad.llm.draws import drawn, drawn_order, not_empty
 from tallygrad.llm.text import buffers, pieces
 
 KINDS = ("email", "ip", "card", "phone")
@@ -31,8 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 LONGEST, AROUND, SURE = 5, 2, 0.8
 #: Documents with triggers that may be learned from, and characters taken around each trigger.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
-#: Windows that are learned from, drawn from all of those documents in an order of this seed; characters of the longest segment.
-SAMPLE_WINDOWS, SEED, LONGEST_CHARS = 3_000, 7, 200
+#: Windows that are learned from, drawn from all of those documents in an order of this seed.
+SAMPLE_WINDOWS, SEED = 3_000, 7
 EPOCHS, RATE = 60, 0.5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -195,9 +196,8 @@ def _windows(text: str, taken: list[tuple[int, int]]) -> list[_Window]:
                 for size in range(1, min(LONGEST, len(run) - i) + 1):
                     if any(hot[i : i + size]):
                         a, b = bounds[i][0], bounds[i + size - 1][1]
-                        if b - a <= LONGEST_CHARS:
-                            first, last = text[slice(*bounds[i])], text[slice(*bounds[i + size - 1])]
-                            on[i, size] = _features(text[a:b], size, first, last)
+                        first, last = text[slice(*bounds[i])], text[slice(*bounds[i + size - 1])]
+                        on[i, size] = _features(text[a:b], size, first, last)
             out.append(_Window(bounds, on))
             run = []
         if j is not None:
@@ -355,9 +355,8 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> FieldModel:
         F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS) & F.col("doc_id").isNotNull()
     )
     there = usable.count()
-    rate = 1_000_000 if there <= rows else int(1_200_000 * rows / there)
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate).orderBy(F.xxhash64("doc_id"), "text").limit(rows)
-    return train([r.text for r in sample.collect()])
+    sample = usable.where(drawn(there, rows, "doc_id")).orderBy(drawn_order("doc_id"), "text").limit(rows)
+    return train([r.text for r in not_empty(sample.collect(), there, "documents")])
 
 
 def all_spans(text: str | None, model: FieldModel) -> tuple[list, list]:

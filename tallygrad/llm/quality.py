@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallygrad.llm.draws import drawn, drawn_order, not_empty
 from tallygrad.llm.text import Words, gram_hashes, mixed, pieces, span_hashes
 
 BUCKETS = 1 << 17
@@ -24,6 +25,8 @@ NGRAMS = (3, 4, 5)
 #: Labelled documents that may be learned from, and the longest of them in characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 12_000
 EPOCHS, BATCH, RATE = 6, 25, 0.4
+#: Texts whose features are made at once in training.
+FEATURE_ROWS = 10
 
 _PAIR = np.uint64(0xA5A5A5A5A5A5A5A5)
 #: Stands for every pair of equal words, so that repetition is one feature whatever is repeated.
@@ -132,18 +135,16 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> QualityM
     n = len(texts)
     if n == 0:
         return QualityModel(vectors, output, bias)
-    keys, counts = [], []
-    for at in range(0, n, 50):  # so that repeats are counted before the next texts come
-        owner, bucket = document_features(pa.array(texts[at : at + 50], pa.string()))
-        key, count = np.unique((owner + at) * BUCKETS + bucket, return_counts=True)
-        keys.append(key)
-        counts.append(count.astype(np.float32))
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    owner, bucket = (key // BUCKETS).astype(np.int32), (key % BUCKETS).astype(np.int32)
-    del keys, key
-    weight = (count / np.bincount(owner, count, n)[owner]).astype(np.float32)
-    del counts, count
-    first = np.searchsorted(owner, np.arange(n + 1, dtype=np.int32))
+    buckets, weights, sizes = [], [], []
+    for at in range(0, n, FEATURE_ROWS):  # so that repeats are counted before the next texts come
+        owner, bucket = document_features(pa.array(texts[at : at + FEATURE_ROWS], pa.string()))
+        key, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
+        owner = key // BUCKETS
+        buckets.append((key % BUCKETS).astype(np.int32))
+        weights.append((count / np.bincount(owner, count)[owner]).astype(np.float32))
+        sizes.append(np.bincount(owner, minlength=min(FEATURE_ROWS, n - at)))
+    bucket, weight, first = np.concatenate(buckets), np.concatenate(weights), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    del buckets, weights
     target = np.eye(2, dtype=np.float32)[np.array(labels)]
     seen = np.zeros(BUCKETS, np.float32)
     output_seen = np.zeros_like(output)
@@ -191,9 +192,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
         .select("doc_id", "label")
     )
     there = usable.count()
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    rate = 1_000_000 if there <= rows else int(1_200_000 * rows / there)
-    ids = usable.where(draw < rate).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    ids = usable.where(drawn(there, rows, "doc_id")).orderBy(drawn_order("doc_id"), "doc_id").limit(rows)
+    not_empty([] if there and ids.isEmpty() else [ids], there, "labels")
     texts = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
     return texts.join(F.broadcast(ids), "doc_id")  # at most `rows` ids
 

@@ -10,15 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from tallygrad.session import shared_path, ship_package
 
 #: Rows of the Arrow batches between Spark and Python; texts are long, so Spark's default would hold tens of MB.
-BATCH_ROWS = "1000"
-_BATCH_SETTING, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+BATCH_ROWS, BATCH_BYTES = "1000", "8m"
+_ROWS_SETTING, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make a session ready for the operators: the package on its workers, and small Arrow batches unless set otherwise."""
+    """Make a session ready for the operators: the package on its workers, and small Arrow batches unless set otherwise.
+
+    Results are lazy, so the settings stay; rows bound batches of short texts and bytes those of long ones.
+    """
     ship_package(spark)
-    if spark.conf.get(_BATCH_SETTING, _DEFAULT_ROWS) == _DEFAULT_ROWS:
-        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+    if spark.conf.get(_ROWS_SETTING, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_ROWS_SETTING, BATCH_ROWS)
+    if spark.conf.get(_BYTES_SETTING, None) is None:
+        spark.conf.set(_BYTES_SETTING, BATCH_BYTES)
 
 
 def kept(df: DataFrame, name: str, release: bool = False) -> DataFrame:
