@@ -12,9 +12,11 @@ document the alignment takes. Nothing else decides what is aligned.
 
 One pass over the documents gives only passages that hold enough pairs of items;
 whole texts are never shuffled. Words are runs of ASCII letters and digits and of
-other than ASCII characters, in lower case. A filter of fixed size keeps most
-other pairs from leaving the scan; the joins decide, so a benchmark of any size
-gives the same result.
+other than ASCII characters, in lower case. A filter whose size follows from the
+benchmark, within bounds, keeps most other pairs from leaving the scan. Of the
+pairs of an item only rare ones are seeds: its most frequent places are left out
+as far as an alignment could do without all of them, so every pair that reaches
+the threshold meets at a rare seed, and common pairs of words join nothing.
 
 Items of one or two words are found where they stand whole: one equal word of
 two would reach the threshold in most documents.
@@ -25,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallygrad.llm.store import kept
 from tallygrad.llm.text import Words, mixed, pieces
@@ -34,7 +36,8 @@ from tallygrad.llm.text import Words, mixed, pieces
 EQUAL, OTHER, GAP, THRESHOLD = 2, -1, -1, 0.4
 #: Words of the smallest item that edited copies are looked for; shorter ones count where they stand whole.
 LEAST_WORDS = 3
-_FILTER_BITS = 20
+#: Least and most bits of the filter's slots; 14 bytes a slot in each task.
+FILTER_BITS = 16, 22
 
 _split = np.ones(256, dtype=bool)
 _split[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -53,8 +56,9 @@ def _pairs(hashes: np.ndarray, owner: np.ndarray, apart: int) -> tuple[np.ndarra
         return at, mixed(hashes[at] * np.uint64(0xD1342543DE82EF95) + hashes[at + apart])
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+def filter_bits(pairs: int) -> int:
+    """Bits of a filter in which ``pairs`` pairs fill a sixteenth of the slots, as far as the bounds let them."""
+    return min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * pairs - 1).bit_length()))
 
 
 def _serial():
@@ -118,10 +122,12 @@ def item_seeds(pairs_of_items: DataFrame) -> DataFrame:
 
 
 def _filter(seeds: DataFrame) -> tuple[np.ndarray, ...]:
-    """Leading bits of hashes that occur, with the least need and most words of their items, whether a pair side by side
-    is among them, and which of 64 groups of items have one; at most 2**20 of each reach the driver."""
+    """The filter's bits, leading bits of hashes that occur, with the least need and most words of their items, whether a
+    pair side by side is among them, and which of 64 groups of items have one. The bits follow from the number of
+    pairs, within bounds, so at most 2**22 slots reach the driver."""
+    bits = filter_bits(seeds.count())
     found = (
-        seeds.groupBy(F.shiftrightunsigned("gram", 64 - _FILTER_BITS).alias("slot"))
+        seeds.groupBy(F.shiftrightunsigned("gram", 64 - bits).alias("slot"))
         .agg(
             F.min("needed").alias("needed"),
             F.max("span").alias("span"),
@@ -132,21 +138,25 @@ def _filter(seeds: DataFrame) -> tuple[np.ndarray, ...]:
     )
     slots, needed, span, near, groups = (found.column(i).to_numpy() for i in range(5))
     small = np.minimum(needed, 255).astype(np.uint8)
-    return slots.astype(np.int32), small, span.astype(np.int32), near.astype(bool), groups.astype(np.int64)
+    return bits, slots.astype(np.int32), small, span.astype(np.int32), near.astype(bool), groups.astype(np.int64)
 
 
 class _Held:
     """The filter laid out by slot: need 0 where nothing occurs."""
 
-    def __init__(self, slots: np.ndarray, *values: np.ndarray):
-        self.needed, self.span, self.near, self.groups = laid = [np.zeros(1 << _FILTER_BITS, v.dtype) for v in values]
+    def __init__(self, bits: int, slots: np.ndarray, *values: np.ndarray):
+        self.bits = bits
+        self.needed, self.span, self.near, self.groups = laid = [np.zeros(1 << bits, v.dtype) for v in values]
         for out, value in zip(laid, values):
             out[slots] = value
 
+    def slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def hits(self, hashes: np.ndarray, owner: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of the pairs that may be some item's; of single words if 0 apart."""
         at, g = _pairs(hashes, owner, apart) if apart else (np.arange(len(hashes)), mixed(hashes))
-        hit = np.flatnonzero(self.needed[_slot(g)])
+        hit = np.flatnonzero(self.needed[self.slot(g)])
         return at[hit], g[hit]
 
 
@@ -159,10 +169,10 @@ def _dense(words: Words, hashes: np.ndarray, held: _Held, single: bool):
         b, apart = map(np.concatenate, zip((b, apart), held.hits(hashes, owner, 0)))
     beside = np.repeat((True, False), (len(a), len(b)))
     place, gram = np.concatenate((a, b)), np.concatenate((near, apart))
-    worth = 1 + (held.near[_slot(gram)] & beside)
+    worth = 1 + (held.near[held.slot(gram)] & beside)
     order = np.lexsort((-worth, place))
     beside, place, gram, worth = beside[order], place[order], gram[order], worth[order]
-    slot = _slot(gram)
+    slot = held.slot(gram)
     row = owner[place]
     spans, needs = held.span[slot].astype(np.int64), held.needed[slot]
     low, high = np.maximum(words.first[row], place - spans), np.minimum(words.first[row + 1], place + spans + 3)
@@ -226,24 +236,46 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     )
 
 
+def rare_seeds(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(gram, item): of each item, the rarest places whose pairs no alignment can do without.
+
+    The pairs at a place are worth 2 at most, or 1 where only a pair one word apart
+    stands. The most frequent places are left out as long as all that is left out is
+    worth less than an alignment needs, so a passage that reaches the threshold
+    holds a pair of another place. Frequency is that in the passages.
+    """
+    grams = found.select(F.explode(F.concat("near", "apart")).alias("gram"))
+    counts = seeds.select("gram").distinct().join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram")
+    counted = seeds.join(counts, "gram", "left")
+    places = counted.groupBy("item", "place", "needed").agg(
+        F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.max(F.when(F.col("near"), 2).otherwise(1)).alias("worth")
+    )
+    first = Window.partitionBy("item").orderBy(F.desc("n"), "place")  # as many rows as an item has words
+    rare = places.withColumn("out", F.sum("worth").over(first)).where(F.col("out") >= F.col("needed"))
+    return seeds.join(rare.select("item", "place"), ["item", "place"]).select("gram", "item").distinct()
+
+
 def candidates(found: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(key, item): passages and items whose common pairs are worth what an alignment needs."""
+    """(key, item): passages and items with a rare seed in common; their other pairs are counted where both are at hand."""
+    grams = found.select("key", F.explode(F.concat("near", "apart")).alias("gram"))
+    return grams.join(rare_seeds(found, seeds), "gram").select("key", "item").distinct()
 
-    def of(column: str, near: bool) -> DataFrame:
-        return found.select("key", F.explode(column).alias("gram"), F.lit(near).alias("beside"))
 
-    worth = F.max(F.when(F.col("near") & F.col("beside"), 2).otherwise(1))
-    return (
-        of("near", True)
-        .unionByName(of("apart", False))
-        .join(seeds, "gram")
-        .groupBy("key", "item", "needed", "place")
-        .agg(worth.alias("worth"))
-        .groupBy("key", "item", "needed")
-        .agg(F.sum("worth").alias("worth"))
-        .where(F.col("worth") >= F.col("needed"))
-        .select("key", "item")
-    )
+def common_worth(item: np.ndarray, passage: np.ndarray) -> int:
+    """What the pairs of an item that a passage holds are worth, both as word hashes: 2 for each place whose pair side
+    by side stands side by side, 1 for one whose pairs are there otherwise. One word is worth 1 where it is."""
+
+    def pairs(words: np.ndarray, apart: int) -> np.ndarray:
+        return _pairs(words, np.zeros(len(words), np.int8), apart)[1]
+
+    if len(item) == 1:
+        return int(np.isin(item, passage)[0])
+    near, apart = pairs(passage, 1), pairs(passage, 2)
+    both = np.concatenate((near, apart))
+    mine, further = pairs(item, 1), pairs(item, 2)
+    there = np.isin(mine, both)
+    there[: len(further)] |= np.isin(further, both)
+    return int(there.sum() + np.isin(mine, near).sum())
 
 
 def local_alignments(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -286,13 +318,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     found = kept(passages(docs, seeds), "passages")
     pairs = (
         candidates(found, seeds)
-        .join(pairs_of_items.select("item", "item_id", "words"), "item")
+        .join(pairs_of_items.select("item", "item_id", "words", "needed"), "item")
         .join(found.select("key", "doc_id", "from_word", "passage"), "key")
-        .select("doc_id", "from_word", "item_id", "words", "passage")
+        .select("doc_id", "from_word", "item_id", "words", "needed", "passage")
     )
 
     def aligned(batches):
-        for whole in batches:
+        for some in batches:
+            words, needed, texts = (some.column(c).to_pylist() for c in ("words", "needed", "passage"))
+            enough = [
+                common_worth(np.frombuffer(w, np.uint64), np.frombuffer(t, np.uint64)) >= n for w, n, t in zip(words, needed, texts)
+            ]
+            whole = some.filter(pa.array(enough, pa.bool_()))
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 left = [np.frombuffer(x, np.uint64) for x in batch.column("passage").to_pylist()]
@@ -300,8 +337,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 # Pairs of like size share an array, so one long text does not widen all.
                 points, ends = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
                 order = sorted(range(len(left)), key=lambda i: (len(right[i]), len(left[i])))
-                for some in [order[i : i + 32] for i in range(0, len(order), 32)]:
-                    points[some], ends[some] = local_alignments([left[i] for i in some], [right[i] for i in some])
+                for part in [order[i : i + 32] for i in range(0, len(order), 32)]:
+                    points[part], ends[part] = local_alignments([left[i] for i in part], [right[i] for i in part])
                 full = np.array([EQUAL * len(r) for r in right])
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tallygrad.llm import decontamination, language, licences, personal, quality
 from tests.llm.helpers import awkward_texts, by_id, documents, prose
@@ -494,3 +495,52 @@ def test_quality_of_awkward_texts(spark):
     assert quality.with_score(docs.where("false"), model).count() == 0
     unlearned = quality.fit(docs, labels.where("false"))
     assert quality.with_score(docs, unlearned).first().score == 0.5
+
+
+def test_common_worth_is_that_of_the_places():
+    def hashes(text):
+        return np.array([ord(c) * 2654435761 + 12345 for c in text], np.uint64)
+
+    def by_hand(item, passage):
+        near = {passage[i : i + 2] for i in range(len(passage) - 1)}
+        apart = {passage[i] + passage[i + 2] for i in range(len(passage) - 2)}
+        if len(item) == 1:
+            return int(item in passage)
+        total = 0
+        for i in range(len(item) - 1):
+            further = item[i] + item[i + 2] if i + 2 < len(item) else None
+            total += 2 if item[i : i + 2] in near else 1 if item[i : i + 2] in apart or further in near | apart else 0
+        return total
+
+    rng = random.Random(6)
+    for _ in range(300):
+        item = "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9)))
+        passage = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12)))
+        assert decontamination.common_worth(hashes(item), hashes(passage)) == by_hand(item, passage)
+
+
+def test_pairs_of_words_that_all_items_share_are_no_seeds(spark):
+    """A benchmark ten times larger whose items share a third of their words: passages meet the items they copy, not all."""
+    frame = [f"frame{i}" for i in range(8)]
+    counts = []
+    for n in (20, 200):
+        items = [" ".join(frame[:4] + [f"own{i}x{j}" for j in range(16)] + frame[4:]) for i in range(n)]
+        texts = [" ".join([*(f"t{d}w{j}" for j in range(20)), *frame, items[d % n], f"t{d}end"]) for d in range(60)]
+        bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+        made = decontamination.item_pairs(bench).persist()  # its numbers differ from run to run
+        seeds = decontamination.item_seeds(made).persist()
+        found = decontamination.passages(documents(spark, texts, extra=False), seeds).persist()
+        rare = decontamination.rare_seeds(found, seeds)
+        least = seeds.groupBy("item").agg(F.first("needed").alias("needed"))
+        assert rare.select("item").distinct().count() == n and least.where("needed < 1").count() == 0
+        counts.append(decontamination.candidates(found, seeds).count())
+        got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(documents(spark, texts, extra=False), bench).collect()}
+        assert got >= {(d, d % n) for d in range(60)}
+        for table in (made, seeds, found):
+            table.unpersist()
+    assert counts == [60, 60]
+
+
+def test_the_filter_follows_the_benchmark():
+    assert decontamination.filter_bits(0) == decontamination.filter_bits(100) == 16
+    assert decontamination.filter_bits(60_000) == 20 and decontamination.filter_bits(10**9) == 22
