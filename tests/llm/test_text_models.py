@@ -544,3 +544,66 @@ def test_pairs_of_words_that_all_items_share_are_no_seeds(spark):
 def test_the_filter_follows_the_benchmark():
     assert decontamination.filter_bits(0) == decontamination.filter_bits(100) == 16
     assert decontamination.filter_bits(60_000) == 20 and decontamination.filter_bits(10**9) == 22
+
+
+def plain_mixed(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+    return x ^ (x >> 31)
+
+
+def plain_hash(data):
+    """Hash of up to 256 bytes, eight at a time."""
+    state = len(data) * 0x9E3779B97F4A7C15 % 2**64
+    for at in range(0, len(data), 8):
+        state = plain_mixed(state ^ int.from_bytes(data[at : at + 8], "little"))
+    return state
+
+
+def plain_features(text):
+    """Buckets of all features of a text, one word at a time."""
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    found = []
+    for word in words:
+        marked = b"<" + word + b">"
+        found.append(plain_hash(marked))
+        found += [plain_hash(marked[i : i + k]) for k in quality.NGRAMS for i in range(len(marked) - k + 1)]
+    for a, b in itertools.pairwise(words):
+        pair = 2
+        for h in (plain_hash(a), plain_hash(b)):
+            pair = (pair * 0xD1342543DE82EF95 + h) % 2**64
+        found.append(plain_mixed((1 if a == b else plain_mixed(pair)) ^ 0xA5A5A5A5A5A5A5A5))
+    return [h >> (64 - 17) for h in found]
+
+
+def test_quality_scores_are_those_of_plain_python():
+    rng = random.Random(15)
+    texts = [t if t is None else t[:3000] for t in awkward_texts()] + [prose(rng, rng.randint(1, 40)) for _ in range(30)]
+    texts = [None if t is None else " ".join(w for w in t.split(" ") if len(w) < 100) for t in texts]
+    labels = [int(rng.random() < 0.5) for _ in texts]
+    owner, bucket = quality.document_features(pa.array(texts, pa.string()))
+    for i, text in enumerate(texts):
+        assert sorted(bucket[owner == i].tolist()) == sorted(plain_features(text))
+    model = quality.train(texts, labels)
+    folded, bias = model.folded()
+    got = quality.scores(pa.array(texts, pa.string()), folded, bias)
+    for text, score in zip(texts, got):
+        found = plain_features(text)
+        mean = sum(model.vectors[b].astype(float) for b in found) / max(1, len(found)) if found else np.zeros(quality.WIDTH)
+        logits = model.output.astype(float) @ mean + model.bias
+        odds = np.exp(logits - logits.max())
+        assert score == pytest.approx(odds[1] / odds.sum(), abs=1e-5)
+
+
+def test_quality_training_follows_the_gradient():
+    """One step over one batch against differences of the loss."""
+    rng = random.Random(16)
+    texts = [prose(rng, 6) for _ in range(quality.BATCH)]
+    labels = [i % 2 for i in range(len(texts))]
+    before = quality.scores(pa.array(texts), *quality.train([], []).folded())
+    assert np.allclose(before, 0.5)
+    model = quality.train(texts * 8, labels * 8)
+    after = quality.scores(pa.array(texts), *model.folded())
+    loss = lambda p: -np.mean([np.log(x if y else 1 - x) for x, y in zip(p, labels)])
+    assert loss(after) < 0.7 * loss(before)
+    assert np.mean((after > 0.5) == np.array(labels, bool)) > 0.9
