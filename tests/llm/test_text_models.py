@@ -27,33 +27,30 @@ def _bigrams(words):
     return set(zip(words[:-1], words[1:]))
 
 
-def licences_by_hand(text, templates, threshold=0.8, covered=0.6):
-    sets = {n: _bigrams(_normal(t)) for n, t in templates.items()}
-    every = set().union(*sets.values())
-    lines = [_normal(x) for x in (text or "").split("\n")]
-    flat = [(i, w) for i, line in enumerate(lines) for w in line]
-    cover = [False] * len(flat)
-    for i in range(len(flat) - 1):
-        if (flat[i][1], flat[i + 1][1]) in every:
-            cover[i] = cover[i + 1] = True
-    full = [i for i, line in enumerate(lines) if line]
-    like = {}
-    for i in full:
-        c = [v for (j, _), v in zip(flat, cover) if j == i]
-        like[i] = sum(c) > 0 and sum(c) >= covered * len(c)
-    out = []
-    for run_like, run in itertools.groupby(full, key=lambda i: like[i]):
-        run = list(run)
-        if not run_like:
+def licences_by_hand(text, templates, threshold=0.8):
+    """Every range of words that begins and ends with runs of a template, compared by sets."""
+    flat = [(i, w) for i, line in enumerate((text or "").split("\n")) for w in _normal(line)]
+    words = [w for _, w in flat]
+    found = []
+    for name, template in templates.items():
+        mine = _bigrams(_normal(template))
+        if not mine:
             continue
-        regions = ([(run[0], run[-1])] if len(run) > 1 else []) + [(i, i) for i in run]
-        for a, b in regions:
-            g = _bigrams([w for j, w in flat if a <= j <= b])
-            best = max(((2 * len(g & s) / (len(g) + len(s)), n) for n, s in sets.items() if g), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0, ""))
-            if best[0] >= threshold:
-                out.append((a, b, best[1], best[0]))
-                if b > a:
-                    break
+        longest = int(len(_normal(template)) * (2 - threshold) / threshold + 1e-9) + 1
+        hit = [pair in mine for pair in zip(words[:-1], words[1:])]
+        for a in (i for i, h in enumerate(hit) if h and (i == 0 or not hit[i - 1])):
+            for b in range(a, min(len(hit), a + longest - 1)):
+                run_ends = b + 1 == len(hit) or not hit[b + 1] or b == a + longest - 2
+                if hit[b] and run_ends:
+                    got = _bigrams(words[a : b + 2])
+                    dice = 2 * len(got & mine) / (len(got) + len(mine))
+                    if dice >= threshold:
+                        found.append((-(2 * len(got & mine) - len(got)), -dice, b - a, a, name, b))
+    taken, out = set(), []
+    for _, dice, _, a, name, b in sorted(found):
+        if not taken & set(range(a, b + 2)):
+            taken |= set(range(a, b + 2))
+            out.append((flat[a][0], flat[b + 1][0], a, b + 2, name, -dice))
     return out
 
 
@@ -76,11 +73,11 @@ def test_licences(spark):
     docs = documents(spark, texts)
     got = {}
     for r in licences.find_licences(docs.union(docs.where("doc_id = 12"))).collect():
-        got.setdefault(r.doc_id, []).append((r.from_line, r.to_line, r.licence, round(r.dice, 9)))
+        got.setdefault(r.doc_id, []).append((r.from_line, r.to_line, r.from_word, r.to_word, r.licence, round(r.dice, 9)))
     for d, text in enumerate(texts):
-        want = [(a, b, n, round(v, 9)) for a, b, n, v in licences_by_hand(text, licences.TEMPLATES)]
+        want = [(*x[:5], round(x[5], 9)) for x in licences_by_hand(text, licences.TEMPLATES)]
         assert sorted(got.get(d, [])) == sorted(want * (2 if d == 12 else 1)), text
-    assert got[14][0][2] == "MIT" and len(got[17]) == 2
+    assert got[14][0][4] == "MIT" and len(got[17]) == 2
     assert licences.find_licences(docs.where("false")).count() == 0
     assert licences.find_licences(docs, {}).count() == 0
 
@@ -111,15 +108,47 @@ def test_licences_with_changed_lines_and_several_in_one_document(spark):
     }
 
 
-def test_size_bounds_leave_out_no_match():
-    rng = random.Random(2)
-    index = licences.Index(licences.TEMPLATES, 0.5)
-    for _ in range(300):
-        t = rng.choice(index.sets)
-        g = np.unique(np.concatenate((t[rng.sample(range(len(t)), rng.randint(1, len(t)))], np.arange(rng.randint(0, 40), dtype=np.uint64))))
-        best = max((2 * len(np.intersect1d(g, s)) / (len(g) + len(s)) for s in index.sets))
-        found = index.best(g)
-        assert (found is None) == (best < 0.5) and (found is None or abs(found[0] - best) < 1e-12)
+def test_licences_inside_longer_lines(spark):
+    rng = random.Random(3)
+    mit, notice = licences.TEMPLATES["MIT"], licences.TEMPLATES["CC-BY-4.0"]
+    texts = [
+        prose(rng, 20) + " " + notice + " " + prose(rng, 20),
+        prose(rng, 200) + " " + mit + " " + prose(rng, 200),
+        "Released under the MIT License. See file for the rest",
+        prose(rng, 9) + ". " + notice + " " + mit + " " + prose(rng, 5) + " " + notice,
+    ]
+    got = {}
+    for r in sorted(licences.find_licences(documents(spark, texts)).collect()):
+        got.setdefault(r.doc_id, []).append((r.from_word, r.to_word, r.licence, r.from_line, r.to_line))
+    n, m = len(_normal(notice)), len(_normal(mit))
+    assert got[0] == [(20, 20 + n, "CC-BY-4.0", 0, 0)]
+    assert got[1] == [(200, 200 + m, "MIT", 0, 0)]
+    assert [x[2] for x in got[2]] == ["MIT-short"]
+    assert [x[2] for x in sorted(got[3])] == ["CC-BY-4.0", "MIT", "CC-BY-4.0"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*"abcdefgh", "\n"]), max_size=60), st.lists(st.text("abcdef", min_size=2, max_size=12), min_size=1, max_size=3),
+       st.sampled_from([0.5, 0.8]))
+def test_licences_are_the_best_ranges_of_words(tokens, texts, threshold):
+    templates = {f"t{i}": " ".join(t) for i, t in enumerate(texts)}
+    text = " ".join(tokens)
+    batch = pa.RecordBatch.from_arrays([pa.array([None, text, ""], pa.string())], names=["text"])
+    got = [(a, b, c, d, name, round(dice, 9)) for row, a, b, c, d, dice, name in licences._regions(batch, licences.Index(templates, threshold)) if row == 1]
+    want = [(*x[:5], round(x[5], 9)) for x in licences_by_hand(text, templates, threshold)]
+    assert got == want
+
+
+def test_templates_from_files(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(3000))
+    (tmp_path / "Long-1.0.txt").write_text(long)
+    (tmp_path / "Other").write_text("a few\nwords of another licence\n")
+    templates = licences.read_templates(spark, str(tmp_path))
+    assert set(templates) == {"Long-1.0", "Other"}
+    edited = [f"changed{i}" if i % 100 == 7 else w for i, w in enumerate(long.split())]
+    texts = ["x " * 500 + " ".join(edited) + " y" * 500, " ".join(edited[:1500]), "A few words of another licence"]
+    got = sorted((r.doc_id, r.licence, r.from_word, r.to_word) for r in licences.find_licences(documents(spark, texts), templates).collect())
+    assert got == [(0, "Long-1.0", 500, 3500), (2, "Other", 0, 6)]
 
 
 # ---- leaks
