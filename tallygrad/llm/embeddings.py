@@ -13,9 +13,10 @@ error. Both tests are bounds, so every pair reaches the exact comparison in
 double precision and recall is 1; the quantisers decide the work, not the result.
 
 Lists are cut into blocks of bounded size, and queries meet a list block by
-block, so a list that holds a third of all vectors is many tasks. A task tells
-of each query how many partners it found, and links that keep the pairs of its
-block connected; pairs are never written out.
+block, so a list that holds a third of all vectors is many tasks. Two blocks meet
+once: partners probe each other's lists, so the smaller block asks and the task
+counts for both. A task tells of each vector how many partners it found, and links
+that keep the pairs of its blocks connected; pairs are never written out.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ from tallygrad.llm.draws import drawn, drawn_order, not_empty
 from tallygrad.llm.store import kept
 
 LEAST_COSINE = 0.98
-#: Vectors that quantisers may be fitted on; lists, subspaces, codewords of each, and rounds of k-means.
-SAMPLE_ROWS, LISTS, SUBSPACES, CODEWORDS, ROUNDS = 4096, 32, 8, 16, 8
+#: Vectors that quantisers may be fitted on; subspaces, codewords of each, and rounds of k-means.
+SAMPLE_ROWS, SUBSPACES, CODEWORDS, ROUNDS = 4096, 8, 16, 8
+#: Fewest and most lists; between them they grow with the square root of the vectors of a label, this many a list at 1.
+LISTS, LIST_STEP = (2, 512), 12
 #: Vectors of one block of a list.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
 #: Slack for rounding in the bounds, far above the rounding of double precision.
 SLACK = 1e-6
 
@@ -95,11 +98,16 @@ def _means(x: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
     return centroids
 
 
-def train(x: np.ndarray, seed: int = 5) -> Quantiser:
+def lists_for(vectors: int) -> int:
+    """Lists for a label of so many vectors."""
+    return min(LISTS[1], max(LISTS[0], round(vectors**0.5 / LIST_STEP)))
+
+
+def train(x: np.ndarray, lists: int = 32, seed: int = 5) -> Quantiser:
     """Fit both quantisers to unit vectors; the dimension is split as evenly as it divides."""
     random = np.random.default_rng(seed)
     subspaces = next(s for s in range(min(SUBSPACES, x.shape[1]), 0, -1) if x.shape[1] % s == 0)
-    centroids = _means(x, LISTS, random)
+    centroids = _means(x, lists, random)
     rest = x - centroids[_distances(x, centroids).argmin(axis=1)]
     width = x.shape[1] // subspaces
     codewords = np.stack([_means(rest[:, s * width : (s + 1) * width], CODEWORDS, random) for s in range(subspaces)])
@@ -158,13 +166,13 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, samp
     limit = float(np.sqrt(2 - 2 * least_cosine)) + SLACK
     units = kept(usable_vectors(vectors).withColumn("size", F.size("unit")), "unit-vectors")
     models = {}
-    sizes = [r.size for r in units.select("size").distinct().collect()]  # dimensions that occur
-    for size in sizes:
+    per_label = units.groupBy("size", "label").agg(F.count("*").alias("n"))
+    sizes = per_label.groupBy("size").agg(F.sum("n").alias("there"), F.max("n").alias("most")).collect()  # dimensions that occur
+    for size, there, most in sizes:
         one = units.where(F.col("size") == size)
-        there = one.count()
         sample = one.where(drawn(there, sample_rows, "vec_id")).orderBy(drawn_order("vec_id"), "vec_id").limit(sample_rows)
         rows = not_empty(sample.select("vec_id", "unit").collect(), there, "vectors")
-        models[size] = train(np.array([r.unit for r in sorted(rows, key=lambda r: (r.vec_id, r.unit))]))
+        models[size] = train(np.array([r.unit for r in sorted(rows, key=lambda r: (r.vec_id, r.unit))]), lists_for(most))
     shared = vectors.sparkSession.sparkContext.broadcast(models)  # centroids and codewords
 
     def assigned(batches):
@@ -196,14 +204,18 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, samp
     )
     asking = (
         stored.select("label", "size", "vec_id", "unit", F.col("list").alias("home"), F.col("block").alias("home_block"), F.explode("probes").alias("list"))
+        .where(F.col("list") >= F.col("home"))
         .join(place, ["label", "size", "list"])
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("first", F.when(F.col("list") == F.col("home"), F.col("home_block")).otherwise(0))
+        .withColumn("block", F.explode(F.sequence("first", F.col("blocks") - 1)))
     )
     # A query block is the queries of one home block that ask one stored block, so both sides of a comparison are bounded.
     sides = (
         asking.select("label", "size", "list", "block", "home", "home_block", "vec_id", "unit", F.lit(True).alias("asks"))
     )
-    pairs_of_blocks = sides.select("label", "size", "list", "block", "home", "home_block").distinct()
+    # A block that meets itself is one side.
+    apart = (F.col("list") != F.col("home")) | (F.col("block") != F.col("home_block"))
+    pairs_of_blocks = sides.where(apart).select("label", "size", "list", "block", "home", "home_block").distinct()
     offered = stored.select("label", "size", "list", "block", "vec_id", "unit").join(pairs_of_blocks, ["label", "size", "list", "block"])
     both = sides.unionByName(
         offered.select("label", "size", "list", "block", "home", "home_block", "vec_id", "unit", F.lit(False).alias("asks"))
@@ -212,6 +224,8 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, samp
     def compared(table: pa.Table) -> pa.Table:
         asks = table.column("asks").combine_chunks()
         queries, rows = table.filter(asks), table.filter(pc.invert(asks))
+        itself = all(table.column(a)[0] == table.column(b)[0] for a, b in (("list", "home"), ("block", "home_block")))
+        rows = queries if itself else rows
         found_id, found_n, link_a, link_b = [], [], [], []
         if queries.num_rows and rows.num_rows:
             ids, other = queries.column("vec_id").to_numpy(), rows.column("vec_id").to_numpy()
@@ -228,10 +242,11 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, samp
                 apart = ids[a] != other[b]
                 a, b = a[apart], b[apart]
                 if len(a):
-                    n = np.bincount(a, minlength=len(x))
-                    rows_with = np.flatnonzero(n)
-                    found_id += ids[rows_with].tolist()
-                    found_n += n[rows_with].tolist()
+                    for side, which in ((a, ids), (b, other))[: 1 if itself else 2]:
+                        n = np.bincount(side, minlength=len(which))
+                        rows_with = np.flatnonzero(n)
+                        found_id += which[rows_with].tolist()
+                        found_n += n[rows_with].tolist()
                     for i, j in _local_links(ids, other, a, b):
                         link_a.append(i)
                         link_b.append(j)

@@ -215,6 +215,7 @@ def vector_rows(seed):
 
 def test_embeddings_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(embeddings, "LISTS", (8, 512))
     rows = vector_rows(3)
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").selectExpr("*", "'x' as list", "1 as unit")
     unit = {}
@@ -247,7 +248,7 @@ def test_embedding_bounds_hold():
     codes, error = q.encode(x, lists)
     a, b = np.nonzero(x @ x.T >= 0.98)
     assert probes[a, lists[b]].all()
-    for c in range(embeddings.LISTS):
+    for c in range(len(q.centroids)):
         rows = np.flatnonzero(lists == c)
         d = q.table_distances(x, c, codes[rows])
         true = np.linalg.norm(x[:, None] - x[None, rows], axis=2)
@@ -348,3 +349,7 @@ def test_a_long_word_is_no_leak_of_another_of_its_form(spark):
     found = decontamination.contaminated(documents(spark, [one, two, f"{one} {one} {one}"]), items)
     assert {(r.doc_id, r.item_id) for r in found.select("doc_id", "item_id").collect()} >= {(1, 0)}
     assert not {(r.doc_id, r.item_id) for r in found.collect()} & {(0, 0), (2, 0)}
+
+
+def test_lists_grow_with_the_root_of_the_vectors():
+    assert [embeddings.lists_for(n) for n in (0, 100, 5_000, 1_000_000, 10**12)] == [2, 2, 6, 83, 512]
