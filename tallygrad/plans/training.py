@@ -178,7 +178,7 @@ def train(
     than ``plateau_length`` epochs in a row change the loss by at most
     ``plateau_step``, new random weights are drawn and the learning rate starts
     anew. Everything random follows from ``seed`` and row keys. The vectors of the
-    tasks are added up in ``combine_tasks`` tasks first. A table written for the
+    tasks are added up in ``combine_tasks`` tasks first where there are more tasks than that. A table written for the
     run (``storage="table"``) is removed at its end. ``draw`` replaces the hash
     behind masks and dropout, see :func:`..functions.random.lehmer`.
 
@@ -198,6 +198,9 @@ def train(
     table = prepare(samples, config, validation, seed, key, partitions, storage, path, draw)
     try:
         noise = block_draw(config, draw) if is_noisy(config) else None
+        # With no more tasks than that the vectors are added up in one step: the same sums but for rounding.
+        if table.rdd.getNumPartitions() <= combine_tasks:
+            combine_tasks = 1
 
         def at(weights: Weights, epoch: int, gradient: bool = True):
             drawn = Noise(epoch, seed, noise) if gradient and noise is not None else None

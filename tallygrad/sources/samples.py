@@ -68,11 +68,18 @@ class SampleStore:
     write that breaks off before its manifest changes nothing, and a manifest is
     only created where none of its number exists, so of two writers at once one
     has to start again. The bucket count is part of the manifest; a store opened
-    with another one is refused. Folders no longer in force stay for readers
+    with another one is refused, and so is a path on an object store, which cannot
+    do that; keep such samples in a table format. Folders no longer in force stay for readers
     that still use them, until :meth:`vacuum`.
     """
 
+    #: Object stores whose rename is a copy and replaces what is there, so that two writers could both win.
+    NO_RENAME = ("s3", "s3a", "s3n", "gs", "oss", "cos", "cosn", "obs", "swift", "wasb", "wasbs")
+
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        scheme = path.partition(":/")[0].lower() if ":/" in path else ""
+        if scheme in self.NO_RENAME:
+            raise ValueError(f"a sample store needs a file system with a rename that never replaces; {scheme} has none")
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.bucket_column = f"bucket_of_{buckets}"
 

@@ -248,6 +248,12 @@ def test_read_through(spark):
     assert store.get_or_build(ids, build, max_label=0.5).count() == 0
 
 
+@pytest.mark.parametrize("path", ["s3a://bucket/store", "gs://bucket/x", "S3://b/y"])
+def test_stores_on_object_stores_are_refused(spark, path):
+    with pytest.raises(ValueError, match="rename"):
+        SampleStore(spark, path)
+
+
 def test_result_tables(spark):
     scored = spark.createDataFrame([(2.0, 1.5), (0.0, 1.0), (-2.0, -1.0)], "label double, predict_label double")
     path = shared_path(spark, "predictions")
