@@ -39,6 +39,7 @@ from .network_sql import (
     forward,
     gradient_columns,
     gradient_sql,
+    lehmer_sql,
     log_sql,
     loss_sql,
     mask_columns,
@@ -701,17 +702,45 @@ def checked_dropout(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@register(
+    "ml13_gradient_check_under_masks",
+    embedded_with(
+        unpivot("g0", DROPPED, {"n": "n", "actual": "round(g_{p}, 6) + 0", "close": "true"}),
+        "given AS (SELECT *, false AS v, "
+        + ", ".join(
+            f"CASE WHEN {lehmer_sql('vec_id', 1, k, 1)} > {DROPPED.dropout}::DOUBLE THEN 1 ELSE 0 END AS {m}"
+            for k, m in enumerate(mask_columns(DROPPED))
+        )
+        + " FROM embedded)",
+        weight_row("w0", DROPPED, [w * 20 for w in formula_weights(DROPPED)]),
+        gradient_sql("given", "w0", DROPPED, "g0", masks=True),
+    ),
+)
+def checked_masks(spark, sf_dir):
+    """Numeric and analytic gradient under dropout masks that SQL draws as well."""
+    mask = dropout_mask(F.col("vec_id"), DROPPED.hidden_units, DROPPED.dropout, epoch=1, draw=lehmer)
+    rows = embedded(spark, sf_dir).withColumn("keep", mask)
+    summary = gradient_check_summary(rows, [w * 20 for w in formula_weights(DROPPED)], DROPPED)
+    close = (F.col("worst") < 1e-6).alias("close")
+    return summary.select("layer", "r", "c", "n", rounded("actual").alias("actual"), close)
+
+
 @register(
     "ml12_scores_both_ways",
-    "SELECT l_orderkey, l_linenumber, true AS alike FROM lineitem",
+    lines_with(
+        "SELECT l_orderkey, l_linenumber, round(o, 6) AS by_columns, round(o, 6) AS by_arrow FROM ("
+        + forward("lines", "w0", SMALL, "l_orderkey, l_linenumber, y") + ")",
+        weight_row("w0", SMALL),
+    ),
 )
 def both_ways(spark, sf_dir):
     """Generated code and Arrow batches give the same columns and values."""
     rows, weights = lines(spark, sf_dir), formula_weights(SMALL)
     first = score(rows.withColumn("error", F.lit("stale")), weights, SMALL, "columns")
     both = score(first.withColumnRenamed("predict_label", "p").withColumnRenamed("error", "e"), weights, SMALL, "arrow")
-    alike = (F.abs(F.col("p") - F.col("predict_label")) < 1e-12) & (F.abs(F.col("e") - F.col("error")) < 1e-12)
-    return both.select(*LINE_KEYS, alike.alias("alike"))
+    unlike = (F.abs(F.col("p") - F.col("predict_label")) > 1e-12) | (F.abs(F.col("e") - F.col("error")) > 1e-12)
+    by_arrow = F.when(unlike, F.raise_error(F.lit("both ways give other scores"))).otherwise(rounded("predict_label"))
+    return both.select(*LINE_KEYS, rounded("p").alias("by_columns"), by_arrow.cast("double").alias("by_arrow"))
 
 
 # --- training ---------------------------------------------------------------------
