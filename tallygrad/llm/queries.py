@@ -48,6 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @register("op3_token_files")
 def op3_token_files(spark, sf_dir):
+    """Token ids of all documents written to files in doc_id order and read back, with their starts and checksums."""
     path = shared_path(spark, "token-files")
     token_files.write_token_files(token_files.encoded_in_order(table(spark, sf_dir, "documents")), path)
     rows = token_files.with_checksums(token_files.read_token_files(spark, path))
@@ -57,11 +58,13 @@ def op3_token_files(spark, sf_dir):
 
 @register("op8_bpe_chunk_reuse")
 def op8_bpe_chunk_reuse(spark, sf_dir):
+    """Tokens, digest of the ids and of the decoded text of every document."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.digests())
 
 
 @register("op10_quality")
 def op10_quality(spark, sf_dir):
+    """Quality score of every document by a classifier learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.with_score(docs, model).select(
@@ -74,6 +77,7 @@ def op10_quality(spark, sf_dir):
 
 @register("op1_language")
 def op1_language(spark, sf_dir):
+    """Language of every document by a field learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs)
     return language.with_language(docs.select("doc_id", "text"), model).select(
@@ -83,17 +87,20 @@ def op1_language(spark, sf_dir):
 
 @register("op7_personal_data")
 def op7_personal_data(spark, sf_dir):
+    """Personal data in every document: counts, digest and spans."""
     docs = table(spark, sf_dir, "documents")
     return personal.find(docs, personal.fit(docs))
 
 
 @register("op2_licences")
 def op2_licences(spark, sf_dir):
+    """Licence texts and notices in all documents."""
     return licences.find_licences(table(spark, sf_dir, "documents"))
 
 
 @register("op5_decontamination")
 def op5_decontamination(spark, sf_dir):
+    """Documents that hold copies of benchmark items, edited ones too."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -116,6 +123,7 @@ FROM d LEFT JOIN left_over USING (doc_id)
 
 @register("op4_substring_dedup", SUBSTRING_SQL)
 def op4_substring_dedup(spark, sf_dir):
+    """Words of every document without those in windows that a smaller doc_id holds."""
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
@@ -138,6 +146,7 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 
 @register("op9_jaccard_join", JACCARD_SQL)
 def op9_jaccard_join(spark, sf_dir):
+    """Groups of documents whose sets of three-word shingles have a similarity of at least 0.9."""
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
@@ -159,6 +168,7 @@ FROM reach LEFT JOIN n ON n.a = vec_id GROUP BY vec_id
 
 @register("op6_embedding_duplicates", EMBEDDING_SQL)
 def op6_embedding_duplicates(spark, sf_dir):
+    """Links and components of all vectors of one label with a cosine of at least 0.98."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
