@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallygrad.network import NetworkConfig
 from tallygrad.operators.gradcheck import gradient_check_summary
-from tallygrad.operators.gradient import run_pass
+from tallygrad.operators.gradient import Noise, run_pass
 from tallygrad.operators.scaling import sample_stats, scale
 from tallygrad.plans.sampling import build_samples
 from tallygrad.plans.training import Model, prepare, train
@@ -81,8 +81,12 @@ def main() -> None:
     timed("third_pass", lambda: run_pass(table, weights, small), total)
     timed("loss_only_pass", lambda: run_pass(table, weights, small, gradient=False), total)
     table.unpersist()
-    timed("train_20_epochs", lambda: train(samples, small, 20, init_weights=weights, partitions=CPUS), total * 20)
     noisy = NetworkConfig(size=(6, 5, 1), learning_rate=0.05, dropout=0.2, input_mask=0.1)
+    keyed = prepare(samples, noisy, partitions=CPUS, key=["l_orderkey", "l_linenumber"])
+    run_pass(keyed, weights, noisy, noise=Noise(0))
+    timed("noisy_pass", lambda: run_pass(keyed, weights, noisy, noise=Noise(1)), total)
+    keyed.unpersist()
+    timed("train_20_epochs", lambda: train(samples, small, 20, init_weights=weights, partitions=CPUS), total * 20)
     timed(
         "train_5_epochs_noisy",
         lambda: train(
