@@ -53,6 +53,9 @@ from .registry import register, rounded
 
 LINE_KEYS = ["l_orderkey", "l_linenumber"]
 EPOCHS = 5
+#: Rows that a task gets at most, or hardly more, when a query deals a table out anew. Beyond 200 tasks Spark's
+#: shuffle writer sorts and spills the rows a second time, which smaller shares come to sooner.
+ROWS_PER_TASK = 2_000_000
 
 # Networks over line items (6 inputs) and embeddings (64 inputs).
 SMALL = NetworkConfig(size=(6, 5, 1), learning_rate=0.5, momentum=0.0)
@@ -74,6 +77,11 @@ def long_with(sql: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([EMBEDDED_LONG, *ctes]) + "\n" + sql
 
 
+def dealt_anew(rows: DataFrame, least: int) -> DataFrame:
+    """The same rows in partitions of their own, ``least`` or more: what one task reads does not grow with the table."""
+    return rows.repartition(max(least, math.ceil(rows.count() / ROWS_PER_TASK)))
+
+
 # --- samples ----------------------------------------------------------------------
 
 
@@ -152,7 +160,7 @@ def validation_split(spark, sf_dir):
     """A fifth of the lines is held out, the same ones under any partitioning."""
     rows = table(spark, sf_dir, "lineitem")
     first = mark_validation(rows, 0.2, seed=3).select(row_key(rows).alias("k"), "is_valid")
-    again = mark_validation(rows.repartition(5), 0.2, seed=3)
+    again = mark_validation(dealt_anew(rows, 5), 0.2, seed=3)
     other = mark_validation(rows, 0.2, seed=4)
     mark = F.sum(F.when(F.col("is_valid"), F.lit(1)).otherwise(F.lit(0)))
     # Sums of keys of held-out rows tell equal choices from different ones.
@@ -182,8 +190,8 @@ SELECT l_linenumber AS k, count(*) AS n, CAST(sum(CASE WHEN u < 0.2 THEN 1 ELSE
 @register("set2_split_of_copies", COPY_DRAWS)
 def split_copies(spark, sf_dir):
     """Rows that are copies of each other are drawn apart; line numbers alone are a table of few distinct rows."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("k")).repartition(6)
-    marked = mark_validation(rows, 0.2, seed=3, key=["k"], split_copies=True, draw=lehmer)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("k"))
+    marked = mark_validation(dealt_anew(rows, 6), 0.2, seed=3, key=["k"], split_copies=True, draw=lehmer)
     return marked.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("held"))
 
 
